@@ -1,0 +1 @@
+"""The work this package covers is batch only: every input is a file or table read whole."""

@@ -23,10 +23,10 @@ from variform.session import stage
 MAXSUM, MAXMIN = "maxsum", "maxmin"
 SCORE_DIGITS = 9
 MEAN_DIGITS = 10
-POOL = 64
-MAX_CHAIN = 16
+POOL = 512
+MIN_CHAIN, MAX_CHAIN = 4, 32
 PATTERN_LIMIT = 256
-BANDS = (64, 512, 4096)
+BANDS = (256, 4096)
 
 
 @dataclass
@@ -114,6 +114,8 @@ def _pass(items: DataFrame, objective: str, metric: str, picks: list[Pick], chai
     """One scan: the best item after ``picks + chain[:j]`` for each ``j``, and a pool after the last."""
     schema = _result_schema(items)
     arrow_schema = pairwise.to_arrow_schema(schema)
+    # guesses come from the best few of every task; the winners are exact whatever the pool
+    keep = max(8, pool // items.rdd.getNumPartitions())
     settled = [(p.id, p.x) for p in picks]
     guessed = [(p.id, p.x) for p in chain]
 
@@ -131,7 +133,7 @@ def _pass(items: DataFrame, objective: str, metric: str, picks: list[Pick], chai
                 scorer.add(x)
             for step in range(len(guessed) + 1):
                 score = np.where(out, -np.inf, scorer.ranked())
-                merge.add(step, score, pos, batch, base, pool if step == len(guessed) else 1)
+                merge.add(step, score, pos, batch, base, keep if step == len(guessed) else 1)
                 if step < len(guessed):
                     guess, x = guessed[step]
                     scorer.add(x)
@@ -195,7 +197,7 @@ def greedy(
             weights = items.select("id", "x", F.lit(1).alias("w"))
         picks.append(first_pick(items, weights, metric))
     pool: dict = {}
-    length = 1
+    length = 2 * MIN_CHAIN
     while len(picks) < k:
         chain = _guess(pool, picks, objective, metric, min(length, k - len(picks) - 1))
         steps = _pass(items, objective, metric, picks, chain, POOL)
@@ -210,10 +212,10 @@ def greedy(
                 if found[0].id != chain[j].id:
                     break
                 right += 1
-        length = min(MAX_CHAIN, 2 * length + 1) if right == len(chain) else max(1, right)
+        length = min(MAX_CHAIN, 2 * length) if right == len(chain) else max(MIN_CHAIN, 2 * right)
         # the pool only feeds guesses; keep the recent candidates
         fresh = {p.id: p for found in steps for p in found}
-        pool = dict(list({**pool, **fresh}.items())[-8 * POOL :])
+        pool = dict(list({**pool, **fresh}.items())[-4 * POOL :])
     return picks
 
 
@@ -225,15 +227,30 @@ def _pattern_moments(weights: DataFrame):
 
     At most ``PATTERN_LIMIT`` patterns come back (a bounded number of rows); None if there are more.
     """
-    mask = F.array_join(F.transform("x", lambda v: F.when(v.isNull(), "0").otherwise("1")), "")
+    def moments(batches):
+        found: dict[bytes, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, w = kernels.matrix(batch.column("x")), batch.column("w").to_numpy(zero_copy_only=False).astype(float)
+            present = ~np.isnan(x)
+            x = np.where(present, x, 0.0)
+            packed = np.packbits(present, axis=1)
+            patterns, member = np.unique(packed, axis=0, return_inverse=True)
+            for p, pattern in enumerate(patterns):
+                rows = member.ravel() == p
+                sums = np.stack([np.full(x.shape[1], w[rows].sum()), w[rows] @ x[rows], w[rows] @ (x[rows] * x[rows])])
+                found[pattern.tobytes()] = found.get(pattern.tobytes(), 0.0) + sums
+        flat = [(mask, i, *cell) for mask, sums in found.items() for i, cell in enumerate(sums.T)]
+        columns = list(zip(*flat)) if flat else [()] * 5
+        types = (pa.binary(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["mask", "p", "w", "s1", "s2"])
+
     rows = (
-        weights.select(mask.alias("mask"), "w", F.posexplode("x").alias("p", "v"))
+        weights.select("x", "w")
+        .mapInArrow(moments, "mask binary, p int, w double, s1 double, s2 double")
         .groupBy("mask", "p")
-        .agg(
-            F.sum("w").cast("double").alias("w"),
-            F.sum(F.col("w") * F.col("v")).alias("s1"),
-            F.sum(F.col("w") * F.col("v") * F.col("v")).alias("s2"),
-        )
+        .agg(F.sum("w").alias("w"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
         .groupBy("mask")
         .agg(F.array_sort(F.collect_list(F.struct("p", "w", "s1", "s2"))).alias("moments"))
         .limit(PATTERN_LIMIT + 1)
@@ -242,8 +259,9 @@ def _pattern_moments(weights: DataFrame):
     if not rows or len(rows) > PATTERN_LIMIT:
         return None
     w = np.array([r["moments"][0]["w"] for r in rows])
-    s1, s2 = (np.array([[m[c] or 0.0 for m in r["moments"]] for r in rows]) for c in ("s1", "s2"))
-    present = np.array([[c == "1" for c in r["mask"]] for r in rows], dtype=float)
+    s1, s2 = (np.array([[m[c] for m in r["moments"]] for r in rows]) for c in ("s1", "s2"))
+    bits = np.array([np.frombuffer(r["mask"], dtype=np.uint8) for r in rows])
+    present = np.unpackbits(bits, axis=1, count=s1.shape[1]).astype(float)
     return w, present, s1, s2
 
 

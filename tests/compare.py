@@ -24,9 +24,9 @@ def _key(row):
 
 
 def _same(a, b) -> bool:
-    if isinstance(a, float) or isinstance(b, float):
-        return a is not None and b is not None and math.isclose(a, b, rel_tol=0, abs_tol=1e-9)
-    return a == b
+    if type(a) is not type(b):
+        return False
+    return math.isclose(a, b, rel_tol=0, abs_tol=1e-9) if isinstance(a, float) else a == b
 
 
 def compare(spark, con, name, build, sql, sf_dir) -> tuple[str | None, int, float, float]:

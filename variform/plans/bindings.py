@@ -134,12 +134,12 @@ class Tables:
         )
 
     def verses(self) -> DataFrame:
-        """Events as a parallel corpus: user = language, week = edition, event type and level of k = verse."""
+        """Events as a parallel corpus: user = language, week = edition, event type and tens of k = verse."""
         k = F.get_json_object("props", "$.k").cast("int")
         return self.events.select(
             F.col("user_id").alias("lang"),
             F.floor((F.dayofmonth("ts") - 1) / 7).cast("int").alias("edition"),
-            F.concat_ws("/", F.col("event_type"), F.when(k < 50, "low").otherwise("high")).alias("verse_id"),
+            F.concat_ws("/", F.col("event_type"), F.floor(k / 10).cast("string")).alias("verse_id"),
             F.concat_ws(" ", F.col("props"), F.col("value").cast("string")).alias("text"),
             F.col("event_id").alias("line"),
         )

@@ -57,7 +57,7 @@ PLACES = (
 )
 VERSES = (
     "verse AS (SELECT user_id AS lang, CAST(floor((day(ts) - 1) / 7) AS INTEGER) AS edition, "
-    "event_type || '/' || CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) < 50 THEN 'low' ELSE 'high' END AS verse_id, "
+    "event_type || '/' || CAST(json_extract_string(props, '$.k') AS INTEGER) // 10 AS verse_id, "
     "props || ' ' || CAST(value AS VARCHAR) AS text, event_id AS line FROM events)"
 )
 COMMON = (

@@ -57,5 +57,4 @@ def geodesic(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 def words(c: Column | str) -> Column:
     """Number of whitespace-separated tokens of a text; 0 for an empty one."""
-    squeezed = F.trim(F.regexp_replace(_col(c), r"[ \t\r\n]+", " "))
-    return F.when(squeezed == "", 0).otherwise(F.size(F.split(squeezed, " ")))
+    return F.size(F.array_remove(F.split(_col(c), r"[ \t\r\n]+"), ""))

@@ -67,14 +67,16 @@ def avg_tokens(texts: DataFrame, by: str | list[str], n_tokens: Column | None =
     """
     by = [by] if isinstance(by, str) else by
     n = words("text") if n_tokens is None else n_tokens
-    counted = texts.withColumn("_n", n).where(F.col("_n") > 0)
-    return counted.groupBy(*by).agg(F.avg("_n").alias("avg_subwords"), F.count(F.lit(1)).alias("n_units"))
+    # empty units become NULL inside the aggregate: a filter would count the tokens of every text twice
+    held = F.nullif(n, F.lit(0))
+    counted = texts.groupBy(*by).agg(F.avg(held).alias("avg_subwords"), F.count(held).alias("n_units"))
+    return counted.where(F.col("n_units") > 0)
 
 
 def text_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per line of each text, trailing whitespace removed, with its line number."""
     lines = df.select("*", F.posexplode(F.split(F.col(text), "\n")).alias("line", "_line"))
-    return lines.withColumn(text, F.regexp_replace("_line", r"[ \t\r]+$", "")).drop("_line")
+    return lines.withColumn(text, F.rtrim("_line", F.lit(" \t\r"))).drop("_line")
 
 
 def token_counter(load: Callable[[], Callable[[list[str]], list[list[str]]]]) -> Callable[[Column | str], Column]:

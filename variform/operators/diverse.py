@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from variform.operators import distance
-from variform.operators.greedy import MAXMIN, MAXSUM, SCORE_DIGITS, Pick, greedy
-from variform.operators.profiles import collapse, earliest_copies
-from variform.session import stage
+from variform.operators.greedy import MAXMIN, MAXSUM, SCORE_DIGITS, Pick, first_pick, greedy
+from variform.operators.profiles import earliest_copies
+from variform.session import small_table, stage
 
 
-def _pick_table(like: DataFrame, picks: list[Pick]) -> DataFrame:
-    schema = T.StructType([T.StructField("pick_order", T.IntegerType()), like.schema["id"]])
-    return like.sparkSession.createDataFrame([(i, p.id) for i, p in enumerate(picks, 1)], schema)
+def _pick_table(spark: SparkSession, id_type: T.DataType, ids: list) -> DataFrame:
+    schema = T.StructType([T.StructField("pick_order", T.IntegerType()), T.StructField("id", id_type)])
+    return small_table(spark, schema, {"pick_order": list(range(1, len(ids) + 1)), "id": ids})
 
 
 def with_frame(items: DataFrame, frame: DataFrame | None = None) -> DataFrame:
@@ -26,15 +27,35 @@ def with_frame(items: DataFrame, frame: DataFrame | None = None) -> DataFrame:
     return items.join(frame.select("id", "pos"), "id").select("id", "pos", "x")
 
 
-def _select(items: DataFrame, k: int, objective: str, frame: DataFrame | None, metric: str, copies: bool) -> DataFrame:
-    placed = with_frame(items, frame)
-    weights = None
-    if copies:
-        placed = stage(placed)
-        weights = stage(collapse(placed))
-        placed = earliest_copies(placed, k)
-    picks = greedy(stage(placed), k, objective, metric, weights=weights)
-    return _pick_table(items, picks)
+class Candidates:
+    """Items made ready for picking up to ``k`` of them by either objective.
+
+    ``vectors(id, pos, x, w)`` stands for all items in row sums, ``items`` is what can be picked.
+    With ``copies`` both shrink to distinct vectors: their earliest item, and their earliest ``k``.
+    """
+
+    def __init__(self, items: DataFrame, k: int, frame: DataFrame | None = None, metric: str = "euclidean", copies: bool = False):
+        if k < 1:
+            raise ValueError(f"Invalid value {k=}, make sure k > 0")
+        placed = with_frame(items, frame)
+        self.k, self.metric = k, metric
+        if copies:
+            earliest = F.min(F.struct("pos", "id")).alias("e")
+            weighed = placed.groupBy("x").agg(earliest, F.count(F.lit(1)).alias("w"))
+            self.vectors = stage(weighed.select("e.id", "e.pos", "x", "w"))
+            self.items = stage(earliest_copies(placed, k))
+        else:
+            self.items = stage(placed)
+            self.vectors = self.items.withColumn("w", F.lit(1))
+
+    @cached_property
+    def first(self) -> Pick:
+        return first_pick(self.vectors, self.metric)
+
+    def pick(self, objective: str) -> DataFrame:
+        """``(pick_order, id)`` of the greedy sample of size ``k``."""
+        picks = greedy(self.items, self.k, objective, self.metric, self.first)
+        return _pick_table(self.items.sparkSession, self.items.schema["id"].dataType, [p.id for p in picks])
 
 
 def sample_maxsum(
@@ -45,14 +66,14 @@ def sample_maxsum(
     Set ``copies`` where many items share a vector: only distinct vectors and their earliest items
     are then scored, with the same result.
     """
-    return _select(items, k, MAXSUM, frame, metric, copies)
+    return Candidates(items, k, frame, metric, copies).pick(MAXSUM)
 
 
 def sample_maxmin(
     items: DataFrame, k: int, frame: DataFrame | None = None, metric: str = "euclidean", copies: bool = False
 ) -> DataFrame:
     """``(pick_order, id)``: each pick has the largest distance to its nearest pick so far."""
-    return _select(items, k, MAXMIN, frame, metric, copies)
+    return Candidates(items, k, frame, metric, copies).pick(MAXMIN)
 
 
 def expand_sample(items: DataFrame, chosen: DataFrame, n: int, frame: DataFrame | None = None, metric: str = "euclidean") -> DataFrame:
@@ -60,7 +81,8 @@ def expand_sample(items: DataFrame, chosen: DataFrame, n: int, frame: DataFrame
     placed = with_frame(items, frame)
     base = distance.summed_distance_to_set(placed, placed.join(chosen.select("id"), "id", "left_semi"), metric)
     rest = placed.join(chosen.select("id"), "id", "left_anti").join(base.withColumnRenamed("score", "base"), "id")
-    return _pick_table(items, greedy(stage(rest), n, MAXSUM, metric, seeded=True))
+    picks = greedy(stage(rest), n, MAXSUM, metric)
+    return _pick_table(items.sparkSession, items.schema["id"].dataType, [p.id for p in picks])
 
 
 def sample_from_distances(dist: DataFrame, k: int, objective: str, frame: DataFrame | None = None) -> DataFrame:
@@ -93,7 +115,7 @@ def sample_from_distances(dist: DataFrame, k: int, objective: str, frame: DataFr
         if row is None:
             raise ValueError(f"Invalid value {k=}, there are only {len(picks)} items to sample from")
         picks.append(row["b"])
-    return _pick_table(dist.withColumnRenamed("a", "id"), [Pick(i, None, None) for i in picks])
+    return _pick_table(dist.sparkSession, dist.schema["a"].dataType, picks)
 
 
 def prefixes(picks: DataFrame, method: str, ks: Iterable[int]) -> DataFrame:

@@ -27,6 +27,7 @@ POOL = 512
 MIN_CHAIN, MAX_CHAIN = 4, 32
 PATTERN_LIMIT = 256
 BANDS = (256, 4096)
+SUM_ALL = 8 * pairwise.BLOCK_ROWS
 
 
 @dataclass
@@ -177,25 +178,18 @@ def _guess(pool: dict, picks: list[Pick], objective: str, metric: str, length: i
     return chain
 
 
-def greedy(
-    items: DataFrame, k: int, objective: str, metric: str = "euclidean", seeded: bool = False, weights: DataFrame | None = None
-) -> list[Pick]:
+def greedy(items: DataFrame, k: int, objective: str, metric: str = "euclidean", first: Pick | None = None) -> list[Pick]:
     """Pick ``k`` items from ``items(id, pos, x[, base])`` in greedy order.
 
-    The first pick has the largest summed distance to all items (``weights``: profiles standing
-    for them, default the items themselves), then each next one maximises its summed or smallest
-    distance to the picks. With ``seeded`` the column ``base`` holds the score against an existing
-    sample and the first pick is scored like the others. Ties go to the smallest ``pos``.
+    After the ``first`` pick each next one maximises its summed or smallest distance to the picks.
+    Without a first pick the column ``base`` holds the score of each item against an existing
+    sample. Ties go to the smallest ``pos``.
     """
     if k < 1:
         raise ValueError(f"Invalid value {k=}, make sure k > 0")
     if "base" not in items.columns:
         items = items.withColumn("base", F.lit(_base_default(objective)))
-    picks: list[Pick] = []
-    if not seeded:
-        if weights is None:
-            weights = items.select("id", "x", F.lit(1).alias("w"))
-        picks.append(first_pick(items, weights, metric))
+    picks = [] if first is None else [first]
     pool: dict = {}
     length = 2 * MIN_CHAIN
     while len(picks) < k:
@@ -222,7 +216,7 @@ def greedy(
 # --- first pick -------------------------------------------------------------------------------
 
 
-def _pattern_moments(weights: DataFrame):
+def _pattern_moments(vectors: DataFrame):
     """Per missing-value pattern: item weight and weighted first and second moments per position.
 
     At most ``PATTERN_LIMIT`` patterns come back (a bounded number of rows); None if there are more.
@@ -247,7 +241,7 @@ def _pattern_moments(weights: DataFrame):
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["mask", "p", "w", "s1", "s2"])
 
     rows = (
-        weights.select("x", "w")
+        vectors.select("x", "w")
         .mapInArrow(moments, "mask binary, p int, w double, s1 double, s2 double")
         .groupBy("mask", "p")
         .agg(F.sum("w").alias("w"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
@@ -280,8 +274,9 @@ def _mean_bound(x: np.ndarray, moments) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0.0) * w).sum(axis=1) / w.sum()
 
 
-def _band(items: DataFrame, moments, size: int) -> tuple[list[Pick], float]:
+def _band(vectors: DataFrame, moments, size: int) -> tuple[list[Pick], float]:
     """The ``size`` items of highest bound, and the bound no other item exceeds."""
+    items = vectors.select("id", "pos", "x", F.lit(0.0).alias("base"))
     schema = _result_schema(items)
     arrow_schema = pairwise.to_arrow_schema(schema)
 
@@ -294,14 +289,12 @@ def _band(items: DataFrame, moments, size: int) -> tuple[list[Pick], float]:
                 merge.add(0, bound, _sortable(batch.column("pos")), batch, base, size + 1)
         yield merge.batch(arrow_schema)
 
-    rows = (
-        items.select("id", "pos", "x", "base").mapInArrow(scan, schema).orderBy(F.desc("score"), "pos").limit(size + 1).collect()
-    )
+    rows = items.mapInArrow(scan, schema).orderBy(F.desc("score"), "pos").limit(size + 1).collect()
     band = [Pick(r["id"], r["pos"], np.array(r["x"], dtype=float), r["base"], r["score"]) for r in rows[:size]]
     return band, rows[size]["score"] if len(rows) > size else -np.inf
 
 
-def _mean_distances(weights: DataFrame, band: list[Pick], metric: str) -> np.ndarray:
+def _mean_distances(vectors: DataFrame, band: list[Pick], metric: str) -> np.ndarray:
     """Exact mean distance of each band item to all items, in one scan."""
     points = np.stack([p.x for p in band])
     block = kernels.BLOCK_METRICS[metric]
@@ -318,7 +311,7 @@ def _mean_distances(weights: DataFrame, band: list[Pick], metric: str) -> np.nda
         yield pa.record_batch({"i": np.arange(len(points)), "s": sums, "w": np.full(len(points), mass)})
 
     rows = (
-        weights.select("x", "w")
+        vectors.select("x", "w")
         .mapInArrow(scan, "i long, s double, w double")
         .groupBy("i")
         .agg((F.sum("s") / F.sum("w")).alias("mean"))
@@ -330,28 +323,29 @@ def _mean_distances(weights: DataFrame, band: list[Pick], metric: str) -> np.nda
     return means
 
 
-def first_pick(items: DataFrame, weights: DataFrame, metric: str = "euclidean") -> Pick:
+def first_pick(vectors: DataFrame, metric: str = "euclidean") -> Pick:
     """The item of largest summed distance to all items, ties to the smallest ``pos``.
 
-    A cheap bound ranks the items; exact sums are computed for a band of the highest and the pick
-    stands once it beats the bound of every item outside. If even the widest band cannot settle
-    it, all row sums are computed in block pairs.
+    ``vectors(id, pos, x, w)`` holds the candidates and how many items stand behind each. Few
+    vectors are summed in block pairs. With many, a bound that costs one scan ranks them and exact
+    sums are computed for a band of the highest; the pick stands once it beats the bound of all
+    others. If even the widest band cannot settle it, every sum is computed in block pairs.
     """
-    moments = _pattern_moments(weights) if metric == "euclidean" else None
+    n = vectors.count()
+    if n == 0:
+        raise ValueError("Invalid value, there are no items to sample from")
+    moments = _pattern_moments(vectors) if metric == "euclidean" and n > SUM_ALL else None
     for size in BANDS if moments else ():
-        band, beyond = _band(items, moments, size)
-        if not band:
-            raise ValueError("Invalid value, there are no items to sample from")
-        means = np.round(_mean_distances(weights, band, metric), MEAN_DIGITS)
+        band, beyond = _band(vectors, moments, size)
+        means = np.round(_mean_distances(vectors, band, metric), MEAN_DIGITS)
         best = _best_first(means, np.array([p.pos for p in band]), 1)[0]
         if means[best] > beyond * (1 + 1e-9) + 1e-9:
             return band[best]
-    # copies of one vector share its row sum, so sum per vector and find items through the vector
-    vectors = stage(weights.groupBy("x").agg(F.min("id").alias("id"), F.sum("w").alias("w")))
+    if moments:
+        # many vectors may still be copies of few: sum each once
+        earliest = F.min(F.struct("pos", "id")).alias("e")
+        vectors = stage(vectors.groupBy("x").agg(earliest, F.sum("w").alias("w")).select("e.id", "e.pos", "x", "w"))
     total = vectors.agg(F.sum("w").alias("w")).first()["w"]
-    sums = pairwise.row_sums(vectors, metric)
-    means = vectors.join(sums, "id").select("x", F.round(F.col("sum_d") / total, MEAN_DIGITS).alias("_mean"))
-    row = items.join(means, "x").orderBy(F.desc("_mean"), "pos").first()
-    if row is None:
-        raise ValueError("Invalid value, there are no items to sample from")
-    return Pick(row["id"], row["pos"], np.array(row["x"], dtype=float), row["base"])
+    sums = pairwise.row_sums(vectors, metric).withColumn("mean", F.round(F.col("sum_d") / total, MEAN_DIGITS))
+    row = vectors.join(sums, "id").orderBy(F.desc("mean"), "pos").first()
+    return Pick(row["id"], row["pos"], np.array(row["x"], dtype=float))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from variform.operators.metrics import METRICS
+from variform.session import stage
 
 # display names of the methods (fixed values)
 METHOD_LABELS = {
@@ -65,7 +66,9 @@ def distribution_summary(scores: DataFrame, by: str, value: str = "score", bins:
     lies; only those ranges are then ordered, one small task each, instead of whole groups.
     """
     score = F.col(value).cast("double")
-    counts = scores.where(score.isNotNull()).groupBy(by, score.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    counts = stage(scores.groupBy(by, score.alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    # filtered only here: before the aggregate it would compute every score twice
+    counts = counts.where(F.col("v").isNotNull())
     spans = counts.groupBy(by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
     in_bin = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1)))

@@ -12,9 +12,14 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from variform.functions.columns import shuffle_key
-from variform.session import stage
+from variform.session import small_table, stage
+
+
+# keys that are ranked outright, without a bar
+RANK_ALL = 20_000_000
 
 
 class Draw(NamedTuple):
@@ -29,7 +34,8 @@ def draws_for(ks: Iterable[int], runs: int) -> list[Draw]:
 
 
 def _draw_table(df: DataFrame, draws: list[Draw]) -> DataFrame:
-    return df.sparkSession.createDataFrame([tuple(d) for d in draws], "run int, k int, seed int")
+    schema = T.StructType([T.StructField(c, T.IntegerType()) for c in Draw._fields])
+    return small_table(df.sparkSession, schema, {c: [getattr(d, c) for d in draws] for c in Draw._fields})
 
 
 def _check(draws: list[Draw], available: int) -> None:
@@ -48,21 +54,23 @@ def _lowest(rows: DataFrame, by: list[str], order: list[Column], k: int) -> Data
     return rows.withColumn("rn", rank).where(F.col("rn") <= k)
 
 
-def lowest_keys(items: DataFrame, seeds: Iterable[int], k: int, n: int, salt: str | None = None) -> DataFrame:
+def lowest_keys(
+    items: DataFrame, seeds: Iterable[int], k: int, n: int, salt: str | None = None, rank_all: int = RANK_ALL
+) -> DataFrame:
     """``(seed, id, h, rn)``: the ``k`` items of lowest shuffle key under each seed.
 
-    With many more items than ``k``, only keys under a bar that some ``k`` items almost surely
-    pass are ranked, so a task sorts few rows. The staged counts prove each seed complete; if one
-    is short, everything is ranked.
+    Beyond ``rank_all`` keys only those under a bar that some ``k`` items almost surely pass are
+    ranked, so a task sorts few rows. The staged counts prove each seed complete; if one is short,
+    everything is ranked.
     """
+    seeds = sorted(set(seeds))
     keyed = _per_seed(items.select("id"), seeds).withColumn("h", shuffle_key(F.col("seed"), "id", salt))
     order = [F.col("h"), F.col("id")]
     share = (k + 10 * math.sqrt(k) + 50) / max(n, 1)
-    if share < 0.25:
+    if n * len(seeds) > rank_all and share < 0.25:
         bar = f"{int(share * 16**12):012x}"
         low = stage(_lowest(keyed.where(F.col("h") < bar), ["seed"], order, k))
-        short = low.groupBy("seed").count().where(F.col("count") < k)
-        if low.select("seed").distinct().count() == len(set(seeds)) and short.isEmpty():
+        if low.groupBy("seed").count().where(F.col("count") == k).count() == len(seeds):
             return low
     return _lowest(keyed, ["seed"], order, k)
 
@@ -95,21 +103,21 @@ def stratified_draws(items: DataFrame, key: str, draws: list[Draw], method: str
     n, groups = shape["n"], shape["groups"]
     _check(draws, n)
     n_groups = groups + (1 if shape["ungrouped"] else 0)
-    per_group = {d: d.k // n_groups if groups < d.k else 1 for d in draws}
-    table = items.sparkSession.createDataFrame(
-        [(d.run, d.k, d.seed, per_group[d], groups < d.k) for d in draws], "run int, k int, seed int, s int, fills boolean"
-    )
+    most = max(d.k // n_groups if d.k > groups else 1 for d in draws)
+    # only draws larger than the number of groups take more than one per group and fill up
+    share = F.when(F.col("k") > groups, F.floor(F.col("k") / n_groups)).otherwise(1)
+    table = _draw_table(items, draws).withColumn("s", share.cast("int")).withColumn("fills", F.col("k") > groups)
     seeds = [d.seed for d in draws]
     k_max = max(d.k for d in draws)
 
     grouped = _per_seed(items.where(F.col(key).isNotNull()).select("id", key), seeds)
     grouped = grouped.withColumn("h", shuffle_key(F.col("seed"), "id"))
-    ranked = _lowest(grouped, ["seed", key], [F.col("h"), F.col("id")], max(per_group.values())).drop("h")
+    ranked = _lowest(grouped, ["seed", key], [F.col("h"), F.col("id")], most).drop("h")
     representative = ranked.join(table, "seed").where(F.col("rn") <= F.col("s"))
     picks = representative.select(
         "run", "k", "id", F.lit(0).alias("tier"), shuffle_key(F.col("seed"), "id", "group").alias("h")
     )
-    filling = [d for d in draws if groups < d.k]
+    filling = [d for d in draws if d.k > groups]
     if filling:
         # of the k lowest no more are picked already than the picks that need no filling
         low = lowest_keys(items, {d.seed for d in filling}, k_max, n, "fill")

@@ -540,7 +540,7 @@ def _document_cost(t) -> DataFrame:
 def token_summary(t):
     """Distribution of document length by language, and over all documents."""
     scores = _document_cost(t)
-    everything = sets.union_tagged("kind", language=scores, all=scores.withColumn("lang", F.lit("All")))
+    everything = scores.withColumn("lang", F.explode(F.array("lang", F.lit("All"))))
     quartiles = [f"q{int(q * 100)}" for q in reports.QUARTILES]
     return rounded(reports.distribution_summary(everything, "lang"), *quartiles)
 

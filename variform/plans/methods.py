@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from variform.operators import diverse, sampling
+from variform.operators import distance, diverse, pairwise, sampling
+from variform.operators.greedy import MAXMIN, MAXSUM
 from variform.operators.sampling import Draw
 
 log = logging.getLogger(__name__)
@@ -25,6 +26,20 @@ class Inputs:
     genera: DataFrame | None = None  # (id, group)
     counts: DataFrame | None = None  # (id, n)
     copies: bool = False
+    _candidates: diverse.Candidates | None = field(default=None, repr=False)
+
+    def candidates(self, k: int) -> diverse.Candidates:
+        """Prepared once and shared by the greedy methods."""
+        if self._candidates is None or self._candidates.k != k:
+            self._candidates = diverse.Candidates(self.items, k, self.frame, copies=self.copies)
+        return self._candidates
+
+    def distance_range(self) -> tuple[float, float]:
+        """Smallest and largest distance over all pairs of the frame."""
+        if self.copies and self._candidates is not None:
+            row = pairwise.pair_extremes(self._candidates.vectors).first()
+            return row["min_d"], row["max_d"]
+        return distance.distance_range(self.framed(self.items))
 
     def framed(self, table: DataFrame) -> DataFrame:
         return table if self.frame is None else table.join(self.frame.select("id"), "id", "left_semi")
@@ -33,11 +48,10 @@ class Inputs:
 SamplingMethod = Callable[[Inputs, list[Draw]], DataFrame]
 
 
-def _greedy(name: str, pick: Callable) -> SamplingMethod:
+def _greedy(objective: str) -> SamplingMethod:
     def run(inputs: Inputs, draws: list[Draw]) -> DataFrame:
         ks = [d.k for d in draws]
-        picks = pick(inputs.items, max(ks), inputs.frame, copies=inputs.copies)
-        return diverse.prefixes(picks, name, ks)
+        return diverse.prefixes(inputs.candidates(max(ks)).pick(objective), objective, ks)
 
     return run
 
@@ -63,8 +77,8 @@ METHODS: dict[str, SamplingMethod] = {
     "random": _random,
     "random_family": _family,
     "random_genus": _genus,
-    "maxsum": _greedy("maxsum", diverse.sample_maxsum),
-    "maxmin": _greedy("maxmin", diverse.sample_maxmin),
+    "maxsum": _greedy(MAXSUM),
+    "maxmin": _greedy(MAXMIN),
     "convenience": _convenience,
 }
 

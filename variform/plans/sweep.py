@@ -6,8 +6,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
-from variform.operators import distance, metrics, sampling
-from variform.plans.methods import METHODS, Inputs, draw
+from variform.operators import metrics, sampling
+from variform.plans.methods import Inputs, draw
 
 ALL_METHODS = ("maxsum", "maxmin", "convenience", "random", "random_family", "random_genus")
 
@@ -32,8 +32,5 @@ def sweep(
     """Metrics of every sample of the sweep, distances normalised by the range over all items."""
     samples = sweep_samples(inputs, ks, runs, methods)
     if distance_range is None:
-        distance_range = distance.distance_range(inputs.framed(inputs.items))
+        distance_range = inputs.distance_range()
     return metrics.evaluate(samples, inputs.items, distance_range, **options)
-
-
-__all__ = ["ALL_METHODS", "METHODS", "Inputs", "sizes", "sweep", "sweep_samples"]

@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -54,3 +57,9 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{staging_root(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, schema: T.StructType, columns: dict[str, list]) -> DataFrame:
+    """A table of a few driver-side rows. As a local relation its size is known to the optimizer."""
+    arrow = to_arrow_schema(schema)
+    return spark.createDataFrame(pa.table({f.name: pa.array(columns[f.name], f.type) for f in arrow}), schema)

@@ -21,16 +21,18 @@ def profiles(items):
     return collapse(items).cache()
 
 
-@pytest.mark.parametrize("block_rows", [4, 17, 1024])
-def test_row_sums_and_extremes(items, profiles, block_rows):
+@pytest.mark.parametrize("block_rows,tile_rows", [(4, 1024), (17, 5), (None, 7), (None, 1024)])
+def test_row_sums_and_extremes(items, profiles, monkeypatch, block_rows, tile_rows):
+    monkeypatch.setattr(pairwise, "TILE_ROWS", tile_rows)
     for r in pairwise.row_sums(profiles, block_rows=block_rows).collect():
         assert r["sum_d"] == pytest.approx(D[IDS.index(r["id"])].sum(), abs=1e-9)
     row = pairwise.pair_extremes(profiles, block_rows=block_rows).first()
     assert (row["min_d"], row["max_d"]) == pytest.approx((0.0, D.max()), abs=1e-12)
 
 
-@pytest.mark.parametrize("block_rows", [4, 1024])
-def test_every_pair_once(profiles, block_rows):
+@pytest.mark.parametrize("block_rows,tile_rows", [(4, 1024), (20, 3), (1024, 10)])
+def test_every_pair_once(profiles, monkeypatch, block_rows, tile_rows):
+    monkeypatch.setattr(pairwise, "TILE_ROWS", tile_rows)
     rows = pairwise.pair_relation(profiles, block_rows=block_rows).collect()
     assert len({(r["a"], r["b"]) for r in rows}) == len(rows) == profiles.count() * (profiles.count() - 1) // 2
     for r in rows:
@@ -54,8 +56,9 @@ def test_group_totals_with_a_hot_group_of_copies(items, block_rows):
         assert got == pytest.approx(expected, abs=1e-9)
 
 
-@pytest.mark.parametrize("block_rows", [5, 1024])
-def test_nearest_edges_with_ties(profiles, block_rows):
+@pytest.mark.parametrize("block_rows,tile_rows", [(5, 1024), (30, 4), (1024, 1024)])
+def test_nearest_edges_with_ties(profiles, monkeypatch, block_rows, tile_rows):
+    monkeypatch.setattr(pairwise, "TILE_ROWS", tile_rows)
     edges = {(r["a"], r["b"]) for r in pairwise.nearest_edges(profiles, block_rows=block_rows).collect()}
     ids = [r["id"] for r in profiles.collect()]
     expected = set()
@@ -73,10 +76,16 @@ def test_distance_to_a_set_sent_along_or_met_in_blocks(items, how):
     at = [i for i, v in enumerate(IDS) if v % 7 == 0]
     expected = D[at].sum(axis=0) if how == "sum" else D[at].min(axis=0)
     for limit in (1024, 3):
-        for r in pairwise.distance_to_set(items, chosen, how, limit=limit, block_rows=7).collect():
+        for r in pairwise.score_against(items, chosen, how, limit=limit, block_rows=7).collect():
             assert r["score"] == pytest.approx(expected[IDS.index(r["id"])], abs=1e-9)
 
 
+def test_larger_tables_get_larger_blocks(spark):
+    rows = spark.createDataFrame([(1,), (1024,), (60_000,), (1_000_000,)], "n long")
+    found = [r[0] for r in rows.select(pairwise.n_blocks(F.col("n"), None)).collect()]
+    assert found == [1, 1, 59, 123]
+
+
 def test_members_lead_back_to_all_items(items, profiles):
     back = members(items, profiles).collect()
     assert sorted(r["id"] for r in back) == sorted(IDS)

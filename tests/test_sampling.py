@@ -1,9 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from variform.operators import sampling
+from variform.operators import ranks, sampling
 from variform.operators.sampling import Draw
-from variform.session import small_table  # noqa: F401
 
 
 @pytest.fixture(scope="module")
@@ -106,3 +105,20 @@ def test_invalid_sizes(spark, families, k):
 
 def test_seed_of_a_run():
     assert sampling.draws_for([4, 8], 2) == [Draw(0, 4, 4), Draw(1, 4, 5), Draw(0, 8, 8), Draw(1, 8, 9)]
+
+
+def test_large_samples_cut_hot_keys_in_salted_parts(spark, families):
+    draws = [Draw(0, 80, 1), Draw(1, 30, 2)]
+    plain = drawn(sampling.stratified_draws(families, "group", draws))
+    spark.conf.set(ranks.GROUP_LIMIT, "1")
+    try:
+        salted = drawn(sampling.stratified_draws(families, "group", draws))
+        assert {k: sorted(v) for k, v in plain.items()} == {k: sorted(v) for k, v in salted.items()}
+    finally:
+        spark.conf.unset(ranks.GROUP_LIMIT)
+
+
+def test_rank_filter_reaches_below_the_shuffle(spark):
+    rows = spark.range(100).withColumn("key", F.col("id") % 3)
+    plan = ranks.first_per_key(rows, ["key"], [F.col("id")], 5)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variform.functions.columns import words
+from variform.session import stage
 
 SPECIAL_TOKENS = ("[SEP]", "[CLS]")
 
@@ -39,7 +40,7 @@ def unit_frequency(verses: DataFrame) -> DataFrame:
 
 def most_common_units(verses: DataFrame, c: int) -> DataFrame:
     """The ``c`` verses held by most editions, ties to the smallest id."""
-    return unit_frequency(verses).orderBy(F.desc("n_editions"), "verse_id").limit(c)
+    return stage(unit_frequency(verses).orderBy(F.desc("n_editions"), "verse_id").limit(c))
 
 
 def fully_covering(verses: DataFrame, selected: DataFrame) -> DataFrame:

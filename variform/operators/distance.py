@@ -104,13 +104,13 @@ def within_sample_distance(samples: DataFrame, items: DataFrame, group: str, met
 
 def summed_distance_to_set(items: DataFrame, chosen: DataFrame, metric: str = "euclidean") -> DataFrame:
     """``(id, score)``: summed distance of every candidate to the chosen items."""
-    return pairwise.distance_to_set(items, chosen, "sum", metric)
+    return pairwise.score_against(items.select("id", "x"), chosen, "sum", metric).select("id", "score")
 
 
 def min_distance_to_set(items: DataFrame, chosen: DataFrame, metric: str = "euclidean") -> DataFrame:
     """``(id, score)``: smallest distance of every candidate not yet chosen to the chosen items."""
-    rest = items.join(chosen.select("id"), "id", "left_anti")
-    return pairwise.distance_to_set(rest, chosen, "min", metric)
+    rest = items.select("id", "x").join(chosen.select("id"), "id", "left_anti")
+    return pairwise.score_against(rest, chosen, "min", metric).select("id", "score")
 
 
 def running_overlap(pairs: DataFrame, long: DataFrame) -> DataFrame:

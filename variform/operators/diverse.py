@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variform.operators import distance
+from variform.operators import distance, pairwise
 from variform.operators.greedy import MAXMIN, MAXSUM, SCORE_DIGITS, Pick, first_pick, greedy
 from variform.operators.profiles import earliest_copies
 from variform.session import small_table, stage
@@ -79,21 +79,27 @@ def sample_maxmin(
 def expand_sample(items: DataFrame, chosen: DataFrame, n: int, frame: DataFrame | None = None, metric: str = "euclidean") -> DataFrame:
     """``(pick_order, id)``: the ``n`` next best items for an existing sample, never one of its own."""
     placed = with_frame(items, frame)
-    base = distance.summed_distance_to_set(placed, placed.join(chosen.select("id"), "id", "left_semi"), metric)
-    rest = placed.join(chosen.select("id"), "id", "left_anti").join(base.withColumnRenamed("score", "base"), "id")
-    picks = greedy(stage(rest), n, MAXSUM, metric)
+    rest = placed.join(chosen.select("id"), "id", "left_anti")
+    sample = placed.join(chosen.select("id"), "id", "left_semi")
+    scored = pairwise.score_against(rest, sample, "sum", metric).withColumnRenamed("score", "base")
+    picks = greedy(stage(scored), n, MAXSUM, metric)
     return _pick_table(items.sparkSession, items.schema["id"].dataType, [p.id for p in picks])
 
 
-def sample_from_distances(dist: DataFrame, k: int, objective: str, frame: DataFrame | None = None) -> DataFrame:
+def sample_from_distances(
+    dist: DataFrame, k: int, objective: str, frame: DataFrame | None = None, clustered: bool = False
+) -> DataFrame:
     """As the greedy samplers, on a relation ``(a, b, d)`` that holds both directions.
 
-    Each step reads only the rows of the picks so far, which a relation written clustered by ``a``
-    turns into a small part of its files.
+    Each step reads only the rows of the picks so far, a small part of the files of a relation
+    clustered by ``a``. It is staged that way first, unless ``clustered`` says it was written so.
     """
     if frame is None:
-        frame = dist.select(F.col("a").alias("id")).distinct().withColumn("pos", F.col("id"))
-    dist = distance.sub_distances(dist, frame)
+        dist = dist.select("a", "b", "d", F.col("a").alias("pos_a"), F.col("b").alias("pos_b"))
+    else:
+        dist = distance.sub_distances(dist, frame)
+    if frame is not None or not clustered:
+        dist = stage(dist.repartitionByRange("a").sortWithinPartitions("a"))
     first = (
         dist.groupBy("a", "pos_a")
         .agg(F.round(F.sum("d"), SCORE_DIGITS).alias("score"))

@@ -27,7 +27,7 @@ POOL = 512
 MIN_CHAIN, MAX_CHAIN = 4, 32
 PATTERN_LIMIT = 256
 BANDS = (256, 4096)
-SUM_ALL = 8 * pairwise.BLOCK_ROWS
+SUM_ALL = 8 * pairwise.TILE_ROWS
 
 
 @dataclass

@@ -7,7 +7,6 @@ more than two blocks, and a group key (a sample, say) of any size is spread over
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -20,27 +19,32 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from variform.functions import kernels
 
-BLOCK_ROWS = 1024
+TILE_ROWS = 1024
+MAX_TILES = 8
 ROUND = 9
 
 
-def n_blocks(rows: Column | int, block_rows: int) -> Column | int:
-    if isinstance(rows, int):
-        return max(1, math.ceil(rows / block_rows))
-    return F.greatest(F.lit(1), F.ceil(rows / block_rows)).cast("int")
+def n_blocks(rows: Column, block_rows: int | None) -> Column:
+    """Blocks for so many rows. Larger tables get larger blocks, as each row travels once per block."""
+    if block_rows is None:
+        tiles = F.least(F.lit(MAX_TILES), F.ceil(rows / (64 * TILE_ROWS)))
+        per_block = F.greatest(tiles, F.lit(1)) * TILE_ROWS
+    else:
+        per_block = F.lit(block_rows)
+    return F.greatest(F.lit(1), F.ceil(rows / per_block)).cast("int")
 
 
 def _block_of(n: Column) -> Column:
     return F.pmod(F.xxhash64("id"), n).cast("int")
 
 
-def pair_blocks(items: DataFrame, group: str | None, block_rows: int) -> DataFrame:
+def pair_blocks(items: DataFrame, group: str | None, block_rows: int | None) -> DataFrame:
     """Place each item in every unordered pair of blocks that holds its own block.
 
     Adds ``_g, _lo, _hi, _right``; an item lands in as many pairs as its group has blocks.
     """
     if group is None:
-        blocks = F.lit(n_blocks(items.count(), block_rows))
+        blocks = n_blocks(F.lit(items.count()), block_rows)
         placed = items.withColumn("_g", F.lit(0)).withColumn("_n", blocks)
     else:
         sizes = items.groupBy(group).agg(n_blocks(F.count(F.lit(1)), block_rows).alias("_n"))
@@ -58,15 +62,15 @@ def pair_blocks(items: DataFrame, group: str | None, block_rows: int) -> DataFra
     )
 
 
-def cross_blocks(items: DataFrame, others: DataFrame, block_rows: int) -> DataFrame:
+def cross_blocks(items: DataFrame, others: DataFrame, block_rows: int | None) -> DataFrame:
     """As :func:`pair_blocks` for two different tables: every block of one against every block of the other."""
-    n_left, n_right = n_blocks(items.count(), block_rows), n_blocks(others.count(), block_rows)
+    n_left, n_right = (n_blocks(F.lit(df.count()), block_rows) for df in (items, others))
 
-    def place(df: DataFrame, own: str, n_own: int, other: str, n_other: int, right: bool) -> DataFrame:
+    def place(df: DataFrame, own: str, n_own: Column, other: str, n_other: Column, right: bool) -> DataFrame:
         return df.select(
             F.lit(0).alias("_g"),
-            _block_of(F.lit(n_own)).alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other),
+            _block_of(n_own).alias(own),
+            F.explode(F.sequence(F.lit(0), n_other - 1)).alias(other),
             F.lit(right).alias("_right"),
             "id",
             "x",
@@ -78,38 +82,51 @@ def cross_blocks(items: DataFrame, others: DataFrame, block_rows: int) -> DataFr
 
 
 class _Block:
-    """One side of a block pair."""
+    """One side of a block pair, or a tile of it."""
+
+    def __init__(self, ids: pa.ChunkedArray, x: np.ndarray, w: np.ndarray):
+        self.ids, self.x, self.w = ids, x, w
 
-    def __init__(self, table: pa.Table):
-        self.ids = table.column("id")
-        self.x = kernels.matrix(table.column("x"))
-        self.w = table.column("w").to_numpy()
+    @classmethod
+    def of(cls, table: pa.Table) -> _Block:
+        return cls(table.column("id"), kernels.matrix(table.column("x")), table.column("w").to_numpy())
 
+    def tiles(self) -> list[_Block]:
+        starts = range(0, len(self.w), TILE_ROWS)
+        return [_Block(self.ids.slice(s, TILE_ROWS), self.x[s : s + TILE_ROWS], self.w[s : s + TILE_ROWS]) for s in starts]
 
-def _sides(table: pa.Table, one_table: bool) -> tuple[_Block, _Block, bool] | None:
-    """Left block, right block and whether both are the same block; None if a side is empty.
+
+def _tile_pairs(table: pa.Table, one_table: bool):
+    """``(left, right, diagonal)`` tiles of a block pair; ``diagonal`` marks a tile met with itself.
 
     Equal block numbers mean the same block only when both sides come from one table.
     """
-    right = table.column("_right")
     if one_table and table.column("_lo")[0] == table.column("_hi")[0]:
-        block = _Block(table)
-        return block, block, True
-    left_rows, right_rows = table.filter(pc.invert(right)), table.filter(right)
-    if not left_rows.num_rows or not right_rows.num_rows:
-        return None
-    return _Block(left_rows), _Block(right_rows), False
+        tiles = _Block.of(table).tiles()
+        for i, left in enumerate(tiles):
+            for right in tiles[i:]:
+                yield left, right, left is right
+        return
+    right_side = table.column("_right")
+    left_rows, right_rows = table.filter(pc.invert(right_side)), table.filter(right_side)
+    if left_rows.num_rows and right_rows.num_rows:
+        rights = _Block.of(right_rows).tiles()
+        for left in _Block.of(left_rows).tiles():
+            for right in rights:
+                yield left, right, False
 
 
 def _per_pair(placed: DataFrame, schema: T.StructType, body: Callable, one_table: bool = True) -> DataFrame:
-    """Run ``body(g, left, right, diagonal) -> dict of columns`` on every block pair."""
+    """Run ``body(g, left, right, diagonal) -> dict of columns`` on every pair of tiles.
+
+    Tiles bound the memory of a kernel whatever the block size.
+    """
     arrow_schema = to_arrow_schema(schema)
 
     def run(table: pa.Table) -> pa.Table:
-        sides = _sides(table, one_table)
-        if not sides:
-            return arrow_schema.empty_table()
-        return pa.table(body(table.column("_g")[0], *sides)).select(arrow_schema.names).cast(arrow_schema)
+        g = table.column("_g")[0]
+        parts = [pa.table(body(g, *tiles)).select(arrow_schema.names).cast(arrow_schema) for tiles in _tile_pairs(table, one_table)]
+        return pa.concat_tables(parts) if parts else arrow_schema.empty_table()
 
     return placed.groupBy("_g", "_lo", "_hi").applyInArrow(run, schema)
 
@@ -142,7 +159,7 @@ def pair_statistics(
     group: str | None = None,
     stats: tuple[str, ...] = ("distance", "overlap"),
     metric: str = "euclidean",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """``(group, stat, total, n)`` over all unordered pairs of items within each group.
 
@@ -171,7 +188,7 @@ def pair_statistics(
     return totals.withColumnRenamed("_g", group) if group else totals.drop("_g")
 
 
-def pair_extremes(profiles: DataFrame, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pair_extremes(profiles: DataFrame, metric: str = "euclidean", block_rows: int | None = None) -> DataFrame:
     """One row ``(min_d, max_d)`` over the full matrix of all items, diagonal included."""
     block = kernels.BLOCK_METRICS[metric]
     placed = pair_blocks(profiles, None, block_rows)
@@ -184,7 +201,7 @@ def pair_extremes(profiles: DataFrame, metric: str = "euclidean", block_rows: in
     return parts.agg(F.min("lo").alias("min_d"), F.max("hi").alias("max_d"))
 
 
-def row_sums(profiles: DataFrame, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def row_sums(profiles: DataFrame, metric: str = "euclidean", block_rows: int | None = None) -> DataFrame:
     """``(id, sum_d)``: summed distance of each profile to every item."""
     block = kernels.BLOCK_METRICS[metric]
     placed = pair_blocks(profiles, None, block_rows)
@@ -201,7 +218,7 @@ def row_sums(profiles: DataFrame, metric: str = "euclidean", block_rows: int = B
     return parts.groupBy("id").agg(F.sum("s").alias("sum_d"))
 
 
-def pair_relation(profiles: DataFrame, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pair_relation(profiles: DataFrame, metric: str = "euclidean", block_rows: int | None = None) -> DataFrame:
     """``(a, b, d, n_a, n_b)`` for every unordered pair of distinct profiles, ``a < b``.
 
     The relation is quadratic in the number of *distinct vectors* by definition; for reductions
@@ -233,7 +250,7 @@ def pair_relation(profiles: DataFrame, metric: str = "euclidean", block_rows: in
     )
 
 
-def nearest_edges(profiles: DataFrame, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_edges(profiles: DataFrame, metric: str = "euclidean", block_rows: int | None = None) -> DataFrame:
     """``(a, b, d)``: for each profile its nearest profiles at positive distance, ties included.
 
     Every block pair keeps only its own nearest edges; the global minimum then filters them.
@@ -257,13 +274,16 @@ def nearest_edges(profiles: DataFrame, metric: str = "euclidean", block_rows: in
     return local.join(best, "a").where(F.col("d") == F.col("_min")).select("a", "b", "d")
 
 
-def distance_to_set(items: DataFrame, chosen: DataFrame, how: str, metric: str = "euclidean", limit: int = 1024, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(id, score)``: summed (``how='sum'``) or smallest (``'min'``) distance to the chosen items.
+def score_against(
+    items: DataFrame, chosen: DataFrame, how: str, metric: str = "euclidean", limit: int = 1024, block_rows: int | None = None
+) -> DataFrame:
+    """``items`` with ``score``: summed (``how='sum'``) or smallest (``'min'``) distance to the chosen items.
 
     Up to ``limit`` chosen vectors travel to the tasks with the function; a larger set is met in
     block pairs. The check reads at most ``limit + 1`` rows.
     """
     head = chosen.select("id", "x").orderBy("id").limit(limit + 1).collect()
+    schema = T.StructType([*items.schema.fields, T.StructField("score", T.DoubleType())])
     if len(head) <= limit:
         point = kernels.POINT_METRICS[metric]
         points = np.array([row["x"] for row in head], dtype=float)
@@ -272,11 +292,11 @@ def distance_to_set(items: DataFrame, chosen: DataFrame, how: str, metric: str =
             for batch in batches:
                 x = kernels.matrix(batch.column("x"))
                 total = np.zeros(len(x)) if how == "sum" else np.full(len(x), np.inf)
-                for p in points:
+                for p in points if len(x) else ():
                     total = total + point(x, p) if how == "sum" else np.minimum(total, point(x, p))
-                yield pa.record_batch({"id": batch.column("id"), "score": total})
+                yield batch.append_column("score", pa.array(total))
 
-        return items.select("id", "x").mapInArrow(score, _schema_id(items))
+        return items.mapInArrow(score, schema)
     block = kernels.BLOCK_METRICS[metric]
     placed = cross_blocks(items, chosen, block_rows)
 
@@ -284,9 +304,6 @@ def distance_to_set(items: DataFrame, chosen: DataFrame, how: str, metric: str =
         d = block(left.x, right.x)
         return {"id": left.ids, "score": d.sum(axis=1) if how == "sum" else d.min(axis=1)}
 
-    parts = _per_pair(placed, _schema_id(items), body, one_table=False)
-    return parts.groupBy("id").agg((F.sum if how == "sum" else F.min)("score").alias("score"))
-
-
-def _schema_id(items: DataFrame) -> T.StructType:
-    return T.StructType([T.StructField("id", items.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    parts = _per_pair(placed, _schema(placed, ("id", "id"), ("score", "double")), body, one_table=False)
+    scores = parts.groupBy("id").agg((F.sum if how == "sum" else F.min)("score").alias("score"))
+    return items.join(scores, "id").select(*items.columns, "score")

@@ -6,9 +6,11 @@ profiles and weighted by how many items stand behind each. Copies, however many,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from variform.operators.ranks import first_per_key
+
 
 def collapse(items: DataFrame, *group: str) -> DataFrame:
     """``items(id, x)`` to ``(group.., id, x, w)``: one row per distinct vector, ``id`` the smallest.
@@ -24,12 +26,10 @@ def members(items: DataFrame, profiles: DataFrame) -> DataFrame:
     return items.join(keyed, "x").select("id", "profile")
 
 
-def earliest_copies(items: DataFrame, k: int, order: Column | str = "pos") -> DataFrame:
+def earliest_copies(items: DataFrame, k: int) -> DataFrame:
     """At most ``k`` items per distinct vector, the earliest ones in frame order.
 
     A greedy pick of ``k`` items never needs more: copies score alike and ties go to the
-    earliest, so the copy numbered ``k + 1`` is never reached. The rank filter is pushed below
-    the shuffle as a group limit, which keeps a hot vector from piling up in one task.
+    earliest, so the copy numbered ``k + 1`` is never reached.
     """
-    by_vector = Window.partitionBy("x").orderBy(order)
-    return items.withColumn("_copy", F.row_number().over(by_vector)).where(F.col("_copy") <= k).drop("_copy")
+    return first_per_key(items, ["x"], [F.col("pos")], k).drop("rn")

@@ -59,20 +59,21 @@ def summarize_runs(results: DataFrame, by: Sequence[str] = ("method", "k"), metr
     return results.groupBy(*by).agg(*out)
 
 
-def distribution_summary(scores: DataFrame, by: str, value: str = "score", bins: int = 1024) -> DataFrame:
+def distribution_summary(scores: DataFrame, by: str, value: str = "score", bins: int = 256) -> DataFrame:
     """``(by, n, q0, q25, q50, q75, q100)``: exact interpolated quartiles per group of any size.
 
-    Equal scores are merged first. Counts per value range tell in which range each wanted rank
-    lies; only those ranges are then ordered, one small task each, instead of whole groups.
+    Equal scores are merged first. Approximate quantiles of the distinct scores split each group in
+    ranges of about equal size; counts per range tell in which range each wanted rank lies, and
+    only those ranges are then ordered, one small task each, instead of whole groups.
     """
     score = F.col(value).cast("double")
     counts = stage(scores.groupBy(by, score.alias("v")).agg(F.count(F.lit(1)).alias("c")))
     # filtered only here: before the aggregate it would compute every score twice
     counts = counts.where(F.col("v").isNotNull())
-    spans = counts.groupBy(by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    in_bin = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1)))
-    binned = counts.join(spans, by).withColumn("bin", in_bin.cast("int"))
+    edges = F.percentile_approx("v", [i / bins for i in range(1, bins)] or [0.5])
+    spans = counts.groupBy(by).agg(edges.alias("edges"), F.sum("c").alias("n"))
+    in_bin = F.size(F.filter("edges", lambda e: e < F.col("v")))
+    binned = counts.join(spans, by).withColumn("bin", in_bin).drop("edges")
     ranges = binned.groupBy(by, "n", "bin").agg(F.sum("c").alias("bin_c"))
     before = F.sum("bin_c").over(Window.partitionBy(by).orderBy("bin")) - F.col("bin_c")
     ranges = ranges.withColumn("before", before)

@@ -10,11 +10,12 @@ import math
 from collections.abc import Iterable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from variform.functions.columns import shuffle_key
+from variform.operators.ranks import first_per_key
 from variform.session import small_table, stage
 
 
@@ -48,12 +49,6 @@ def _per_seed(df: DataFrame, seeds: Iterable[int]) -> DataFrame:
     return df.withColumn("seed", F.explode(F.array(*[F.lit(s).cast("int") for s in sorted(set(seeds))])))
 
 
-def _lowest(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
-    """First ``k`` rows per key, numbered ``rn``; the limit is also applied before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("rn", rank).where(F.col("rn") <= k)
-
-
 def lowest_keys(
     items: DataFrame, seeds: Iterable[int], k: int, n: int, salt: str | None = None, rank_all: int = RANK_ALL
 ) -> DataFrame:
@@ -69,10 +64,10 @@ def lowest_keys(
     share = (k + 10 * math.sqrt(k) + 50) / max(n, 1)
     if n * len(seeds) > rank_all and share < 0.25:
         bar = f"{int(share * 16**12):012x}"
-        low = stage(_lowest(keyed.where(F.col("h") < bar), ["seed"], order, k))
+        low = stage(first_per_key(keyed.where(F.col("h") < bar), ["seed"], order, k))
         if low.groupBy("seed").count().where(F.col("count") == k).count() == len(seeds):
             return low
-    return _lowest(keyed, ["seed"], order, k)
+    return first_per_key(keyed, ["seed"], order, k)
 
 
 def _label(samples: DataFrame, method: str) -> DataFrame:
@@ -112,7 +107,7 @@ def stratified_draws(items: DataFrame, key: str, draws: list[Draw], method: str
 
     grouped = _per_seed(items.where(F.col(key).isNotNull()).select("id", key), seeds)
     grouped = grouped.withColumn("h", shuffle_key(F.col("seed"), "id"))
-    ranked = _lowest(grouped, ["seed", key], [F.col("h"), F.col("id")], most).drop("h")
+    ranked = first_per_key(grouped, ["seed", key], [F.col("h"), F.col("id")], most).drop("h")
     representative = ranked.join(table, "seed").where(F.col("rn") <= F.col("s"))
     picks = representative.select(
         "run", "k", "id", F.lit(0).alias("tier"), shuffle_key(F.col("seed"), "id", "group").alias("h")
@@ -122,9 +117,11 @@ def stratified_draws(items: DataFrame, key: str, draws: list[Draw], method: str
         # of the k lowest no more are picked already than the picks that need no filling
         low = lowest_keys(items, {d.seed for d in filling}, k_max, n, "fill")
         fill = low.join(table.where("fills"), "seed").select("run", "k", "id", F.lit(1).alias("tier"), "h")
-        picks = picks.unionByName(fill.join(picks.select("run", "k", "id"), ["run", "k", "id"], "left_anti"))
+        # an item that is picked and also drawn for filling counts as picked
+        place = F.min(F.struct("tier", "h")).alias("p")
+        picks = picks.unionByName(fill).groupBy("run", "k", "id").agg(place).select("run", "k", "id", "p.tier", "p.h")
     order = [F.col("tier"), F.col("h"), F.col("id")]
-    return _label(_lowest(picks, ["run", "k"], order, k_max).where(F.col("rn") <= F.col("k")), method)
+    return _label(first_per_key(picks, ["run", "k"], order, k_max).where(F.col("rn") <= F.col("k")), method)
 
 
 def convenience_draws(frame: DataFrame, counts: DataFrame, draws: list[Draw]) -> DataFrame:
@@ -132,7 +129,7 @@ def convenience_draws(frame: DataFrame, counts: DataFrame, draws: list[Draw]) ->
     used = counts.select("id", "n").join(frame.select("id"), "id", "left_semi")
     _check(draws, used.count())
     keyed = _per_seed(used, [d.seed for d in draws]).withColumn("h", shuffle_key(F.col("seed"), "id"))
-    low = _lowest(keyed, ["seed"], [F.desc("n"), F.col("h"), F.col("id")], max(d.k for d in draws))
+    low = first_per_key(keyed, ["seed"], [F.desc("n"), F.col("h"), F.col("id")], max(d.k for d in draws))
     return _label(low.join(_draw_table(frame, draws), "seed").where(F.col("rn") <= F.col("k")), "convenience")
 
 

@@ -31,7 +31,9 @@ def test_copies_may_be_picked_again_when_nothing_else_is_left(spark, objective):
     assert picked(pick(items_table(spark, vectors), 7, copies=True)) == expected
 
 
-def test_many_partitions_and_long_chains_settle_the_same_picks(spark):
+@pytest.mark.parametrize("direct_rows", [0, 4096])
+def test_many_partitions_and_long_chains_settle_the_same_picks(spark, monkeypatch, direct_rows):
+    monkeypatch.setattr(greedy, "DIRECT_ROWS", direct_rows)
     rng = np.random.default_rng(5)
     vectors = {int(i): [float(v) for v in row] for i, row in enumerate(rng.normal(size=(300, 6)))}
     expected = greedy_picks(distance_matrix(vectors), 40, "maxmin")

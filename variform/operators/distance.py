@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from variform.functions.columns import euclidean
 from variform.operators import pairwise
-from variform.operators.profiles import collapse
+from variform.operators.profiles import collapse, members
 from variform.session import stage
 
 PIVOT_LIMIT = 10_000
@@ -58,6 +58,22 @@ def symmetrize(pairs: DataFrame, items: DataFrame | None = None) -> DataFrame:
     return both.withColumn("d", F.coalesce("d", F.lit(0.0)))
 
 
+def item_relation(items: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """``(a, b, d)`` over all ordered pairs of items, diagonal included, for the wide file of a small frame.
+
+    Grows with the square of the items, so it stops at what a wide file can hold; use
+    :func:`all_pairs` with ``profiles.members`` beyond that.
+    """
+    n = items.count()
+    if n > PIVOT_LIMIT:
+        raise ValueError(f"{n} items are too many for a relation of all items, keep that of distinct vectors")
+    profiles = stage(collapse(items))
+    relation = symmetrize(pairwise.pair_relation(profiles, metric), profiles)
+    held = stage(members(items, profiles))
+    left, right = (held.select(F.col("id").alias(f"_{c}"), F.col("profile").alias(c)) for c in "ab")
+    return relation.join(left, "a").join(right, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "d")
+
+
 def pair_distances(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """Distance of each given pair ``(a, b)``, looked up through two equi-joins."""
     left = items.select(F.col("id").alias("a"), F.col("x").alias("_x"))

@@ -40,9 +40,12 @@ class Candidates:
         placed = with_frame(items, frame)
         self.k, self.metric = k, metric
         if copies:
-            earliest = F.min(F.struct("pos", "id")).alias("e")
+            # without a frame the id is the position, and its minimum aggregates by hash
+            earliest = F.min("id" if frame is None else F.struct("pos", "id")).alias("e")
+            e = F.col("e")
+            id_pos = (e.alias("id"), e.alias("pos")) if frame is None else ("e.id", "e.pos")
             weighed = placed.groupBy("x").agg(earliest, F.count(F.lit(1)).alias("w"))
-            self.vectors = stage(weighed.select("e.id", "e.pos", "x", "w"))
+            self.vectors = stage(weighed.select(*id_pos, "x", "w"))
             self.items = stage(earliest_copies(placed, k))
         else:
             self.items = stage(placed)

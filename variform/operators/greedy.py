@@ -25,6 +25,8 @@ SCORE_DIGITS = 9
 MEAN_DIGITS = 10
 POOL = 512
 MIN_CHAIN, MAX_CHAIN = 4, 32
+# so many task results come to the driver as they are; more are ranked by Spark first
+DIRECT_ROWS = 4096
 PATTERN_LIMIT = 256
 BANDS = (256, 4096)
 SUM_ALL = 8 * pairwise.TILE_ROWS
@@ -116,7 +118,8 @@ def _pass(items: DataFrame, objective: str, metric: str, picks: list[Pick], chai
     schema = _result_schema(items)
     arrow_schema = pairwise.to_arrow_schema(schema)
     # guesses come from the best few of every task; the winners are exact whatever the pool
-    keep = max(8, pool // items.rdd.getNumPartitions())
+    tasks = items.rdd.getNumPartitions()
+    keep = max(8, pool // tasks)
     settled = [(p.id, p.x) for p in picks]
     guessed = [(p.id, p.x) for p in chain]
 
@@ -142,17 +145,13 @@ def _pass(items: DataFrame, objective: str, metric: str, picks: list[Pick], chai
                     out = out | same.to_numpy(zero_copy_only=False)
         yield merge.batch(arrow_schema)
 
-    best = Window.partitionBy("step").orderBy(F.desc("score"), F.asc("pos"))
-    found = (
-        items.select("id", "pos", "x", "base")
-        .mapInArrow(scan, schema)
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= F.when(F.col("step") == len(chain), pool).otherwise(1))
-        .where(F.col("rank") <= pool)
-        .collect()
-    )
+    found = items.select("id", "pos", "x", "base").mapInArrow(scan, schema)
+    if tasks * (len(chain) + keep) > DIRECT_ROWS:
+        best = Window.partitionBy("step").orderBy(F.desc("score"), F.asc("pos"))
+        wanted = F.when(F.col("step") == len(chain), pool).otherwise(1)
+        found = found.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= pool) & (F.col("rank") <= wanted))
     steps: list[list[Pick]] = [[] for _ in range(len(chain) + 1)]
-    for row in sorted(found, key=lambda r: (r["step"], r["rank"])):
+    for row in sorted(found.collect(), key=lambda r: (r["step"], -r["score"], r["pos"])):
         vector = np.array(row["x"], dtype=float)
         steps[row["step"]].append(Pick(row["id"], row["pos"], vector, row["base"], row["score"]))
     return steps
@@ -331,7 +330,8 @@ def first_pick(vectors: DataFrame, metric: str = "euclidean") -> Pick:
     sums are computed for a band of the highest; the pick stands once it beats the bound of all
     others. If even the widest band cannot settle it, every sum is computed in block pairs.
     """
-    n = vectors.count()
+    size = F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")
+    n, total = vectors.agg(*size).first()
     if n == 0:
         raise ValueError("Invalid value, there are no items to sample from")
     moments = _pattern_moments(vectors) if metric == "euclidean" and n > SUM_ALL else None
@@ -345,7 +345,7 @@ def first_pick(vectors: DataFrame, metric: str = "euclidean") -> Pick:
         # many vectors may still be copies of few: sum each once
         earliest = F.min(F.struct("pos", "id")).alias("e")
         vectors = stage(vectors.groupBy("x").agg(earliest, F.sum("w").alias("w")).select("e.id", "e.pos", "x", "w"))
-    total = vectors.agg(F.sum("w").alias("w")).first()["w"]
-    sums = pairwise.row_sums(vectors, metric).withColumn("mean", F.round(F.col("sum_d") / total, MEAN_DIGITS))
+        n = vectors.count()
+    sums = pairwise.row_sums(vectors, metric, rows=n).withColumn("mean", F.round(F.col("sum_d") / total, MEAN_DIGITS))
     row = vectors.join(sums, "id").orderBy(F.desc("mean"), "pos").first()
     return Pick(row["id"], row["pos"], np.array(row["x"], dtype=float))

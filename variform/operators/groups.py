@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from variform.operators import pairwise
 from variform.operators.profiles import collapse
-from variform.session import stage
+from variform.session import small_table, stage
 
 
 def group_sizes(items: DataFrame, group: str) -> DataFrame:
@@ -68,18 +69,18 @@ def neighbour_group_purity(items: DataFrame, group: str, metric: str = "euclidea
     Two missing groups count as the same group. Counts per profile and group stand for the items,
     so tied copies are multiplied, not listed.
     """
-    items = stage(items.select("id", "x", group))
-    profiles = stage(collapse(items))
+    counted = items.groupBy("x", F.col(group).alias("g")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    counted = stage(counted)
+    profiles = stage(counted.groupBy("x").agg(F.min("id").alias("id"), F.sum("n").alias("w")))
     edges = stage(pairwise.nearest_edges(profiles, metric).select("a", "b"))
-    sizes = profiles.select("id", F.col("w").cast("long").alias("w"))
+    sizes = profiles.select("id", "w")
     left, right = (sizes.select(F.col("id").alias(c), F.col("w").alias(f"w_{c}")) for c in "ab")
     total = edges.join(left, "a").join(right, "b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("total"))
-    per_group = items.groupBy("x", group).agg(F.count(F.lit(1)).alias("n"))
-    held = stage(per_group.join(profiles.select("x", "id"), "x").select("id", F.col(group).alias("g"), "n"))
+    held = stage(counted.drop("id").join(profiles.select("x", "id"), "x").select("id", "g", "n"))
     g_left = held.select(F.col("id").alias("a"), F.col("g").alias("g_a"), F.col("n").alias("n_a"))
     g_right = held.select(F.col("id").alias("b"), F.col("g").alias("g_b"), F.col("n").alias("n_b"))
-    # null-safe equality through a never-null key keeps this an equi-join
     same = edges.join(g_left, "a").join(g_right, "b").where(F.col("g_a").eqNullSafe(F.col("g_b")))
     inside = same.agg(F.coalesce(F.sum(F.col("n_a") * F.col("n_b")), F.lit(0)).alias("in_group"))
     row, whole = inside.first()["in_group"], total.first()["total"] or 0
-    return items.sparkSession.createDataFrame([(row, whole - row, whole)], "in_group long, out_group long, total long")
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("in_group", "out_group", "total")])
+    return small_table(items.sparkSession, schema, {"in_group": [row], "out_group": [whole - row], "total": [whole]})

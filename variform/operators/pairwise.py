@@ -38,13 +38,14 @@ def _block_of(n: Column) -> Column:
     return F.pmod(F.xxhash64("id"), n).cast("int")
 
 
-def pair_blocks(items: DataFrame, group: str | None, block_rows: int | None) -> DataFrame:
+def pair_blocks(items: DataFrame, group: str | None, block_rows: int | None, rows: int | None = None) -> DataFrame:
     """Place each item in every unordered pair of blocks that holds its own block.
 
-    Adds ``_g, _lo, _hi, _right``; an item lands in as many pairs as its group has blocks.
+    Adds ``_g, _lo, _hi, _right``; an item lands in as many pairs as its group has blocks. Without
+    a group the number of ``rows`` is counted unless it is given.
     """
     if group is None:
-        blocks = n_blocks(F.lit(items.count()), block_rows)
+        blocks = n_blocks(F.lit(items.count() if rows is None else rows), block_rows)
         placed = items.withColumn("_g", F.lit(0)).withColumn("_n", blocks)
     else:
         sizes = items.groupBy(group).agg(n_blocks(F.count(F.lit(1)), block_rows).alias("_n"))
@@ -201,10 +202,12 @@ def pair_extremes(profiles: DataFrame, metric: str = "euclidean", block_rows: in
     return parts.agg(F.min("lo").alias("min_d"), F.max("hi").alias("max_d"))
 
 
-def row_sums(profiles: DataFrame, metric: str = "euclidean", block_rows: int | None = None) -> DataFrame:
+def row_sums(
+    profiles: DataFrame, metric: str = "euclidean", block_rows: int | None = None, rows: int | None = None
+) -> DataFrame:
     """``(id, sum_d)``: summed distance of each profile to every item."""
     block = kernels.BLOCK_METRICS[metric]
-    placed = pair_blocks(profiles, None, block_rows)
+    placed = pair_blocks(profiles, None, block_rows, rows)
 
     def body(g, left, right, diagonal):
         d = _distances(left, right, diagonal, block)

@@ -32,4 +32,6 @@ def earliest_copies(items: DataFrame, k: int) -> DataFrame:
     A greedy pick of ``k`` items never needs more: copies score alike and ties go to the
     earliest, so the copy numbered ``k + 1`` is never reached.
     """
-    return first_per_key(items, ["x"], [F.col("pos")], k).drop("rn")
+    # a leading hash lets the sort compare numbers before it compares vectors
+    hashed = items.withColumn("_hash", F.xxhash64("x"))
+    return first_per_key(hashed, ["_hash", "x"], [F.col("pos")], k).drop("rn", "_hash")

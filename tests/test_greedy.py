@@ -52,6 +52,7 @@ def test_first_pick_by_bound_or_by_all_sums(spark, monkeypatch, bands, missing):
     items = items_table(spark, vectors).withColumn("pos", F.col("id")).withColumn("w", F.lit(1))
     assert greedy.first_pick(items.repartition(3)).id == expected
     monkeypatch.setattr(greedy, "PATTERN_LIMIT", 1)
+    assert (greedy._pattern_moments(items) is None) == (missing > 0)
     assert greedy.first_pick(items).id == expected
 
 

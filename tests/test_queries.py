@@ -22,7 +22,13 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_its_sql(spark, con, name):
-    difference, rows, _, _ = compare(spark, con, name, QUERIES[name], ORACLES[name], SF_DIR)
+    def build(spark, sf_dir):
+        df = QUERIES[name](spark, sf_dir)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+        return df
+
+    difference, rows, _, _ = compare(spark, con, name, build, ORACLES[name], SF_DIR)
     assert difference is None
     assert rows > 0
 

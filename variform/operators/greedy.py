@@ -208,7 +208,7 @@ def greedy(items: DataFrame, k: int, objective: str, metric: str = "euclidean",
         length = min(MAX_CHAIN, 2 * length) if right == len(chain) else max(MIN_CHAIN, 2 * right)
         # the pool only feeds guesses; keep the recent candidates
         fresh = {p.id: p for found in steps for p in found}
-        pool = dict(list({**pool, **fresh}.items())[-4 * POOL :])
+        pool = dict(list({**pool, **fresh}.items())[-2 * POOL :])
     return picks
 
 
@@ -230,10 +230,12 @@ def _pattern_moments(vectors: DataFrame):
             x = np.where(present, x, 0.0)
             packed = np.packbits(present, axis=1)
             patterns, member = np.unique(packed, axis=0, return_inverse=True)
-            for p, pattern in enumerate(patterns):
+            for p, pattern in enumerate(patterns[: PATTERN_LIMIT + 1]):
                 rows = member.ravel() == p
                 sums = np.stack([np.full(x.shape[1], w[rows].sum()), w[rows] @ x[rows], w[rows] @ (x[rows] * x[rows])])
                 found[pattern.tobytes()] = found.get(pattern.tobytes(), 0.0) + sums
+            if len(found) > PATTERN_LIMIT:
+                break  # more patterns than the bound is made for, which is all there is to know
         flat = [(mask, i, *cell) for mask, sums in found.items() for i, cell in enumerate(sums.T)]
         columns = list(zip(*flat)) if flat else [()] * 5
         types = (pa.binary(), pa.int32(), pa.float64(), pa.float64(), pa.float64())

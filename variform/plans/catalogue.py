@@ -25,6 +25,7 @@ from variform.operators.sampling import Draw
 from variform.plans.bindings import BINARY_FEATURES, FEATURES, MULTI_VALUE, Tables
 from variform.plans.methods import Inputs
 from variform.plans.sweep import sizes, sweep
+from variform.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -51,6 +52,11 @@ def inputs(t: Tables) -> Inputs:
     return Inputs(t.items(), families=t.families(), genera=t.genera(), counts=t.counts(), copies=True)
 
 
+def _place_relation(t: Tables) -> DataFrame:
+    """Kilometres between all distinct places, both directions, computed once."""
+    return stage(distance.symmetrize(geo.geo_distances(t.places())))
+
+
 # --- cleaning -----------------------------------------------------------------------------------
 
 
@@ -156,10 +162,9 @@ def dist_row_sum_profiles(t):
 @query
 def dist_wide_roundtrip(t):
     """The square table of all places and back; places are few whatever the number of customers."""
-    places = geo.positions(t.places())
-    relation = distance.all_pairs(places, "geodesic")
-    ends = relation.select(F.col("a").alias("id")).union(relation.select("b")).distinct()
-    square = distance.symmetrize(relation, ends)
+    relation = _place_relation(t)
+    ends = relation.select(F.col("a").alias("id")).distinct()
+    square = relation.unionByName(ends.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("d")))
     ids = [r["id"] for r in ends.orderBy("id").limit(distance.PIVOT_LIMIT + 1).collect()]
     return rounded(distance.from_wide(distance.to_wide(square, ids)), "d")
 
@@ -167,7 +172,7 @@ def dist_wide_roundtrip(t):
 @query
 def sub_distances(t):
     """Relation of places restricted to a frame: places of the customers with a balance above 9000."""
-    relation = distance.symmetrize(geo.geo_distances(t.places()))
+    relation = _place_relation(t)
     known = relation.select(F.col("a").alias("id")).distinct()
     rich = t.customer.where("c_acctbal > 5000").select(F.col("c_custkey").alias("id"))
     frame = known.join(rich, "id", "left_semi").withColumn("pos", -F.col("id"))
@@ -243,12 +248,12 @@ def sample_expand(t):
 
 @query
 def sample_from_relation_maxsum(t):
-    return diverse.sample_from_distances(distance.symmetrize(geo.geo_distances(t.places())), 6, "maxsum")
+    return diverse.sample_from_distances(_place_relation(t), 6, "maxsum")
 
 
 @query
 def sample_from_relation_maxmin(t):
-    return diverse.sample_from_distances(distance.symmetrize(geo.geo_distances(t.places())), 6, "maxmin")
+    return diverse.sample_from_distances(_place_relation(t), 6, "maxmin")
 
 
 @query
@@ -324,7 +329,7 @@ def sweep_summary(t):
 @query
 def relation_mpd(t):
     """Mean distance of samples of places, looked up in the relation."""
-    relation = distance.symmetrize(geo.geo_distances(t.places()))
+    relation = _place_relation(t)
     places = relation.select(F.col("a").alias("id")).distinct()
     samples = sampling.random_draws(places, [Draw(0, 5, 5), Draw(1, 5, 6)])
     return rounded(metrics.relation_mpd(samples, relation, "run"), "mpd")

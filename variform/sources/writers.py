@@ -9,9 +9,10 @@ from variform.operators.cleaning import feature_columns, integral_columns
 from variform.operators.distance import to_wide
 
 
-def write_ids(ids: DataFrame, path: str, order: str = "id") -> None:
-    """One id per line, in order."""
-    ids.orderBy(order).select(F.col(ids.columns[0]).cast("string")).coalesce(1).write.text(path)
+def write_ids(ids: DataFrame, path: str, order: str = "id", one_file: bool = False) -> None:
+    """One id per line, in order over the files; ``one_file`` is for lists of a bounded size."""
+    lines = ids.orderBy(order).select(F.col(ids.columns[0]).cast("string"))
+    (lines.coalesce(1) if one_file else lines).write.text(path)
 
 
 def sample_name(method: str, frame: str, k: int, dist: str, seed: int) -> str:
@@ -21,7 +22,7 @@ def sample_name(method: str, frame: str, k: int, dist: str, seed: int) -> str:
 def write_sample(ids: DataFrame, folder: str, method: str, frame: str, k: int, dist: str, seed: int) -> str:
     """A sample of ``k`` ids as text under a name that tells how it was drawn."""
     path = f"{folder.rstrip('/')}/{sample_name(method, frame, k, dist, seed)}.txt"
-    write_ids(ids.select("id"), path)
+    write_ids(ids.select("id"), path, one_file=True)
     return path
 
 
@@ -48,7 +49,7 @@ def write_distances(dist: DataFrame, path: str) -> None:
 
 def write_wide_distances(dist: DataFrame, ids: list, path: str, id_name: str = "Lang_ID") -> None:
     """The square CSV of a small frame."""
-    to_wide(dist, ids, id_name).orderBy(id_name).coalesce(1).write.option("header", True).csv(path)
+    to_wide(dist, ids, id_name).orderBy(id_name).write.option("header", True).csv(path)
 
 
 def append_costs(costs: DataFrame, path: str) -> None:

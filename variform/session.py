@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,6 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 def local_session(app: str, cpus: int | str = 8, **extra: str) -> SparkSession:
     """A session for tests and benches. On a cluster the caller brings its own."""
-    # shared setting for local runs only; a cluster names its shared folder itself
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -33,6 +33,11 @@ def local_session(app: str, cpus: int | str = 8, **extra: str) -> SparkSession:
     return spark
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="variform-")
+
+
 def staging_root(spark: SparkSession) -> str:
     """Folder for staged tables: the cluster's shared checkpoint folder.
 
@@ -44,9 +49,7 @@ def staging_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="variform-")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    return _local_root()
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -86,6 +86,8 @@ class Lexicon:
         if len(self.members) > self.limit:
             self._reset()
         state = self.start
+        if state < 0:  # no terms
+            return None
         for letter in word:
             nxt = self.next[state].get(letter)
             if nxt is None:

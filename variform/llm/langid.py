@@ -62,7 +62,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         grams[n][g] += k
             rows += [(lang, 0, w, k) for w, k in seen.items()]
             rows += [(lang, n, g, k) for n in LENGTHS for g, k in grams[n].items()]
-        yield pd.DataFrame(rows, columns=["lang", "kind", "term", "n"])
+        lang, kind, term, n = zip(*rows) if rows else ((), (), (), ())
+        yield pd.DataFrame({"lang": pd.Series(lang, dtype=object), "kind": pd.Series(kind, dtype="int32"), "term": pd.Series(term, dtype=object), "n": pd.Series(n, dtype="int64")})
 
 
 class Model:
@@ -158,7 +159,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def language(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         local = Model(*sent.value)
         for texts in batches:
-            yield pd.DataFrame([local.predict(t) for t in texts], columns=["lang_pred", "score"])
+            found = [local.predict(t) for t in texts]
+            yield pd.DataFrame({"lang_pred": pd.Series([f[0] for f in found], dtype=object), "score": [f[1] for f in found]}, index=texts.index)
 
     return docs.withColumn("_language", language("text")).select(*docs.columns, "_language.lang_pred", "_language.score")
 

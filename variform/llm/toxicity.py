@@ -35,7 +35,7 @@ TASKS = 24
 TOP = 5_000
 #: Share of the toxic documents that must hold a term, at least three of them, and its least log odds.
 SUPPORT = 0.003
-MIN_ODDS = 3.0
+MIN_ODDS = 2.5
 #: Words to either side of a match that count as its context.
 WINDOW = 4
 #: Factor per edit.
@@ -114,16 +114,20 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = {0: Counter(), 1: Counter()}
         for text, toxic in zip(batch["text"], batch["toxic"]):
             seen[toxic].update(set(_LETTERS.findall(text.lower())))
-        words = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"word": words, "calm": [seen[0][w] for w in words], "toxic": [seen[1][w] for w in words]})
+        yield _table(seen)
+
+
+def _table(seen: dict[int, Counter]) -> pd.DataFrame:
+    words = list(seen[0].keys() | seen[1].keys())
+    return pd.DataFrame({"word": pd.Series(words, dtype=object), "calm": [seen[0][w] for w in words], "toxic": [seen[1][w] for w in words]})
 
 
 def _exempt(terms: dict[str, float]):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(terms)
         for batch in batches:
-            near = [w not in terms and lexicon.match(w) is not None for w in batch["word"]]
-            yield batch[near]
+            near = [w for w in batch["word"] if w not in terms and lexicon.match(w) is not None]
+            yield pd.DataFrame({"word": pd.Series(near, dtype=object)})
 
     return work
 
@@ -143,8 +147,7 @@ def _windows(terms: dict[str, float], harmless: set[str]):
                     if w in found:
                         near.update(x for x in words[max(0, i - WINDOW) : i + WINDOW + 1] if x not in found)
                 seen[toxic].update(near)
-            words = list(seen[0].keys() | seen[1].keys())
-            yield pd.DataFrame({"word": words, "calm": [seen[0][w] for w in words], "toxic": [seen[1][w] for w in words]})
+            yield _table(seen)
 
     return work
 
@@ -153,7 +156,7 @@ def _features(parts: tuple):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(*parts)
         for batch in batches:
-            yield pd.DataFrame({"x": [model.features(t) for t in batch["text"]], "toxic": batch["toxic"]})
+            yield pd.DataFrame({"x": pd.Series([model.features(t) for t in batch["text"]], dtype=object), "toxic": list(batch["toxic"])})
 
     return work
 
@@ -195,8 +198,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Model:
     support = max(3, math.ceil(SUPPORT * toxic))
     strong = counts.withColumn("odds", odds()).where((F.col("toxic") >= support) & (F.col("odds") >= MIN_ODDS))
     terms = {r["word"]: r["odds"] for r in strong.orderBy(F.desc("odds"), "word").limit(top).collect()}
-    mild = counts.withColumn("odds", odds()).where("odds < 1 AND calm >= 2").mapInPandas(_exempt(terms), schema + ", odds double")
-    harmless = {r["word"] for r in mild.select("word").collect()}  # near a term, so bounded by the terms' neighbourhoods in the sample
+    mild = counts.withColumn("odds", odds()).where("odds < 1 AND calm >= 2").select("word").mapInPandas(_exempt(terms), "word string")
+    harmless = {r["word"] for r in mild.collect()}  # near a term, so bounded by the terms' neighbourhoods in the sample
     around = rows.mapInPandas(_windows(terms, harmless), schema).groupBy("word").agg(F.sum("calm").alias("calm"), F.sum("toxic").alias("toxic"))
     # against the same number of each, so that the many calm documents without a match do not count
     base = around.agg(F.sum("calm").alias("c"), F.sum("toxic").alias("t")).first()

@@ -220,7 +220,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     @F.pandas_udf("string")
     def article(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(extract, na_action=None)
+            yield pd.Series([extract(page) for page in batch], dtype=object)
 
     others = [c for c in pages.columns if c not in ("text", "n_chars")]
     return pages.select(*others, article("html").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

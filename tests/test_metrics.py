@@ -73,5 +73,5 @@ def test_running_overlap(spark):
 
     wide = spark.createDataFrame([(1, 1.0, None, 0.0), (2, 1.0, 1.0, 1.0)], "id int, f double, g double, h double")
     pairs = spark.createDataFrame([(1, 2)], "a int, b int")
-    rows = distance.running_overlap(pairs, cleaning.to_long(wide, ["f", "g", "h"])).orderBy("pos").collect()
+    rows = distance.running_overlap(pairs, cleaning.to_vector(wide, ["f", "g", "h"])).orderBy("pos").collect()
     assert [(r["pos"], r["overlap"]) for r in rows] == [(0, 1.0), (1, 1.0), (2, 0.5)]

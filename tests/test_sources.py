@@ -141,8 +141,8 @@ def test_samples_results_costs_and_texts(spark, tmp_path):
         writers.append_costs(costs, str(tmp_path / "costs"))
     again = readers.read_semicolon_csv(spark, str(tmp_path / "costs"))
     assert again.count() == 2 and again.columns == ["verses", "avg_subwords", "glottocode"]
-    writers.write_language_texts(spark.createDataFrame([("eng", "hello"), ("deu", "hallo")], "lang string, text string"), str(tmp_path / "texts"))
-    assert lines(tmp_path / "texts" / "lang=eng") == ["hello"]
+    writers.write_language_texts(spark.createDataFrame([("eng", "v2", "there"), ("eng", "v1", "hello"), ("deu", "v1", "hallo")], "lang string, verse_id string, text string"), str(tmp_path / "texts"))
+    assert lines(tmp_path / "texts" / "lang=eng") == ["hello", "there"]
     (tmp_path / "verses").mkdir()
     (tmp_path / "verses" / "eng.txt").write_text("hello there  \n\nyou\n")
     units = readers.read_text_units(spark, str(tmp_path / "verses"))

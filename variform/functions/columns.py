@@ -16,10 +16,11 @@ def _col(c: Column | str) -> Column:
 
 
 def clean_number(c: Column | str) -> Column:
-    """A raw feature value as DOUBLE; missing tokens and anything unreadable become NULL."""
+    """A raw feature value as DOUBLE; missing tokens become NULL, any other text that is no number is an error."""
     c = _col(c).cast("string")
-    number = F.when(F.trim(c).isin(*MISSING_TOKENS), None).otherwise(c.try_cast("double"))
-    return F.when(F.isnan(number), None).otherwise(number)
+    number = c.try_cast("double")
+    checked = F.when(number.isNull(), F.raise_error(F.concat(F.lit("no number and no missing token: "), c)).cast("double")).otherwise(number)
+    return F.when(c.isNull() | F.trim(c).isin(*MISSING_TOKENS) | F.isnan(number), None).otherwise(checked)
 
 
 def shuffle_key(seed: Column, item: Column | str, salt: str | None = None) -> Column:

@@ -7,7 +7,7 @@ way back to items.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variform.functions.columns import euclidean
@@ -129,16 +129,25 @@ def min_distance_to_set(items: DataFrame, chosen: DataFrame, metric: str = "eucl
     return pairwise.score_against(rest, chosen, "min", metric).select("id", "score")
 
 
-def running_overlap(pairs: DataFrame, long: DataFrame) -> DataFrame:
-    """``(a, b, pos, overlap)``: running share of equal values over shared positions, per given pair."""
-    left = long.select(F.col("id").alias("a"), "pos", F.col("val").alias("_l"))
-    right = long.select(F.col("id").alias("b"), "pos", F.col("val").alias("_r"))
-    cells = pairs.select("a", "b").join(left, "a").join(right, ["b", "pos"])
-    w = Window.partitionBy("a", "b").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
-    same = F.sum((both & (F.col("_l") == F.col("_r"))).cast("int")).over(w)
-    ran = cells.withColumn("overlap", F.try_divide(same, F.sum(both.cast("int")).over(w)))
-    return ran.where(F.col("overlap").isNotNull()).select("a", "b", "pos", "overlap")
+def running_overlap(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """``(a, b, pos, overlap)``: running share of equal values over shared positions, per given pair.
+
+    Vectors meet whole, by two equi-joins, and are folded within the row.
+    """
+    left = items.select(F.col("id").alias("a"), F.col("x").alias("_x"))
+    right = items.select(F.col("id").alias("b"), F.col("x").alias("_y"))
+    cells = F.zip_with("_x", "_y", lambda x, y: F.struct((x == y).alias("same"), (x.isNotNull() & y.isNotNull()).alias("both")))
+
+    def step(state: Column, cell: Column) -> Column:
+        same = state["same"] + F.coalesce(cell["same"].cast("int"), F.lit(0))
+        total = state["total"] + cell["both"].cast("int")
+        ratio = F.try_divide(same, total)
+        return F.struct(same.alias("same"), total.alias("total"), F.concat(state["ran"], F.array(ratio)).alias("ran"))
+
+    start = F.struct(F.lit(0).alias("same"), F.lit(0).alias("total"), F.array().cast("array<double>").alias("ran"))
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
+    ran = joined.select("a", "b", F.posexplode(F.aggregate(cells, start, step, lambda s: s["ran"])).alias("pos", "overlap"))
+    return ran.where(F.col("overlap").isNotNull())
 
 
 def to_wide(dist: DataFrame, ids: list, id_name: str = "Lang_ID") -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from variform.operators import distance, pairwise
-from variform.operators.greedy import MAXMIN, MAXSUM, SCORE_DIGITS, Pick, first_pick, greedy
+from variform.operators.greedy import MAXMIN, MAXSUM, SCORE_DIGITS, Pick, first_of_ties, first_pick, greedy
 from variform.operators.profiles import earliest_copies
+from variform.operators.sets import assert_known
 from variform.session import small_table, stage
 
 
@@ -80,10 +81,13 @@ def sample_maxmin(
 
 
 def expand_sample(items: DataFrame, chosen: DataFrame, n: int, frame: DataFrame | None = None, metric: str = "euclidean") -> DataFrame:
-    """``(pick_order, id)``: the ``n`` next best items for an existing sample, never one of its own."""
-    placed = with_frame(items, frame)
-    rest = placed.join(chosen.select("id"), "id", "left_anti")
-    sample = placed.join(chosen.select("id"), "id", "left_semi")
+    """``(pick_order, id)``: the ``n`` next best items for an existing sample, never one of its own.
+
+    The frame limits what may be added; the sample may lie outside it. A chosen id without features is an error.
+    """
+    assert_known(chosen, items, "the items")
+    rest = with_frame(items, frame).join(chosen.select("id"), "id", "left_anti")
+    sample = items.join(chosen.select("id"), "id", "left_semi")
     scored = pairwise.score_against(rest, sample, "sum", metric).withColumnRenamed("score", "base")
     picks = greedy(stage(scored), n, MAXSUM, metric)
     return _pick_table(items.sparkSession, items.schema["id"].dataType, [p.id for p in picks])
@@ -103,12 +107,7 @@ def sample_from_distances(
         dist = distance.sub_distances(dist, frame)
     if frame is not None or not clustered:
         dist = stage(dist.repartitionByRange("a").sortWithinPartitions("a"))
-    first = (
-        dist.groupBy("a", "pos_a")
-        .agg(F.round(F.sum("d"), SCORE_DIGITS).alias("score"))
-        .orderBy(F.desc("score"), "pos_a")
-        .first()
-    )
+    first = first_of_ties(dist.groupBy("a", "pos_a").agg(F.sum("d").alias("score")), "score", "pos_a")
     if k < 1 or first is None:
         raise ValueError(f"Invalid value {k=}, make sure k > 0")
     picks = [first["a"]]

@@ -22,7 +22,8 @@ from variform.session import stage
 
 MAXSUM, MAXMIN = "maxsum", "maxmin"
 SCORE_DIGITS = 9
-MEAN_DIGITS = 10
+# sums closer than this share of the largest are equal but for the order of their additions
+TIE = 1e-12
 POOL = 512
 MIN_CHAIN, MAX_CHAIN = 4, 32
 # so many task results come to the driver as they are; more are ranked by Spark first
@@ -212,6 +213,12 @@ def greedy(items: DataFrame, k: int, objective: str, metric: str = "euclidean",
     return picks
 
 
+def first_of_ties(scored: DataFrame, score: str, pos: str):
+    """The row of the largest score, the smallest ``pos`` among equal ones; one rule for vectors and relations."""
+    largest = scored.agg(F.max(score)).first()[0]
+    return None if largest is None else scored.where(F.col(score) >= largest - abs(largest) * TIE).orderBy(pos).first()
+
+
 # --- first pick -------------------------------------------------------------------------------
 
 
@@ -332,15 +339,15 @@ def first_pick(vectors: DataFrame, metric: str = "euclidean") -> Pick:
     sums are computed for a band of the highest; the pick stands once it beats the bound of all
     others. If even the widest band cannot settle it, every sum is computed in block pairs.
     """
-    size = F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")
-    n, total = vectors.agg(*size).first()
+    n = vectors.count()
     if n == 0:
         raise ValueError("Invalid value, there are no items to sample from")
     moments = _pattern_moments(vectors) if metric == "euclidean" and n > SUM_ALL else None
     for size in BANDS if moments else ():
         band, beyond = _band(vectors, moments, size)
-        means = np.round(_mean_distances(vectors, band, metric), MEAN_DIGITS)
-        best = _best_first(means, np.array([p.pos for p in band]), 1)[0]
+        means = _mean_distances(vectors, band, metric)
+        level = np.where(means >= means.max() * (1 - TIE), 1.0, 0.0)
+        best = _best_first(level, np.array([p.pos for p in band]), 1)[0]
         if means[best] > beyond * (1 + 1e-9) + 1e-9:
             return band[best]
     if moments:
@@ -348,6 +355,6 @@ def first_pick(vectors: DataFrame, metric: str = "euclidean") -> Pick:
         earliest = F.min(F.struct("pos", "id")).alias("e")
         vectors = stage(vectors.groupBy("x").agg(earliest, F.sum("w").alias("w")).select("e.id", "e.pos", "x", "w"))
         n = vectors.count()
-    sums = pairwise.row_sums(vectors, metric, rows=n).withColumn("mean", F.round(F.col("sum_d") / total, MEAN_DIGITS))
-    row = vectors.join(sums, "id").orderBy(F.desc("mean"), "pos").first()
+    sums = stage(vectors.join(pairwise.row_sums(vectors, metric, rows=n), "id"))
+    row = first_of_ties(sums, "sum_d", "pos")
     return Pick(row["id"], row["pos"], np.array(row["x"], dtype=float))

@@ -15,25 +15,30 @@ def group_sizes(items: DataFrame, group: str) -> DataFrame:
     return items.groupBy(group).agg(F.count(F.lit(1)).alias("n_members"))
 
 
-def group_feature_overlap(items: DataFrame, features: list[str], group: str, method: str) -> DataFrame:
+def group_feature_overlap(items: DataFrame, features: list[str], group: str, method: str, groups: DataFrame | None = None) -> DataFrame:
     """``(method, group, avg_overlap, n_members)``: mean share of equal raw values over the pairs of a group.
 
     A feature value held by c members makes c*(c-1)/2 equal pairs, so counts per value give the
-    exact mean without forming pairs. Missing tokens are values like any other; a group of one
-    scores 0 and items without a group are left out.
+    exact mean without forming pairs. Missing tokens are values like any other, an empty cell equals nothing; a group
+    of one scores 0 and items without a group are left out. ``groups(group)`` names groups that are
+    listed even if none of their members has features: they score 0 with 0 members.
     """
     held = items.where(F.col(group).isNotNull())
     cells = held.select(
         F.col(group).alias("group"),
-        F.posexplode(F.array(*[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in features])).alias("pos", "val"),
+        F.posexplode(F.array(*[F.col(f).cast("string") for f in features])).alias("pos", "val"),
     )
     counts = cells.groupBy("group", "pos", "val").agg(F.count(F.lit(1)).alias("c"))
     n = F.sum(F.when(F.col("pos") == 0, F.col("c")))
-    equal = F.sum(F.col("c") * (F.col("c") - 1))
-    return counts.groupBy("group").agg(
+    equal = F.coalesce(F.sum(F.when(F.col("val").isNotNull(), F.col("c") * (F.col("c") - 1))), F.lit(0))
+    found = counts.groupBy("group").agg(
         F.coalesce(F.try_divide(equal.cast("double"), n * (n - 1) * len(features)), F.lit(0.0)).alias("avg_overlap"),
         n.alias("n_members"),
-    ).select(F.lit(method).alias("method"), "group", "avg_overlap", "n_members")
+    )
+    if groups is not None:
+        named = groups.select(F.col(group).alias("group")).where(F.col("group").isNotNull()).distinct()
+        found = named.join(found, "group", "left").na.fill({"avg_overlap": 0.0, "n_members": 0})
+    return found.select(F.lit(method).alias("method"), "group", "avg_overlap", "n_members")
 
 
 def group_members(items: DataFrame, group: str) -> DataFrame:

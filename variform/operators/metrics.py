@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from variform.operators import pairwise
 from variform.operators.distance import scaled
 from variform.operators.profiles import collapse
+from variform.operators.sets import assert_known
 from variform.session import stage
 
 FVO_MODES = ("every_position", "shared_positions", "pair_mean")
@@ -75,9 +76,11 @@ def feature_value_overlap(drawn: DataFrame, group: str) -> DataFrame:
 def relation_mpd(samples: DataFrame, dist: DataFrame, group: str) -> DataFrame:
     """Mean pairwise distance from a relation that holds both directions.
 
-    Rows of the relation are kept where both ends are in the sample, by two equi-joins.
+    Rows of the relation are kept where both ends are in the sample, by two equi-joins. An id the relation does not
+    know is an error.
     """
     ends = samples.select(group, F.col("id").alias("a")), samples.select(group, F.col("id").alias("b"))
+    assert_known(samples, dist.select(F.col("a").alias("id")).distinct(), "the distance relation")
     inside = dist.where("a < b").join(ends[0], "a").join(ends[1], [group, "b"])
     return inside.groupBy(group).agg(F.avg("d").alias("mpd"))
 
@@ -92,14 +95,18 @@ def evaluate(
 ) -> DataFrame:
     """All five metrics of every sample in ``samples(method, run, k, id)``.
 
-    Items are read once, by a join on the sampled ids. ``distance_range`` is the range that
+    Items are read once, by a join on the sampled ids; a sampled id without features is an error. ``distance_range`` is the range that
     normalises distances. ``with_members`` adds the sorted, comma-joined ids of each sample.
     """
     if fvo_mode not in FVO_MODES:
         raise ValueError(f"Invalid value {fvo_mode=}, choose from {FVO_MODES}")
     keys = ("method", "run", "k")
     sample_id = F.to_json(F.struct(*keys))
-    drawn = stage(samples.withColumn("sample_id", sample_id).join(items.select("id", "x"), "id"))
+    featured = items.select("id", "x", F.lit(True).alias("_known"))
+    drawn = stage(samples.withColumn("sample_id", sample_id).join(featured, "id", "left"))
+    unknown = drawn.where("_known IS NULL").select("id").distinct().take(5)
+    if unknown:
+        raise KeyError(f"not in the items: {[r['id'] for r in unknown]}")
     group_keys = ("sample_id", *keys)
     if with_members:
         # compare ids as they are before turning them into text

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from variform.functions import kernels
+from variform.session import stage
 
 TILE_ROWS = 1024
 MAX_TILES = 8
@@ -272,7 +273,8 @@ def nearest_edges(profiles: DataFrame, metric: str = "euclidean", block_rows: in
         a, b = (pa.chunked_array([c for e in edges for c in e[side].chunks]) for side in (0, 1))
         return {"a": a, "b": b, "d": np.concatenate([e[2] for e in edges])}
 
-    local = _per_pair(placed, _schema(placed, ("a", "id"), ("b", "id"), ("d", "double")), body)
+    # staged, as it is read twice and the kernel is the costly part
+    local = stage(_per_pair(placed, _schema(placed, ("a", "id"), ("b", "id"), ("d", "double")), body))
     best = local.groupBy("a").agg(F.min("d").alias("_min"))
     return local.join(best, "a").where(F.col("d") == F.col("_min")).select("a", "b", "d")
 

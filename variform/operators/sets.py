@@ -45,6 +45,13 @@ def duplicates(df: DataFrame, id_col: str = "id") -> DataFrame:
     return df.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
+def assert_known(df: DataFrame, known: DataFrame, what: str, id_col: str = "id") -> None:
+    """An error naming some ids that the other table does not have."""
+    unknown = df.select(F.col(id_col).alias("id")).join(_ids(known), "id", "left_anti").distinct().take(5)
+    if unknown:
+        raise KeyError(f"not in {what}: {[r['id'] for r in unknown]}")
+
+
 def assert_unique(df: DataFrame, id_col: str = "id") -> DataFrame:
     """The table itself, or an error naming some duplicated ids."""
     found = duplicates(df, id_col).take(5)

@@ -46,6 +46,12 @@ class Tables:
             columns.append(missing.otherwise(value.cast("string")).alias(name))
         return self.part.select(F.col("p_partkey").alias("id"), *columns)
 
+    def gappy_features(self) -> DataFrame:
+        """Raw features with empty cells, and without the parts of one type and one brand, whose groups stay."""
+        gone = self.part.where("p_type = 'PROMO' OR p_brand = 'Brand#11'").select(F.col("p_partkey").alias("id"))
+        gap = F.when(F.col("id") % 13 != 0, F.col("GB024"))
+        return self.raw_features().withColumn("GB024", gap).join(gone, "id", "left_anti")
+
     def clean_features(self) -> DataFrame:
         return cleaning.clean_missing(self.raw_features(), FEATURES)
 
@@ -128,7 +134,7 @@ class Tables:
             F.col("doc_id").alias("id"),
             *label,
             (F.col("n_chars") > 500).cast("int").cast("string").alias("length"),
-            F.least(F.length("text") - F.length(F.regexp_replace("text", "\n", "")), F.lit(3)).cast("string").alias("lines"),
+            (F.length("text") - F.length(F.regexp_replace("text", "\n", ""))).cast("string").alias("lines"),
             "lang",
             "source",
         )

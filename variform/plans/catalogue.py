@@ -23,6 +23,7 @@ from variform.operators import (
 )
 from variform.operators.sampling import Draw
 from variform.plans.bindings import BINARY_FEATURES, FEATURES, MULTI_VALUE, Tables
+from variform.plans import workflows
 from variform.plans.methods import Inputs
 from variform.plans.sweep import sizes, sweep
 from variform.session import stage
@@ -171,7 +172,7 @@ def dist_wide_roundtrip(t):
 
 @query
 def sub_distances(t):
-    """Relation of places restricted to a frame: places of the customers with a balance above 9000."""
+    """Relation of places restricted to a frame: places of the customers with a balance above 5000."""
     relation = _place_relation(t)
     known = relation.select(F.col("a").alias("id")).distinct()
     rich = t.customer.where("c_acctbal > 5000").select(F.col("c_custkey").alias("id"))
@@ -181,8 +182,7 @@ def sub_distances(t):
 
 @query
 def running_overlap(t):
-    long = cleaning.to_long(t.binary_features(), BINARY_FEATURES)
-    return rounded(distance.running_overlap(t.neighbours_in_orders(), long), "overlap")
+    return rounded(distance.running_overlap(t.neighbours_in_orders(), t.items()), "overlap")
 
 
 # --- sampling -----------------------------------------------------------------------------------
@@ -246,6 +246,24 @@ def sample_expand(t):
     return diverse.expand_sample(t.points(), chosen, 5)
 
 
+@query
+def sample_expand_framed(t):
+    """Additions come from a frame that need not hold the sample."""
+    chosen = sampling.random_split(t.points().select("id"), 20, 7)
+    frame = t.point_labels().where("group < 5").select("id", F.col("id").alias("pos"))
+    return diverse.expand_sample(t.points(), chosen, 5, frame)
+
+
+@query
+def expand_dataset(t):
+    """Next best points for a dataset, and the metrics before and after as rows of one table."""
+    dataset = sampling.random_split(t.points().select("id"), 20, 7)
+    added, scores = workflows.expand_dataset(t.points(), dataset, 5)
+    picks = added.select(F.lit("pick").alias("what"), F.col("pick_order").cast("bigint").alias("id"), F.col("id").cast("double").alias("value"))
+    mpd = scores.select(F.col("method").alias("what"), F.lit(0).cast("bigint").alias("id"), F.col("mpd").alias("value"))
+    return rounded(picks.unionByName(mpd), "value")
+
+
 @query
 def sample_from_relation_maxsum(t):
     return diverse.sample_from_distances(_place_relation(t), 6, "maxsum")
@@ -319,6 +337,13 @@ def sweep_results(t):
     return rounded(sweep(inputs(t), **SWEEP), *metrics.METRICS)
 
 
+@query
+def sweep_unframed(t):
+    """Groups and counts name parts without features, which no method may draw."""
+    known = Inputs(t.items().join(t.taxed_parts(), "id", "left_semi"), families=t.families(), genera=t.genera(), counts=t.counts(), copies=True)
+    return rounded(sweep(known, **SWEEP), *metrics.METRICS)
+
+
 @query
 def sweep_summary(t):
     summary = reports.summarize_runs(sweep(inputs(t), with_members=False, **SWEEP))
@@ -348,14 +373,14 @@ def _overlaps(t) -> DataFrame:
 
 @query
 def group_overlap_family(t):
-    parts = t.raw_features().join(t.families(), "id")
-    return rounded(groups.group_feature_overlap(parts, list(FEATURES), "group", "family"), "avg_overlap")
+    parts = t.gappy_features().join(t.families(), "id")
+    return rounded(groups.group_feature_overlap(parts, list(FEATURES), "group", "family", t.families()), "avg_overlap")
 
 
 @query
 def group_overlap_genus(t):
-    parts = t.raw_features().join(t.genera(), "id")
-    return rounded(groups.group_feature_overlap(parts, list(FEATURES), "group", "genus"), "avg_overlap")
+    parts = t.gappy_features().join(t.genera(), "id")
+    return rounded(groups.group_feature_overlap(parts, list(FEATURES), "group", "genus", t.genera()), "avg_overlap")
 
 
 @query
@@ -527,6 +552,12 @@ def selected_units(t):
     return corpus.selected_units(verses, common, corpus.fully_covering(verses, common))
 
 
+@query
+def parallel_text(t):
+    """The whole chain over the largest edition of each language."""
+    return workflows.select_parallel_text(t.verses(), 6, 3, 1)
+
+
 @query
 def avg_tokens(t):
     return rounded(corpus.avg_tokens(corpus.text_lines(t.documents), "lang"), "avg_subwords")

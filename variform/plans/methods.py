@@ -42,7 +42,9 @@ class Inputs:
         return distance.distance_range(self.framed(self.items))
 
     def framed(self, table: DataFrame) -> DataFrame:
-        return table if self.frame is None else table.join(self.frame.select("id"), "id", "left_semi")
+        """Rows of the frame; without one, of the items, as an item without features cannot be scored."""
+        known = self.items if self.frame is None else self.frame
+        return table if table is self.items and self.frame is None else table.join(known.select("id"), "id", "left_semi")
 
 
 SamplingMethod = Callable[[Inputs, list[Draw]], DataFrame]
@@ -57,7 +59,7 @@ def _greedy(objective: str) -> SamplingMethod:
 
 
 def _random(inputs: Inputs, draws: list[Draw]) -> DataFrame:
-    return sampling.random_draws(inputs.framed(inputs.items.select("id")), draws)
+    return sampling.random_draws(inputs.framed(inputs.items).select("id"), draws)
 
 
 def _family(inputs: Inputs, draws: list[Draw]) -> DataFrame:

@@ -96,10 +96,11 @@ POINT_PAIRS = POINTS + ", pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b, li
 SITE_PAIRS = PLACES + f", pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b, {_km('a', 'b')} AS d FROM site a, site b WHERE a.id <> b.id)"
 
 
-def _greedy(k: int, how: str, digits: str = "round(avg(d), 10)") -> str:
+def _greedy(k: int, how: str) -> str:
     """Recursive CTE: a list of picks, extended by the best remaining item; ties to the smallest id."""
     return (
-        f"picked AS (SELECT 1 AS step, [(SELECT a FROM pairs GROUP BY a ORDER BY {digits} DESC, a LIMIT 1)] AS picks "
+        "picked AS (SELECT 1 AS step, [(SELECT min(a) FROM (SELECT a, sum(d) AS s, max(sum(d)) OVER () AS top FROM pairs GROUP BY a) "
+        "WHERE s >= top - abs(top) * 1e-12)] AS picks "
         "UNION ALL SELECT step + 1, list_append(picks, (SELECT b FROM pairs WHERE list_contains(picks, a) "
         f"AND NOT list_contains(picks, b) GROUP BY b ORDER BY round({how}(d), 9) DESC, b LIMIT 1)) FROM picked WHERE step < {k})"
     )
@@ -111,8 +112,8 @@ _PICK_ROWS = (
 )
 
 
-def _sample_greedy(pairs: str, k: int, how: str, digits: str = "round(avg(d), 10)") -> str:
-    return f"WITH RECURSIVE {pairs}, {_greedy(k, how, digits)} {_PICK_ROWS.format(k=k)}"
+def _sample_greedy(pairs: str, k: int, how: str) -> str:
+    return f"WITH RECURSIVE {pairs}, {_greedy(k, how)} {_PICK_ROWS.format(k=k)}"
 
 
 def _h(salt: str | None = None) -> str:
@@ -182,7 +183,8 @@ KEYS = "method, run, k"
 _SWEEP_DRAWS = draws_for(SWEEP["ks"], SWEEP["runs"])
 
 
-def _sweep_ctes() -> str:
+def _sweep_ctes(known: str = "") -> str:
+    """``known`` is a condition on the ids of items that have features; groups and counts may name others."""
     k_max, sizes = max(SWEEP["ks"]), ", ".join(f"({k})" for k in SWEEP["ks"])
     greedy = []
     for method, how in (("maxsum", "sum"), ("maxmin", "min")):
@@ -198,18 +200,25 @@ def _sweep_ctes() -> str:
     samples += [_random("bin"), _stratified("family", "random_family"), _stratified("genus", "random_genus"), _convenience()]
     # the recursion needs the relation of all items, of which only the largest distance is used later
     base = LONG + f", pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b, {_nan_euclid()} AS d FROM bin a, bin b)"
-    return (
+    whole = (
         f"WITH RECURSIVE {base}, {FAMILY}, {GENUS}, {COUNTS}, {_draws(_SWEEP_DRAWS)}, {walks}, {', '.join(greedy)}, "
         + _metrics(" UNION ALL ".join(samples), KEYS, "SELECT d FROM pairs")
     )
+    if known:
+        has = "IN (SELECT id FROM bin)"
+        whole = whole.replace(f"{_split('GB065')} FROM clean)", f"{_split('GB065')} FROM clean WHERE {known})")
+        whole = whole.replace("AS grp FROM part)", f"AS grp FROM part WHERE p_partkey {has})").replace("IN (SELECT p_partkey FROM part)", has)
+        whole = whole.replace("WITH RECURSIVE ", f"WITH RECURSIVE {TAXED}, ")
+    return whole
 
 
-def _overlap_counts(features: list[str], source: str, group: str, method: str) -> str:
-    """Mean share of equal raw values over all pairs within a group, pair by pair."""
+def _overlap_counts(features: list[str], source: str, group: str, method: str, groups: str | None = None) -> str:
+    """Mean share of equal raw values over all pairs within a group, pair by pair; groups without members too."""
     share = " + ".join(f"CASE WHEN l.{f} = r.{f} THEN 1 ELSE 0 END" for f in features)
     return (
-        f"SELECT '{method}' AS method, g.{group} AS \"group\", coalesce(o.avg_overlap, 0) AS avg_overlap, g.n AS n_members FROM "
-        f"(SELECT {group}, count(*) AS n FROM {source} WHERE {group} IS NOT NULL GROUP BY 1) g LEFT JOIN "
+        f"SELECT '{method}' AS method, g.{group} AS \"group\", coalesce(o.avg_overlap, 0) AS avg_overlap, coalesce(c.n, 0) AS n_members FROM "
+        f"(SELECT DISTINCT {group} FROM {groups or source} WHERE {group} IS NOT NULL) g LEFT JOIN "
+        f"(SELECT {group}, count(*) AS n FROM {source} GROUP BY 1) c ON c.{group} = g.{group} LEFT JOIN "
         f"(SELECT l.{group}, avg(({share}) / {len(features)}.0) AS avg_overlap FROM {source} l JOIN {source} r "
         f"ON l.{group} = r.{group} AND l.id < r.id GROUP BY 1) o ON o.{group} = g.{group}"
     )
@@ -218,7 +227,7 @@ def _overlap_counts(features: list[str], source: str, group: str, method: str) -
 DOCS = (
     "docs AS MATERIALIZED (SELECT doc_id AS id, coalesce(CAST(quality AS VARCHAR), '?') AS quality, coalesce(CAST(toxic AS VARCHAR), '?') AS toxic, "
     "CASE WHEN n_chars > 500 THEN '1' ELSE '0' END AS length, "
-    "CAST(least(length(text) - length(replace(text, chr(10), '')), 3) AS VARCHAR) AS lines, lang, source "
+    "CAST(length(text) - length(replace(text, chr(10), '')) AS VARCHAR) AS lines, lang, source "
     "FROM documents LEFT JOIN labels USING (doc_id))"
 )
 _DOC_FEATURES = ["quality", "toxic", "length", "lines"]
@@ -229,8 +238,10 @@ OVERLAPS = (
 
 
 def _part_overlap(groups: str, table: str, method: str) -> str:
-    joined = f"member AS MATERIALIZED (SELECT raw.*, grp FROM raw JOIN {table} USING (id))"
-    body = _overlap_counts(list(FEATURES), "member", "grp", method)
+    columns = ", ".join("CASE WHEN raw.id % 13 <> 0 THEN GB024 END AS GB024" if f == "GB024" else f for f in FEATURES)
+    gone = "SELECT p_partkey FROM part WHERE p_type = 'PROMO' OR p_brand = 'Brand#11'"
+    joined = f"member AS MATERIALIZED (SELECT id, {columns}, grp FROM raw JOIN {table} USING (id) WHERE id NOT IN ({gone}))"
+    body = _overlap_counts(list(FEATURES), "member", "grp", method, table)
     return f"WITH {RAW}, {groups}, {joined} SELECT method, \"group\", round(avg_overlap, 6) AS avg_overlap, n_members FROM ({body})"
 
 
@@ -361,8 +372,20 @@ def oracles() -> dict[str, str]:
         "SELECT step + 1, list_append(picks, (SELECT b FROM pairs WHERE list_contains(picks, a) AND NOT list_contains(picks, b) GROUP BY b "
         "ORDER BY round(sum(d), 9) DESC, b LIMIT 1)) FROM grown WHERE step < 5) "
         "SELECT CAST(i AS INTEGER) AS pick_order, picks[20 + i] AS id FROM (SELECT picks, unnest(range(1, 6)) AS i FROM grown WHERE step = 5)",
-        "sample_from_relation_maxsum": _sample_greedy(SITE_PAIRS, 6, "sum", "round(sum(d), 9)"),
-        "sample_from_relation_maxmin": _sample_greedy(SITE_PAIRS, 6, "min", "round(sum(d), 9)"),
+        "sample_expand_framed": f"WITH RECURSIVE {POINT_PAIRS}, {CHOSEN}, frame AS (SELECT vec_id AS id FROM embeddings WHERE label < 5), "
+        "grown AS (SELECT 0 AS step, (SELECT list(id) FROM chosen) AS picks UNION ALL "
+        "SELECT step + 1, list_append(picks, (SELECT b FROM pairs WHERE list_contains(picks, a) AND NOT list_contains(picks, b) AND b IN (SELECT id FROM frame) GROUP BY b "
+        "ORDER BY round(sum(d), 9) DESC, b LIMIT 1)) FROM grown WHERE step < 5) "
+        "SELECT CAST(i AS INTEGER) AS pick_order, picks[20 + i] AS id FROM (SELECT picks, unnest(range(1, 6)) AS i FROM grown WHERE step = 5)",
+        "expand_dataset": f"WITH RECURSIVE {POINT_PAIRS}, {CHOSEN}, grown AS (SELECT 0 AS step, (SELECT list(id) FROM chosen) AS picks UNION ALL "
+        "SELECT step + 1, list_append(picks, (SELECT b FROM pairs WHERE list_contains(picks, a) AND NOT list_contains(picks, b) GROUP BY b "
+        "ORDER BY round(sum(d), 9) DESC, b LIMIT 1)) FROM grown WHERE step < 5), "
+        "stage AS (SELECT CASE step WHEN 0 THEN 'before' ELSE 'after' END AS what, unnest(picks) AS id FROM grown WHERE step IN (0, 5)), "
+        "duo AS (SELECT l.what, avg(d) / (SELECT max(d) FROM pairs) AS value FROM stage l JOIN stage r ON l.what = r.what AND l.id < r.id JOIN pairs ON a = l.id AND b = r.id GROUP BY 1) "
+        "SELECT 'pick' AS what, i AS id, CAST(picks[20 + i] AS DOUBLE) AS value FROM (SELECT picks, unnest(range(1, 6)) AS i FROM grown WHERE step = 5) "
+        "UNION ALL SELECT what, 0, round(value, 6) FROM duo",
+        "sample_from_relation_maxsum": _sample_greedy(SITE_PAIRS, 6, "sum"),
+        "sample_from_relation_maxmin": _sample_greedy(SITE_PAIRS, 6, "min"),
         "within_sample_distance": f"WITH {POINT_PAIRS}, lb AS (SELECT vec_id AS id, label FROM embeddings) SELECT l.label AS \"group\", round(sum(d), 6) AS sum_d, count(*) AS n_pairs "
         "FROM pairs JOIN lb l ON l.id = a JOIN lb r ON r.id = b AND l.label = r.label WHERE a < b GROUP BY 1",
         "summed_distance_to_set": f"WITH {POINT_PAIRS}, {CHOSEN} SELECT b AS id, round(sum(d), 6) AS score FROM pairs WHERE a IN (SELECT id FROM chosen) GROUP BY 1",
@@ -374,6 +397,7 @@ def oracles() -> dict[str, str]:
         "metric_fvi": _by_family("SELECT grp AS \"group\", round(fvi, 6) AS fvi FROM m_val"),
         "evaluate_samples": f"WITH {LONG}, pairs AS (SELECT {_nan_euclid()} AS d FROM bin a, bin b), {_draws(DRAWS)}, {_metrics(_random('bin'), KEYS, 'SELECT d FROM pairs')} {_scored(KEYS)}",
         "sweep_results": f"{_sweep_ctes()} {_scored(KEYS)}",
+        "sweep_unframed": f"{_sweep_ctes('id IN (SELECT id FROM taxed)')} {_scored(KEYS)}",
         "sweep_summary": f"{_sweep_ctes()} SELECT method, k, count(*) AS runs, {summary} FROM m_val JOIN m_mpd USING ({KEYS}) JOIN m_fvo USING ({KEYS}) GROUP BY 1, 2",
         "results_by_label": f"{_sweep_ctes()} SELECT {labels} AS \"Method\", run, k, CAST(id AS VARCHAR) AS id FROM smp WHERE k = 4 AND (method IN ('maxsum', 'maxmin') OR run = 0)",
         "relation_mpd": f"WITH {SITE_PAIRS}, draws AS (SELECT * FROM (VALUES (0, 5, 5), (1, 5, 6)) v(run, k, seed)), smp AS ({_random('site')}) "
@@ -412,6 +436,11 @@ def oracles() -> dict[str, str]:
         "fully_covering": f"WITH {VERSES}, {COMMON}, {covering} SELECT lang FROM cover",
         "selected_units": f"WITH {VERSES}, {COMMON}, {covering} SELECT lang, verse_id, max_by(text, line) AS text FROM verse WHERE verse_id IN (SELECT verse_id FROM common) "
         "AND lang IN (SELECT lang FROM cover) GROUP BY 1, 2",
+        "parallel_text": f"WITH {VERSES}, {edition}, pick AS MATERIALIZED (SELECT verse.* FROM verse JOIN best USING (lang, edition)), "
+        "many AS (SELECT verse_id, count(*) AS n FROM (SELECT DISTINCT lang, edition, verse_id FROM pick) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6), "
+        "covers AS (SELECT lang FROM pick WHERE verse_id IN (SELECT verse_id FROM many) GROUP BY 1 HAVING count(DISTINCT verse_id) = 6), "
+        "test AS (SELECT verse_id FROM (SELECT verse_id, row_number() OVER (ORDER BY md5(concat_ws('|', 1, verse_id)), verse_id) AS rn FROM many) WHERE rn <= 3) "
+        "SELECT lang, verse_id, max_by(text, line) AS text FROM pick WHERE verse_id IN (SELECT verse_id FROM test) AND lang IN (SELECT lang FROM covers) GROUP BY 1, 2",
         "avg_tokens": f"WITH ln AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT lang, {_WORDS.format(text='line')} AS n FROM ln) "
         "SELECT lang, round(avg(n), 6) AS avg_subwords, count(*) AS n_units FROM c WHERE n > 0 GROUP BY 1",
         "avg_tokens_conversations": f"WITH c AS (SELECT role, {_WORDS.format(text='text')} AS n FROM conversations) SELECT role, round(avg(n), 6) AS avg_subwords, count(*) AS n_units FROM c WHERE n > 0 GROUP BY 1",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,10 @@ ITEM_SCHEMA = (
     "ISO639P3code STRING, provenance STRING, Family_name STRING, Family_level_ID STRING, "
     "Language_level_ID STRING, level STRING, lineage STRING"
 )
+# lines before the verses of an edition (fixed value)
 HEADER_LINES = 11
+# how columns without a header text come out of common tools (fixed values)
+UNNAMED = re.compile(r"Unnamed: [0-9]+|_c[0-9]+")
 
 
 def _found(path: str, read) -> DataFrame:
@@ -42,7 +47,7 @@ def _rename_index(df: DataFrame, id_name: str) -> DataFrame:
 def read_features(spark: SparkSession, path: str, id_name: str = "Lang_ID", drop_unnamed: bool = True) -> DataFrame:
     """Wide feature table of raw strings with the key column first, named ``id``."""
     df = _rename_index(read_csv(spark, path), id_name)
-    extra = [c for c in df.columns if c.startswith(("Unnamed", "_c"))] if drop_unnamed else []
+    extra = [c for c in df.columns if UNNAMED.fullmatch(c)] if drop_unnamed else []
     rest = [c for c in df.columns if c != id_name and c not in extra]
     return df.select(F.col(id_name).alias("id"), *[F.col(f"`{c}`") for c in rest])
 
@@ -64,7 +69,7 @@ def read_group_metadata(spark: SparkSession, path: str, id_col: str = "Glottocod
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
     """``(id, n, pos)`` of a JSON object id -> count; ``pos`` keeps the file's order."""
     text = _found(path, lambda p: spark.read.text(p, wholetext=True))
-    entries = F.from_json("value", "map<string,int>")
+    entries = F.from_json("value", "map<string,bigint>")
     return text.select(F.posexplode(entries).alias("pos", "id", "n")).select("id", "n", "pos")
 
 

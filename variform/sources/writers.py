@@ -28,7 +28,8 @@ def write_sample(ids: DataFrame, folder: str, method: str, frame: str, k: int, d
 
 def write_samples(samples: DataFrame, path: str) -> None:
     """All samples of a sweep as one table, partitioned by how they were drawn."""
-    samples.write.partitionBy("method", "k", "run").parquet(path)
+    # one task writes a sample's folder, so there are as many files as samples
+    samples.repartition("method", "k", "run").write.partitionBy("method", "k", "run").parquet(path)
 
 
 def write_results(results: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -58,5 +59,6 @@ def append_costs(costs: DataFrame, path: str) -> None:
 
 
 def write_language_texts(verses: DataFrame, path: str) -> None:
-    """One folder of text per language."""
-    verses.select("lang", "text").write.partitionBy("lang").text(path)
+    """One folder of text per language, in the order of its verses over its files, the same for all languages."""
+    placed = verses.repartitionByRange("lang", "verse_id").sortWithinPartitions("lang", "verse_id")
+    placed.select("lang", "text").write.partitionBy("lang").text(path)

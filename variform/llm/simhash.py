@@ -36,12 +36,13 @@ BITS = 64
 SHINGLE = 3
 LIMIT = 2
 SEED = 42
-#: Members of a bucket that are compared at once: 1,024 x 1,024 words are 8 MB.
-BUCKET = 1024
-#: With so few bits left a bucket has at most 2**10 members.
-LAST_BITS = 10
+#: Members of a bucket that one task compares, in strips of ``STRIP`` rows (512 x 8,192 words are 32 MB).
+BUCKET = 8192
+STRIP = 512
+#: With so few bits left a bucket has at most 2**13 members.
+LAST_BITS = 13
 #: Cost of verifying a candidate against that of filing a key, for the dynamic program.
-VERIFY_COST = 0.05
+VERIFY_COST = 0.002
 
 
 # --- fingerprints -------------------------------------------------------------------------------
@@ -188,11 +189,19 @@ def _file(fps: DataFrame, partitions: list[tuple[list[int], int]]) -> DataFrame:
 
 
 def _ties(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of one bucket: members that have a smaller one in their component, and the least of that component."""
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= limit
+    """Of one bucket: members that have a smaller one in their component, and the least of that component.
+
+    Strips of the comparison are made anew in each round instead of kept, so memory stays bounded.
+    """
+
+    def near(rows: np.ndarray, start: int) -> np.ndarray:
+        return np.bitwise_count(rows[start : start + STRIP, None] ^ rows[None, :]) <= limit
+
+    paired = np.concatenate([near(fps, k).sum(axis=1) > 1 for k in range(0, len(fps), STRIP)])
+    fps = fps[paired]
     label = np.arange(len(fps))
-    while True:
-        low = np.where(near, label[None, :], len(fps)).min(axis=1)
+    while len(fps):
+        low = np.concatenate([np.where(near(fps, k), label[None, :], len(fps)).min(axis=1) for k in range(0, len(fps), STRIP)])
         if (low == label).all():
             break
         label = low

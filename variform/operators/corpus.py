@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from variform.functions.columns import words
 from variform.session import stage
 
+# tokens that tokenizers add around a text (fixed values)
 SPECIAL_TOKENS = ("[SEP]", "[CLS]")
 
 

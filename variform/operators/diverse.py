@@ -31,8 +31,8 @@ def with_frame(items: DataFrame, frame: DataFrame | None = None) -> DataFrame:
 class Candidates:
     """Items made ready for picking up to ``k`` of them by either objective.
 
-    ``vectors(id, pos, x, w)`` stands for all items in row sums, ``items`` is what can be picked.
-    With ``copies`` both shrink to distinct vectors: their earliest item, and their earliest ``k``.
+    ``vectors(id, pos, x, w)`` has the distinct vectors with their earliest item and stands for all items in row sums;
+    ``items`` is what can be picked. With ``copies`` it shrinks to the earliest ``k`` items of each vector.
     """
 
     def __init__(self, items: DataFrame, k: int, frame: DataFrame | None = None, metric: str = "euclidean", copies: bool = False):
@@ -40,17 +40,13 @@ class Candidates:
             raise ValueError(f"Invalid value {k=}, make sure k > 0")
         placed = with_frame(items, frame)
         self.k, self.metric = k, metric
-        if copies:
-            # without a frame the id is the position, and its minimum aggregates by hash
-            earliest = F.min("id" if frame is None else F.struct("pos", "id")).alias("e")
-            e = F.col("e")
-            id_pos = (e.alias("id"), e.alias("pos")) if frame is None else ("e.id", "e.pos")
-            weighed = placed.groupBy("x").agg(earliest, F.count(F.lit(1)).alias("w"))
-            self.vectors = stage(weighed.select(*id_pos, "x", "w"))
-            self.items = stage(earliest_copies(placed, k))
-        else:
-            self.items = stage(placed)
-            self.vectors = self.items.withColumn("w", F.lit(1))
+        self.items = stage(earliest_copies(placed, k) if copies else placed)
+        # without a frame the id is the position, and its minimum aggregates by hash
+        earliest = F.min("id" if frame is None else F.struct("pos", "id")).alias("e")
+        e = F.col("e")
+        id_pos = (e.alias("id"), e.alias("pos")) if frame is None else ("e.id", "e.pos")
+        weighed = (placed if copies else self.items).groupBy("x").agg(earliest, F.count(F.lit(1)).alias("w"))
+        self.vectors = stage(weighed.select(*id_pos, "x", "w"))
 
     @cached_property
     def first(self) -> Pick:

@@ -334,7 +334,7 @@ def _mean_distances(vectors: DataFrame, band: list[Pick], metric: str) -> np.nda
 def first_pick(vectors: DataFrame, metric: str = "euclidean") -> Pick:
     """The item of largest summed distance to all items, ties to the smallest ``pos``.
 
-    ``vectors(id, pos, x, w)`` holds the candidates and how many items stand behind each. Few
+    ``vectors(id, pos, x, w)`` holds the distinct vectors and how many items stand behind each. Few
     vectors are summed in block pairs. With many, a bound that costs one scan ranks them and exact
     sums are computed for a band of the highest; the pick stands once it beats the bound of all
     others. If even the widest band cannot settle it, every sum is computed in block pairs.
@@ -350,11 +350,6 @@ def first_pick(vectors: DataFrame, metric: str = "euclidean") -> Pick:
         best = _best_first(level, np.array([p.pos for p in band]), 1)[0]
         if means[best] > beyond * (1 + 1e-9) + 1e-9:
             return band[best]
-    if moments:
-        # many vectors may still be copies of few: sum each once
-        earliest = F.min(F.struct("pos", "id")).alias("e")
-        vectors = stage(vectors.groupBy("x").agg(earliest, F.sum("w").alias("w")).select("e.id", "e.pos", "x", "w"))
-        n = vectors.count()
     sums = stage(vectors.join(pairwise.row_sums(vectors, metric, rows=n), "id"))
     row = first_of_ties(sums, "sum_d", "pos")
     return Pick(row["id"], row["pos"], np.array(row["x"], dtype=float))

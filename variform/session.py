@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -26,6 +28,8 @@ def local_session(app: str, cpus: int | str = 8, **extra: str) -> SparkSession:
         .config("spark.driver.memory", os.environ.get("VARIFORM_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
     )
+    if CHECKPOINT_DIR not in extra:
+        builder = builder.config(CHECKPOINT_DIR, _local_root())
     for key, value in extra.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -35,7 +39,10 @@ def local_session(app: str, cpus: int | str = 8, **extra: str) -> SparkSession:
 
 @cache
 def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="variform-")
+    """A folder of this process, removed when it ends."""
+    root = tempfile.mkdtemp(prefix="variform-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
 
 
 def staging_root(spark: SparkSession) -> str:

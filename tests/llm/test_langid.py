@@ -30,6 +30,9 @@ def test_defined_cases(spark):
     got = L.predict(df, model)
     assert got.columns == [*df.columns, "lang_pred", "score"]
     assert sorted((r["doc_id"], r["lang_pred"]) for r in got.collect()) == [(1, "und"), (2, "und"), (3, "und"), (4, "xx"), (4, "xx")]
+    clash = df.withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1))
+    assert L.predict(clash, model).columns == [*df.columns, "lang_pred", "score"]
+    assert model.predict("² ½") == ("und", 0.0)
     assert all(0 <= r["score"] <= 1 for r in got.collect())
     assert [r["doc_id"] for r in L.accepted(got).collect()] == [4, 4]
 

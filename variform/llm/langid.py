@@ -26,9 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from variform.llm.common import stage
+
 UND = "und"
 SAMPLE = 1_500
-TOP = 40_000
+TOP = 20_000
 LENGTHS = (5, 4, 3, 2, 1)
 #: The sample is bounded, so it is counted in a fixed number of tasks.
 TASKS = 12
@@ -94,7 +96,8 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _LETTERS.findall(text.lower()) if text else []
-        if not words or not self.langs:
+        # a run may hold nothing but number signs, which are no letters
+        if not self.langs or not any(any(map(str.isalpha, w)) for w in words):
             return UND, 0.0
         total = self.prior.copy()
         for start in range(0, len(words), 4096):  # rows of a stretch are summed before the memo may start over
@@ -120,7 +123,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Model:
         share = share.when(F.col("lang") == lang, min(1.0, sample / sizes[lang]))
     chosen = known.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
     counts = chosen.select("lang", "text").repartition(TASKS).mapInPandas(_count, "lang string, kind int, term string, n bigint")
-    terms = counts.groupBy("kind", "term").pivot("lang", langs).agg(F.sum("n")).na.fill(0)
+    terms = stage(counts.groupBy("kind", "term").pivot("lang", langs).agg(F.sum("n")).na.fill(0))
     total = sum((F.col(f"`{lang}`") for lang in langs), F.lit(0))
     strong = terms.where(total > 1).withColumn("total", total)
     # the most frequent entries of each kind; counts are thresholds, so one count goes in whole or not at all
@@ -152,7 +155,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
+    """``docs`` with ``lang_pred`` and ``score``, which replace columns of those names."""
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.prior, model.tables))
 
     @F.pandas_udf("lang_pred string, score double")
@@ -162,7 +165,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             found = [local.predict(t) for t in texts]
             yield pd.DataFrame({"lang_pred": pd.Series([f[0] for f in found], dtype=object), "score": [f[1] for f in found]}, index=texts.index)
 
-    return docs.withColumn("_language", language("text")).select(*docs.columns, "_language.lang_pred", "_language.score")
+    others = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    told = docs.select(*others, language("text").alias("_llm_language"))
+    return told.select(*others, "_llm_language.lang_pred", "_llm_language.score")
 
 
 def accepted(predicted: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:

@@ -139,6 +139,8 @@ def mix(
     plan = taken.join(cuts, ["key", "block", "epoch"], "left").select(
         F.col("key").alias("_mix_key"), F.col("block").alias("_mix_block"), "epoch", F.col("at").alias("mix_at"), F.col("cut").alias("_mix_cut")
     )
+    # staged, so that Spark knows its size: while it is small it is broadcast and no text is shuffled
+    plan = stage(plan)
     drawn = _keyed(docs, blocks).join(plan, ["_mix_key", "_mix_block"]).withColumn("mix_tie", _order(seed, F.col("doc_id"), F.col("epoch")))
     drawn = drawn.where(F.col("_mix_cut").isNull() | (F.col("mix_tie") <= F.col("_mix_cut")))
     return drawn.select(*docs.columns, "epoch", "mix_at", "mix_tie")

@@ -109,12 +109,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
-    bad = scan(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), F.col("hits").alias("_hits"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_print"))
+    bad = scan(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("_llm_id"), F.col("print").alias("_llm_print"), F.col("hits").alias("_llm_hits"))
+    same = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.xxhash64("text") == F.col("_llm_print"))
     if remove == "documents":
         return docs.join(bad, same, "left_anti")
-    joined = docs.join(bad.dropDuplicates(["_id", "_print"]), same, "left")
-    return joined.withColumn("text", F.when(F.col("_hits").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_hits")))).select(*docs.columns)
+    joined = docs.join(bad.dropDuplicates(["_llm_id", "_llm_print"]), same, "left")
+    return joined.withColumn("text", F.when(F.col("_llm_hits").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_llm_hits")))).select(*docs.columns)
 
 
 def _without(text: Column, hits: Column) -> Column:

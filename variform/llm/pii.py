@@ -177,9 +177,9 @@ def find(docs: DataFrame) -> DataFrame:
     told = bootstrap(occurrences)
     extra = occurrences.where("kind IS NULL").drop("kind").join(told.select("value", "kind"), "value")
     extra = extra.groupBy("doc_id", "print").agg(F.collect_list(F.struct("kind", "start", "stop", "value")).alias("extra"))
-    extra = extra.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "extra")
+    extra = extra.select(F.col("doc_id").alias("_llm_id"), F.col("print").alias("_llm_print"), "extra")
     slim = based.select("doc_id", "print", "base")
-    joined = slim.join(extra, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_print")), "left")
+    joined = slim.join(extra, F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.col("print") == F.col("_llm_print")), "left")
     order = F.array(*map(F.lit, KINDS))
     ranked = F.transform(
         F.concat("base", F.coalesce("extra", _none())),

@@ -38,7 +38,7 @@ CELLS = frozenset("td th br".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 BOILERPLATE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs byline captcha comment comments commentlist "
+    "ad ads adv advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs captcha comment comments commentlist "
     "consent cookie cookies copyright dialog disqus donate footer footnav form gdpr header legal links login masthead menu menus modal nav "
     "navbar navigation newsletter notice notices notification overlay pager pagination paywall popup privacy promo promos promoted recommended "
     "register related remark replies reply respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe tagcloud "

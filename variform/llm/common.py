@@ -16,7 +16,7 @@ BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: White space that the contracts name: space and the characters 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 
-__all__ = ["BETWEEN_WORDS", "LOWER", "SPACES", "UPPER", "ascii_lower", "held_out", "stage", "table", "words"]
+__all__ = ["BETWEEN_WORDS", "LOWER", "SPACES", "UPPER", "ascii_lower", "held_out", "spread_join", "stage", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +36,18 @@ def words(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that no model may learn from; a null id counts as the text ``null``."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % 5 == 0
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, weight: str, row_id: str, shares: int = 200) -> DataFrame:
+    """``rows`` with the columns of ``keyed``, a staged table of one row per key with the key's number of rows in ``weight``.
+
+    Keys with more than one of ``shares`` parts of all rows, of which there are fewer than ``shares``, are dealt to as
+    many tasks as they have such parts; the list of them is broadcast.
+    """
+    total = keyed.agg(F.sum(weight)).first()[0] or 1
+    parts = F.ceil(F.col(weight) * shares / F.lit(total)).cast("int")
+    hot = F.broadcast(keyed.where(F.col(weight) * shares > total).select(key, parts.alias("_parts")))
+    n = F.coalesce("_parts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(row_id), n).cast("int")).drop("_parts")
+    right = keyed.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
+    return left.join(right, [key, "_salt"]).drop("_salt")

@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from variform.llm.common import SPACES, stage
+from variform.llm.common import SPACES, spread_join, stage
 
 #: Bytes of distinct contents that one table may hold.
 TABLE_BYTES = 96 << 20
@@ -172,14 +172,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def members(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """``(doc_id, digest, keep_id, group_size, kept)``, one row per row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_digests, "doc_id bigint, digest binary")
-    joined = rows.join(classes(docs, table_bytes), "digest")
+    joined = spread_join(rows, classes(docs, table_bytes), "digest", "group_size", "doc_id")
     return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def deduplicate(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """``docs`` without the documents whose text another one stands for."""
-    lost = members(docs, table_bytes).where("NOT kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    lost = members(docs, table_bytes).where("NOT kept").select(F.col("doc_id").alias("_llm_id"))
+    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_llm_id")), "left_anti")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from variform.llm.common import stage
+from variform.llm.common import spread_join, stage
 from variform.llm.links import components
 
 BITS = 64
@@ -297,20 +297,20 @@ def near_links(fps: DataFrame, limit: int = LIMIT, bucket: int = BUCKET) -> Data
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT, bucket: int = BUCKET) -> DataFrame:
     """``(doc_id, fp, component_id)``: the smallest id that a chain of near fingerprints reaches, itself included."""
     rows = stage(fingerprints(docs, shingle))
-    distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     roots = components(near_links(distinct.select("fp"), limit, bucket)).withColumnRenamed("a", "fp")
     # the least fingerprint of a component is no row of ``roots``
     tied = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     named = tied.join(distinct, "fp").groupBy("root").agg(F.min("rep").alias("least"))
     least = tied.join(named, "root").select("fp", "least")
-    per_fp = distinct.join(least, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return rows.join(per_fp, "fp").select("doc_id", "fp", "component_id")
+    per_fp = stage(distinct.join(least, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), "n"))
+    return spread_join(rows, per_fp, "fp", "n", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
     """``docs`` with one document, the one of the smallest id, of each component."""
-    lost = near_duplicates(docs, shingle, limit).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(lost, F.col("doc_id") == F.col("_id"), "left_anti")
+    lost = near_duplicates(docs, shingle, limit).where("doc_id <> component_id").select(F.col("doc_id").alias("_llm_id"))
+    return docs.join(lost, F.col("doc_id") == F.col("_llm_id"), "left_anti")
 
 
 def report(docs: DataFrame) -> DataFrame:

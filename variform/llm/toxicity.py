@@ -7,7 +7,7 @@ words around terms, and whether it stands in quotation marks. A logistic regress
 gives the score.
 
 Learning reads at most about ``sample`` labelled documents (a documented bound), chosen by the hash of their text, equal
-texts once. Scoring reads every whole text.
+texts once with their highest label. Scoring reads every whole text.
 
 Defined cases: null and empty texts have no match and get the score of such documents; null labels teach nothing; if
 either label is missing all scores are the share of toxic labels (0 without any); an id with several labels takes the
@@ -182,7 +182,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Model:
     total = known.count()
     share = min(1.0, sample / max(total, 1))
     rows = known.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
-    rows = stage(rows.repartition(TASKS, "text").dropDuplicates(["text"]))
+    # equal texts combine before they travel; the sample is then dealt evenly
+    rows = stage(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).repartition(TASKS))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     calm, toxic = sizes.get(0, 0), sizes.get(1, 0)
     none = Model({}, set(), {}, np.zeros(1 + FEATURES))

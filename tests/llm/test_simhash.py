@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 
 from variform.llm import simhash as S
@@ -82,6 +84,30 @@ def test_large_buckets_leave_for_further_levels(spark):
     assert len(links) < 20_000
 
 
+@pytest.mark.parametrize("tail", [1, 3, 8, 9])
+def test_the_tail_of_a_large_bucket_follows_it(tail):
+    rng = random.Random(tail)
+    fps = np.array([rng.getrandbits(64) for _ in range(40 + tail)], dtype=np.uint64).view(np.int64)
+    paths = np.array([5] * len(fps) + [9] * 3)
+    fps = np.r_[fps, [1, 2, 3]]
+    columns = [pa.array(paths), pa.array(np.full(len(fps), -1)), pa.array(fps)]
+    table = pa.RecordBatch.from_arrays(columns, names=["path", "free", "fp"])
+    out = list(S._compare(2, 16)(iter([table.slice(0, 40), table.slice(40)])))
+    left = [a for b in out for a, tied in zip(b.column("a").to_pylist(), b.column("b").to_pylist()) if tied is None]
+    assert sorted(left) == sorted(3 * fps[:-3].tolist())  # every member, once for each part of its free bits
+
+
+def test_large_buckets_over_several_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for size in (17, 23):
+            spark.conf.set(name, size)
+            check_links(spark, planted(random.Random(size), 100), bucket=16)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_other_limits(spark):
     check_links(spark, planted(random.Random(7), 100), limit=3)
     check_links(spark, planted(random.Random(8), 100), limit=1)

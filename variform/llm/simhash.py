@@ -239,6 +239,14 @@ def _compare(limit: int, bucket: int):
 
         def settle(path, free, fps):
             nonlocal deferring
+            # what is left of a bucket that was handed on follows it, however little it is
+            late = path == deferring if deferring is not None else np.zeros(len(path), bool)
+            if late.any():
+                at = int(np.argmax(late))
+                yield from defer(int(path[at]), int(free[at]), fps[late])
+                path, free, fps = path[~late], free[~late], fps[~late]
+            if not len(path):
+                return
             cuts = np.flatnonzero(np.diff(path)) + 1
             starts, ends = np.r_[0, cuts], np.r_[cuts, len(path)]
             sizes = ends - starts
@@ -252,7 +260,7 @@ def _compare(limit: int, bucket: int):
             for k in np.flatnonzero(sizes > 8):
                 s, e = starts[k], ends[k]
                 few_left = int(free[s]) & ((1 << BITS) - 1)
-                if path[s] == deferring or (e - s > bucket and few_left.bit_count() > LAST_BITS):
+                if e - s > bucket and few_left.bit_count() > LAST_BITS:
                     deferring = path[s]
                     yield from defer(int(path[s]), int(free[s]), fps[s:e])
                 else:

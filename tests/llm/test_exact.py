@@ -57,3 +57,11 @@ def test_table_compares_contents_and_grows():
     assert len(table.rows) == 20 and sum(r[0] for r in table.rows) == 50
     with pytest.raises(ValueError, match="digest"):
         table.add(hashlib.sha256(b"1").digest(), b"other", 1, 1, 1, 1 << 20)
+
+
+def test_deduplicate_parts_rows_of_one_id_by_their_texts(spark):
+    rows = [(1, "a"), (None, "a"), (None, "alone"), (2, "b"), (3, "b"), (3, "c"), (None, "d e"), (None, "de"), (None, "d e"), (4, "f"), (4, "f")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    got = [(r["doc_id"], r["text"]) for r in X.deduplicate(docs).collect()]
+    want = [(1, "a"), (None, "alone"), (2, "b"), (3, "c"), (None, "d e"), (4, "f"), (4, "f")]
+    assert sorted(got, key=str) == sorted(want, key=str)

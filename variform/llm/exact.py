@@ -10,8 +10,8 @@ Texts are equal when they are after deleting white space (space and characters 9
 the most code points stays, then the smallest id. The digest (SHA-256 of the normalised text) names a class; should two
 contents ever share one, the job stops with an error instead of merging them.
 
-Defined cases: null counts as empty; rows of one id are one document and share its fate, each row of the result for
-itself; null ids come last among ties; an empty table gives an empty result; extra columns are ignored.
+Defined cases: null counts as empty; rows of one id and one normalised text are one document and share its fate, each
+row of the result for itself; null ids come last among ties, and of a class without ids ``deduplicate`` keeps one row; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from variform.llm.common import SPACES, spread_join, stage
@@ -166,20 +166,32 @@ def classes(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digests = [hashlib.sha256(content).digest() for content in _normal(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary())], names=["doc_id", "digest"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), pa.array(digests, pa.binary())], names=["doc_id", "print", "digest"])
 
 
 def members(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """``(doc_id, digest, keep_id, group_size, kept)``, one row per row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_digests, "doc_id bigint, digest binary")
+    return _members(docs, table_bytes).drop("print")
+
+
+def _members(docs: DataFrame, table_bytes: int) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("print"), "text")
+    rows = rows.mapInArrow(_digests, "doc_id bigint, print bigint, digest binary")
     joined = spread_join(rows, classes(docs, table_bytes), "digest", "group_size", "doc_id")
     return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def deduplicate(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """``docs`` without the documents whose text another one stands for."""
-    lost = members(docs, table_bytes).where("NOT kept").select(F.col("doc_id").alias("_llm_id"))
-    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_llm_id")), "left_anti")
+    lost = _members(docs, table_bytes).where("NOT kept").select(F.col("doc_id").alias("_llm_id"), F.col("print").alias("_llm_print"))
+    lost = stage(lost.distinct())  # read by both parts below
+    own = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.xxhash64("text") == F.col("_llm_print"))
+    kept = docs.join(lost, own, "left_anti")
+    # rows without an id that are left are all of their class, of which one stays
+    content = F.translate(F.coalesce("text", F.lit("")), SPACES, "")
+    longest = Window.partitionBy("_llm_class").orderBy(F.desc(F.length(F.coalesce("text", F.lit("")))), "text")
+    single = kept.where("doc_id IS NULL").withColumn("_llm_class", F.sha2(content, 256)).withColumn("_llm_nth", F.row_number().over(longest))
+    return kept.where("doc_id IS NOT NULL").unionByName(single.where("_llm_nth = 1").select(*docs.columns))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -58,3 +58,10 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     got = queries.op2_language(spark, sf_dir).join(truth, "doc_id").where("held_out")
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
+
+
+def test_equal_texts_of_the_sample_count_once(spark):
+    rows = [(f"house river w{k % 7} stone", "en") for k in range(30)] + [(f"haus fluss v{k % 7} stein", "de") for k in range(30)]
+    once = L.fit(spark.createDataFrame(sorted(set(rows)), "text string, lang string"))
+    many = L.fit(spark.createDataFrame(rows + 200 * [rows[0]], "text string, lang string"))
+    assert once.tables == many.tables and list(once.prior) != list(many.prior)

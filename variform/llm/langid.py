@@ -122,7 +122,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Model:
     for lang in langs:
         share = share.when(F.col("lang") == lang, min(1.0, sample / sizes[lang]))
     chosen = known.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
-    counts = chosen.select("lang", "text").repartition(TASKS).mapInPandas(_count, "lang string, kind int, term string, n bigint")
+    # equal texts of a language count once, so a text of many rows does not outweigh the sample
+    counts = chosen.select("lang", "text").distinct().repartition(TASKS).mapInPandas(_count, "lang string, kind int, term string, n bigint")
     terms = stage(counts.groupBy("kind", "term").pivot("lang", langs).agg(F.sum("n")).na.fill(0))
     total = sum((F.col(f"`{lang}`") for lang in langs), F.lit(0))
     strong = terms.where(total > 1).withColumn("total", total)

@@ -2,6 +2,12 @@
 
 Languages that cannot be told, exact copies, near copies and documents with benchmark passages go; what is left is
 mixed by source. Every stage is written as Parquet and read again, so a lost executor costs one stage's tasks.
+
+Defined cases: null and empty texts have no language and go in the first stage, as do texts without letters; of equal
+texts the longest original stays, then the smallest id; of near copies the smallest id; rows of one id with different
+texts are different documents, repeated rows are one and share its fate; null ids come last among ties and a null source
+is a source of its own; very long texts are read whole; further columns, whatever their names, are carried along;
+an empty table gives an empty mixture.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variform.llm import decontaminate, exact, jaccard, langid, mixing
+from variform.llm import decontaminate, exact, langid, mixing, simhash
 from variform.llm.common import held_out, stage, table
 
 
@@ -27,12 +33,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
-
-    Every such pair is found and compared, whatever the distance of its fingerprints, so the stage does without those of
-    query 8.
-    """
-    return jaccard.deduplicate(docs)
+    """One document of each group whose fingerprints are linked."""
+    return simhash.deduplicate(docs, shingle=SHINGLE, limit=NEAR_BITS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +47,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, max_repeats=MAX_REPEATS)
 
 
-#: Differing bits up to which the near stage joined documents before it compared texts; its test still reads this.
-NEAR_BITS = 6
+#: Words in a shingle of a fingerprint, and differing bits up to which two fingerprints are linked.
+SHINGLE = 3
+NEAR_BITS = 2
 
 #: No source is repeated more often than this.
 MAX_REPEATS = 1.25

@@ -88,3 +88,11 @@ def test_one_probe_joins_by_broadcast_without_python(spark):
     df = D.report(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).where(F.col("contaminated"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan and "Arrow" not in plan
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6, 7), (2, "c", 5, 6, 7)], "doc_id bigint, text string, _llm_id int, _LLM_PRINT int, _llm_hits int")
+    items = spark.createDataFrame([(1, "a b")], ITEMS)
+    assert [tuple(r) for r in D.decontaminate(docs, items).collect()] == [(2, "c", 5, 6, 7)]
+    cut = D.decontaminate(docs, items, remove="spans")
+    assert cut.columns == docs.columns and sorted(tuple(r) for r in cut.collect()) == [(1, " ", 5, 6, 7), (2, "c", 5, 6, 7)]

@@ -65,3 +65,11 @@ def test_deduplicate_parts_rows_of_one_id_by_their_texts(spark):
     got = [(r["doc_id"], r["text"]) for r in X.deduplicate(docs).collect()]
     want = [(1, "a"), (None, "alone"), (2, "b"), (3, "c"), (None, "d e"), (4, "f"), (4, "f")]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_deduplicate_with_clashing_names(spark):
+    names = "_llm_id int, _llm_print int, _llm_class int, _LLM_NTH int"
+    docs = spark.createDataFrame([(1, "a", 1, 2, 3, 4), (2, "a", 1, 2, 3, 4), (None, "b", 1, 2, 3, 4), (None, "b ", 1, 2, 3, 4)], f"doc_id bigint, text string, {names}")
+    kept = X.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=str) == [(1, "a"), (None, "b ")]

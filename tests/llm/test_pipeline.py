@@ -28,9 +28,10 @@ def documents():
     for k in (3, 4, 5):
         add(rows[k][1].replace(" ", "\n "), "en")  # exact copies but for white space
     for k in (10, 11, 12, 13):
-        words = rows[k][1].split()
-        words[40] = "changed"
-        add(" ".join(words), "en")
+        for at in range(10, 150, 7):  # some of them move two bits at most
+            words = rows[k][1].split()
+            words[at] = "changed"
+            add(" ".join(words), "en")
     passage = " ".join(f"question{c}" for c in "abcdefghijkl")
     add(rows[20][1] + " " + passage.upper() + " " + rows[21][1][:300], "en")
     for text in (None, "", "12 34 56 --"):
@@ -59,12 +60,12 @@ def test_stages_do_what_their_brute_force_versions_do(spark, folder):
             want = {i for i, _, _, stays, _ in copies([(i, r[1]) for i, r in kept.items()]) if stays}
             assert len(kept) - len(want) == 3
         elif name == "near":
-            label = classes([slow_fingerprint(r[1]) for r in kept.values()], P.NEAR_BITS)
+            label = classes([slow_fingerprint(r[1]) for r in kept.values()])
             first = {}
             for i in sorted(kept):
                 first.setdefault(label[slow_fingerprint(kept[i][1])], i)
             want = set(first.values())
-            assert {83, 84, 85, 86} - want  # changed copies go
+            assert len(want) < len(kept)  # changed copies go
         elif name == "leaks":
             want = {i for i, _, hit, _ in leaks([(i, r[1]) for i, r in kept.items()], items) if not hit}
             assert len(kept) - len(want) == 1

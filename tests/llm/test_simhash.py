@@ -129,6 +129,18 @@ def test_components_of_documents(spark):
     assert kept.columns == df.columns and 5 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_deduplicate_with_lacking_and_repeated_ids_and_clashing_names(spark):
+    base = " ".join(f"w{k}" for k in range(400))
+    rows = [(5, base), (5, base), (5, base.upper()), (None, base), (9, base + " "), (None, "alone"), (None, "ALONE"), (7, "one"), (7, "two")]
+    docs = spark.createDataFrame([(*r, k, k) for k, r in enumerate(rows)], "doc_id bigint, text string, _llm_id int, _LLM_PRINT int")
+    kept = S.deduplicate(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], (r["text"] or "").lower()) for r in kept.collect()]
+    assert sorted(got, key=str) in (
+        sorted([(5, base)] * n + [(None, "alone"), (7, "one"), (7, "two")], key=str) for n in (1, 2)  # the text that stays has one row or two
+    )
+
+
 def test_empty_table(spark):
     assert S.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 

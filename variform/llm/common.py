@@ -16,7 +16,7 @@ BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: White space that the contracts name: space and the characters 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 
-__all__ = ["BETWEEN_WORDS", "LOWER", "SPACES", "UPPER", "ascii_lower", "held_out", "spread_join", "stage", "table", "words"]
+__all__ = ["BETWEEN_WORDS", "LOWER", "SPACES", "UPPER", "ascii_lower", "held_out", "spare", "spread_join", "stage", "table", "without", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,26 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % 5 == 0
 
 
+def spare(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as make it none of ``columns``, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose id and xxhash64 of the text are a row of ``lost(doc_id, print)``."""
+    doc_id, print_ = spare(docs.columns, "_llm_id", "_llm_print")
+    lost = lost.select(F.col("doc_id").alias(doc_id), F.col("print").alias(print_))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc_id)) & (F.xxhash64("text") == F.col(print_))
+    return docs.join(lost, same, "left_anti")
+
+
 def spread_join(rows: DataFrame, keyed: DataFrame, key: str, weight: str, row_id: str, shares: int = 200) -> DataFrame:
     """``rows`` with the columns of ``keyed``, a staged table of one row per key with the key's number of rows in ``weight``.
 

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from variform.llm.common import BETWEEN_WORDS, ascii_lower, words
+from variform.llm.common import BETWEEN_WORDS, ascii_lower, spare, without, words
 
 WINDOW = 10
 #: Windows in one broadcast: about 300 bytes each with their words, so some 60 MB at most.
@@ -109,12 +109,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
-    bad = scan(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("_llm_id"), F.col("print").alias("_llm_print"), F.col("hits").alias("_llm_hits"))
-    same = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.xxhash64("text") == F.col("_llm_print"))
+    bad = scan(docs, benchmark, size).where("n_hit > 0").select("doc_id", "print", "hits")
     if remove == "documents":
-        return docs.join(bad, same, "left_anti")
-    joined = docs.join(bad.dropDuplicates(["_llm_id", "_llm_print"]), same, "left")
-    return joined.withColumn("text", F.when(F.col("_llm_hits").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_llm_hits")))).select(*docs.columns)
+        return without(docs, bad)
+    doc_id, print_, hits = spare(docs.columns, "_llm_id", "_llm_print", "_llm_hits")
+    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.xxhash64("text") == F.col(print_))
+    joined = docs.join(bad.dropDuplicates(["doc_id", "print"]).toDF(doc_id, print_, hits), same, "left")
+    return joined.withColumn("text", F.when(F.col(hits).isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col(hits)))).select(*docs.columns)
 
 
 def _without(text: Column, hits: Column) -> Column:

@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from variform.llm.common import SPACES, spread_join, stage
+from variform.llm.common import SPACES, spare, spread_join, stage, without
 
 #: Bytes of distinct contents that one table may hold.
 TABLE_BYTES = 96 << 20
@@ -183,15 +183,14 @@ def _members(docs: DataFrame, table_bytes: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """``docs`` without the documents whose text another one stands for."""
-    lost = _members(docs, table_bytes).where("NOT kept").select(F.col("doc_id").alias("_llm_id"), F.col("print").alias("_llm_print"))
-    lost = stage(lost.distinct())  # read by both parts below
-    own = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.xxhash64("text") == F.col("_llm_print"))
-    kept = docs.join(lost, own, "left_anti")
+    lost = _members(docs, table_bytes).where("NOT kept").select("doc_id", "print")
+    kept = without(docs, stage(lost.distinct()))  # read by both parts below
     # rows without an id that are left are all of their class, of which one stays
     content = F.translate(F.coalesce("text", F.lit("")), SPACES, "")
-    longest = Window.partitionBy("_llm_class").orderBy(F.desc(F.length(F.coalesce("text", F.lit("")))), "text")
-    single = kept.where("doc_id IS NULL").withColumn("_llm_class", F.sha2(content, 256)).withColumn("_llm_nth", F.row_number().over(longest))
-    return kept.where("doc_id IS NOT NULL").unionByName(single.where("_llm_nth = 1").select(*docs.columns))
+    kind, nth = spare(docs.columns, "_llm_class", "_llm_nth")
+    longest = Window.partitionBy(kind).orderBy(F.desc(F.length(F.coalesce("text", F.lit("")))), "text")
+    single = kept.where("doc_id IS NULL").withColumn(kind, F.sha2(content, 256)).withColumn(nth, F.row_number().over(longest))
+    return kept.where("doc_id IS NOT NULL").unionByName(single.where(F.col(nth) == 1).select(*docs.columns))
 
 
 def report(docs: DataFrame) -> DataFrame:

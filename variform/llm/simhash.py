@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from variform.llm.common import spread_join, stage
+from variform.llm.common import spread_join, stage, without
 from variform.llm.links import components
 
 BITS = 64
@@ -66,13 +66,19 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, fp)`` per row."""
+    return _fingerprints(docs.select(F.col("doc_id").cast("bigint"), "text"), shingle)
+
+
+def _fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
+    """The ids of ``rows(.., text)``, all bigint, with ``fp`` in place of the text."""
+    ids = [c for c in rows.columns if c != "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(v.as_py(), shingle) for v in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ids), pa.array(fps, pa.int64())], names=[*ids, "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(work, "doc_id bigint, fp bigint")
+    return rows.mapInArrow(work, ", ".join(f"{c} bigint" for c in [*ids, "fp"]))
 
 
 # --- the plan: partitions and thresholds --------------------------------------------------------
@@ -304,21 +310,33 @@ def near_links(fps: DataFrame, limit: int = LIMIT, bucket: int = BUCKET) -> Data
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT, bucket: int = BUCKET) -> DataFrame:
     """``(doc_id, fp, component_id)``: the smallest id that a chain of near fingerprints reaches, itself included."""
-    rows = stage(fingerprints(docs, shingle))
-    distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    return _named(stage(fingerprints(docs, shingle)), limit, bucket).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+
+
+def _named(rows: DataFrame, limit: int, bucket: int = BUCKET) -> DataFrame:
+    """Staged ``rows(doc_id, .., fp)`` with ``first``, the ids of the component's row that comes first; null ids come last."""
+    ids = [c for c in rows.columns if c != "fp"]
+    order = F.struct(F.col("doc_id").isNull().alias("none"), *ids)
+    distinct = stage(rows.groupBy("fp").agg(F.min(order).alias("rep"), F.count(F.lit(1)).alias("n")))
     roots = components(near_links(distinct.select("fp"), limit, bucket)).withColumnRenamed("a", "fp")
     # the least fingerprint of a component is no row of ``roots``
     tied = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     named = tied.join(distinct, "fp").groupBy("root").agg(F.min("rep").alias("least"))
     least = tied.join(named, "root").select("fp", "least")
-    per_fp = stage(distinct.join(least, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), "n"))
-    return spread_join(rows, per_fp, "fp", "n", "doc_id").select("doc_id", "fp", "component_id")
+    per_fp = stage(distinct.join(least, "fp", "left").select("fp", F.coalesce("least", "rep").alias("first"), "n"))
+    return spread_join(rows, per_fp, "fp", "n", "doc_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
-    """``docs`` with one document, the one of the smallest id, of each component."""
-    lost = near_duplicates(docs, shingle, limit).where("doc_id <> component_id").select(F.col("doc_id").alias("_llm_id"))
-    return docs.join(lost, F.col("doc_id") == F.col("_llm_id"), "left_anti")
+    """``docs`` with one document, the one of the smallest id, of each component.
+
+    Rows of one id and one text are one document and share its fate; of several texts under the smallest id, or of a
+    component without any id, the one with the least hash stays.
+    """
+    prints = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("print"), "text")
+    named = _named(stage(_fingerprints(prints, shingle)), limit)
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("print") == F.col("first.print"))
+    return without(docs, named.where(~stays).select("doc_id", "print").distinct())
 
 
 def report(docs: DataFrame) -> DataFrame:

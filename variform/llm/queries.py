@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variform.llm import chat, decontaminate, exact, langid, mixing, pii, recount, simhash, toxicity, webtext
+from variform.llm import chat, decontaminate, exact, langid, mixing, pieces, pii, recount, simhash, toxicity, webtext
 from variform.llm.common import held_out, table
 
 
@@ -16,6 +16,8 @@ from variform.llm.common import held_out, table
 MAX_REPEATS = 1.25
 #: A public rank file; it is read where it lies and is no part of this repository.
 VOCABULARY = os.environ.get("VARIFORM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: A public SentencePiece model, read on the driver.
+PIECES = os.environ.get("VARIFORM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +66,11 @@ def op10_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recount.recount(docs, VOCABULARY).drop("source")
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(PIECES, "rb") as model:
+        return pieces.report(table(spark, sf_dir, "documents"), model.read())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_toxicity,
         op10_recount,
+        op13_sentencepiece,
     )
 }
 

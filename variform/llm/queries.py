@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variform.llm import chat, decontaminate, exact, langid, mixing, pieces, pii, recount, repair, simhash, toxicity, webtext
+from variform.llm import chat, decontaminate, exact, langid, mixing, pieces, pii, prefixtrie, recount, repair, simhash, toxicity, webtext
 from variform.llm.common import held_out, table
 
 
@@ -66,6 +66,10 @@ def op10_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recount.recount(docs, VOCABULARY).drop("source")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.report(table(spark, sf_dir, "conversations"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(table(spark, sf_dir, "conversations"))
 
@@ -88,9 +92,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_toxicity,
         op10_recount,
+        op11_prefix_trie,
         op12_repair,
         op13_sentencepiece,
     )
 }
 
-ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op3_chat": chat.ORACLE, "op4_exact": exact.ORACLE, "op12_repair": repair.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op3_chat": chat.ORACLE,
+    "op4_exact": exact.ORACLE,
+    "op11_prefix_trie": prefixtrie.ORACLE,
+    "op12_repair": repair.ORACLE,
+}

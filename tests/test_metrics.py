@@ -1,9 +1,12 @@
 import itertools
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from data import distance_matrix, entropy, items_table, overlap, random_vectors
+from variform.functions import kernels
 from variform.operators import distance, metrics, reports
 
 
@@ -75,3 +78,60 @@ def test_running_overlap(spark):
     pairs = spark.createDataFrame([(1, 2)], "a int, b int")
     rows = distance.running_overlap(pairs, cleaning.to_vector(wide, ["f", "g", "h"])).orderBy("pos").collect()
     assert [(r["pos"], r["overlap"]) for r in rows] == [(0, 1.0), (1, 1.0), (2, 0.5)]
+
+
+def test_equal_bit_for_bit_under_any_partitioning(spark):
+    vectors = random_vectors(60, 7, 3, 0.2, 11)
+    items = items_table(spark, {i: [None if v is None else v / 3 for v in x] for i, x in vectors.items()})
+    rows = [("m", run, 40, (i * 7 + run) % 60) for run in range(3) for i in range(40)]
+    schema = "method string, run int, k int, id bigint"
+    found = []
+    for parts in (1, 3, 11):
+        table = spark.createDataFrame(rows[:: -1 if parts == 3 else 1], schema).repartition(parts)
+        scores = [metrics.evaluate(table, items.repartition(parts), fvo_mode=mode) for mode in metrics.FVO_MODES]
+        found.append([sorted(map(tuple, s.collect())) for s in scores])
+        found[-1].append(sorted(map(tuple, distance.row_sums(items.repartition(parts)).collect())))
+    assert found[0] == found[1] == found[2]
+
+
+def test_overlap_is_the_double_next_to_the_exact_value(spark):
+    """Four items, each pair a ratio of eighths or so: the mean is a number that decimals write exactly."""
+    vectors = random_vectors(30, 8, 2, 0.3, 5)
+    items = items_table(spark, vectors)
+    drawn = items.withColumn("g", F.col("id") % 4)
+    for row in metrics.feature_value_overlap(drawn, "g").where("mode = 'every_position'").collect():
+        ratios = []
+        for a, b in itertools.combinations([v for i, v in vectors.items() if i % 4 == row["g"]], 2):
+            same = total = 0
+            for x, y in zip(a, b):
+                total += x is not None and y is not None
+                same += x is not None and x == y
+                ratios += [Fraction(same, total)] if total else []
+        assert row["fvo"] == float(sum(ratios) / len(ratios))
+
+
+@pytest.mark.parametrize("diagonal", [True, False])
+def test_weights_of_any_size_are_counted_exactly(diagonal):
+    rng = np.random.default_rng(3)
+    w = np.array([1.0, 2.0, 3.0, 2.0**31 + 7, 2.0**40, 12345.0])
+    v = w if diagonal else w[::-1] + 1
+    parts = kernels.weight_parts(w, v, diagonal)
+    cells = [[sum(int(part[i, j]) << shift for shift, part in parts) for j in range(6)] for i in range(6)]
+    for i, j in itertools.product(range(6), repeat=2):
+        a, b = int(w[i]), int(v[j])
+        assert cells[i][j] == ((a * (a - 1) // 2 if i == j else a * b if j > i else 0) if diagonal else a * b)
+    x = rng.integers(0, 2, (6, 5)).astype(float)
+    x[rng.random((6, 5)) < 0.2] = np.nan
+    y = x if diagonal else x[::-1]
+    found = {m: (Fraction(0), 0) for m in metrics.FVO_MODES}
+    for mode, shared, equal, n in kernels.overlap_counts(x, y, parts):
+        found[mode] = (found[mode][0] + Fraction(equal, shared), found[mode][1] + n)
+    want = (Fraction(0), 0)
+    for i, j in itertools.product(range(6), repeat=2):
+        same = total = 0
+        for p, q in zip(x[i], y[j]):
+            total += not (np.isnan(p) or np.isnan(q))
+            same += p == q
+            if total:
+                want = (want[0] + Fraction(cells[i][j] * int(same), int(total)), want[1] + cells[i][j])
+    assert found["every_position"] == want

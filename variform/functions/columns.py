@@ -23,6 +23,16 @@ def clean_number(c: Column | str) -> Column:
     return F.when(c.isNull() | F.trim(c).isin(*MISSING_TOKENS) | F.isnan(number), None).otherwise(checked)
 
 
+def exact_sum(c: Column | str) -> Column:
+    """Sum of doubles as decimals of 15 digits after the point, so that the order of the rows does not change it."""
+    return F.sum(_col(c).cast("decimal(38,15)")).cast("double")
+
+
+def exact_mean(c: Column | str) -> Column:
+    """Mean of the doubles that are not null, independent of the order of the rows."""
+    return F.try_divide(exact_sum(c), F.count(_col(c)))
+
+
 def shuffle_key(seed: Column, item: Column | str, salt: str | None = None) -> Column:
     """A reproducible random order: equal for equal seed and id, whatever the partitioning."""
     parts = [seed.cast("string"), *([F.lit(salt)] if salt else []), _col(item).cast("string")]

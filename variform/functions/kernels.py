@@ -94,30 +94,71 @@ BLOCK_METRICS = {"euclidean": euclidean_block, "geodesic": geodesic_block}
 POINT_METRICS = {"euclidean": euclidean_point, "geodesic": geodesic_point}
 
 
-def overlap_block(left: np.ndarray, right: np.ndarray, weights: np.ndarray) -> dict[str, tuple[float, float]]:
-    """Weighted overlap totals of two blocks: mode -> (sum of ratios, number of ratios).
+#: Pair weights are split in parts of so many bits, so that sums over a tile stay whole numbers in floating point.
+WEIGHT_BITS = 20
 
-    Walks the features in their declared order keeping, per pair, the running count of equal
-    values and of shared positions. ``weights`` holds the number of item pairs behind each cell.
+
+def weight_parts(left: np.ndarray, right: np.ndarray, diagonal: bool) -> list[tuple[int, np.ndarray]]:
+    """Item pairs behind each cell of two blocks of whole weights, as ``(shift, part)`` that add up to them exactly.
+
+    On the diagonal each unordered pair counts once, pairs of copies included.
     """
-    same = np.zeros(weights.shape)
-    total = np.zeros(weights.shape)
-    every, shared_only = np.zeros(2), np.zeros(2)
-    ratio = np.zeros(weights.shape)
-    for position in range(left.shape[1]):
+    low = (1 << 30) - 1
+
+    def products(a: np.ndarray, b: np.ndarray):
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        yield 0, (a & low) * (b & low)
+        if max(a.max(initial=0), b.max(initial=0)) > low:
+            yield 30, (a >> 30) * (b & low)
+            yield 30, (a & low) * (b >> 30)
+            yield 60, (a >> 30) * (b >> 30)
+
+    found = [(shift, np.triu(part, 1) if diagonal else part) for shift, part in products(left[:, None], right[None, :])]
+    if diagonal:
+        even = left.astype(np.int64) % 2 == 0
+        copies = products(np.where(even, left // 2, left), np.where(even, left - 1, (left - 1) // 2))
+        found += [(shift, np.diag(part)) for shift, part in copies]
+    parts: dict[int, np.ndarray] = {}
+    for shift, part in found:
+        while part.any():
+            bits = part & ((1 << WEIGHT_BITS) - 1)
+            # parts of one shift are few, so their sum stays small
+            parts[shift] = parts.get(shift, 0) + bits
+            part, shift = part >> WEIGHT_BITS, shift + WEIGHT_BITS
+    return [(shift, part.astype(float)) for shift, part in parts.items()]
+
+
+def overlap_counts(left: np.ndarray, right: np.ndarray, parts: list[tuple[int, np.ndarray]]) -> list[tuple[str, int, int, int]]:
+    """``(mode, shared, equal, pairs)``: the running value overlap of two blocks, for every way of averaging it.
+
+    Walks the features in their declared order keeping, per pair, the running count of equal values and of shared
+    positions. Ratios are not added up: those over the same number of shared positions add their numerators, which
+    are whole numbers, so neither the order of pairs nor that of blocks changes a result.
+    """
+    width = left.shape[1]
+    shape = (left.shape[0], right.shape[0])
+    same, total = np.zeros(shape), np.zeros(shape, dtype=np.int64)
+    # per part: numerators and weights by (both present here, shared so far)
+    sums = np.zeros((len(parts), 2, 2 * (width + 1)), dtype=np.int64)
+    for position in range(width):
         a, b = left[:, position][:, None], right[:, position][None, :]
         both = ~(np.isnan(a) | np.isnan(b))
         same += a == b
         total += both
-        seen = total > 0
-        np.divide(same, total, out=ratio, where=seen)
-        mass = np.where(seen, weights, 0.0)
-        value = mass * ratio
-        every += value.sum(), mass.sum()
-        shared_only += value[both].sum(), mass[both].sum()
-    last = np.where(total > 0, weights, 0.0)
-    return {
-        "every_position": tuple(every),
-        "shared_positions": tuple(shared_only),
-        "pair_mean": ((last * ratio).sum(), last.sum()),
-    }
+        cell = (total + both * (width + 1)).ravel()
+        for k, (_, part) in enumerate(parts):
+            sums[k, 0] += np.bincount(cell, (part * same).ravel(), 2 * (width + 1)).astype(np.int64)
+            sums[k, 1] += np.bincount(cell, part.ravel(), 2 * (width + 1)).astype(np.int64)
+    modes = {"every_position": sums[:, :, : width + 1] + sums[:, :, width + 1 :], "shared_positions": sums[:, :, width + 1 :]}
+    last = np.zeros((len(parts), 2, width + 1), dtype=np.int64)
+    for k, (_, part) in enumerate(parts):
+        last[k, 0] = np.bincount(total.ravel(), (part * same).ravel(), width + 1).astype(np.int64)
+        last[k, 1] = np.bincount(total.ravel(), part.ravel(), width + 1).astype(np.int64)
+    modes["pair_mean"] = last
+    found = []
+    for mode, by in modes.items():
+        for shared in range(1, width + 1):
+            equal, pairs = (sum(int(by[k, c, shared]) << shift for k, (shift, _) in enumerate(parts)) for c in (0, 1))
+            if pairs:
+                found.append((mode, shared, equal, pairs))
+    return found

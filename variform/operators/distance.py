@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from variform.functions.columns import euclidean
+from variform.functions.columns import euclidean, exact_sum
 from variform.operators import pairwise
 from variform.operators.profiles import collapse, members
 from variform.session import stage
@@ -108,7 +108,7 @@ def row_sums(items: DataFrame, metric: str = "euclidean") -> DataFrame:
 
 def relation_row_sums(dist: DataFrame) -> DataFrame:
     """``(id, sum_d)`` from a relation that holds both directions."""
-    return dist.groupBy(F.col("a").alias("id")).agg(F.sum("d").alias("sum_d"))
+    return dist.groupBy(F.col("a").alias("id")).agg(exact_sum("d").alias("sum_d"))
 
 
 def within_sample_distance(samples: DataFrame, items: DataFrame, group: str, metric: str = "euclidean") -> DataFrame:

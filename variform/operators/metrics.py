@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from variform.functions.columns import exact_mean
 from variform.operators import pairwise
 from variform.operators.distance import scaled
 from variform.operators.profiles import collapse
@@ -32,17 +33,17 @@ def value_metrics(drawn: DataFrame, group: str, digits: int | None = 10) -> Data
     cells = drawn.select(group, F.posexplode("x").alias("pos", "val"))
     counts = cells.groupBy(group, "pos", "val").agg(F.count(F.lit(1)).cast("double").alias("c"))
     known = F.col("val").isNotNull()
-    n_log_n = F.col("c") * F.log2("c")
+    n_log_n = (F.col("c") * F.log2("c")).cast("decimal(38,15)")
     features = counts.groupBy(group, "pos").agg(
         F.sum("c").alias("n_all"),
-        F.sum(n_log_n).alias("s_all"),
+        F.sum(n_log_n).cast("double").alias("s_all"),
         F.sum(F.when(known, F.col("c"))).alias("n_known"),
-        F.sum(F.when(known, n_log_n)).alias("s_known"),
+        F.sum(F.when(known, n_log_n)).cast("double").alias("s_known"),
         F.count_if(known).alias("distinct"),
     )
     return features.groupBy(group).agg(
-        F.avg(_round(_entropy(F.col("n_all"), F.col("s_all")), digits)).alias("entropy_with_missing"),
-        F.avg(_round(_entropy(F.col("n_known"), F.col("s_known")), digits)).alias("entropy_without_missing"),
+        exact_mean(_round(_entropy(F.col("n_all"), F.col("s_all")), digits)).alias("entropy_with_missing"),
+        exact_mean(_round(_entropy(F.col("n_known"), F.col("s_known")), digits)).alias("entropy_without_missing"),
         F.avg(F.col("distinct") / 2).alias("fvi"),
     )
 
@@ -52,10 +53,9 @@ def pair_metrics(
 ) -> DataFrame:
     """``(group, mpd, fvo_<mode>..)`` of ``drawn(group, id, x)``; NULL where a sample has no usable pair."""
     totals = pairwise.pair_statistics(stage(collapse(drawn, group)), group, metric=metric)
-    mean = F.try_divide(F.col("total"), F.col("n"))
 
     def of(stat: str) -> Column:
-        return F.max(F.when(F.col("stat") == stat, mean))
+        return F.max(F.when(F.col("stat") == stat, F.col("mean")))
 
     return totals.groupBy(group).agg(
         scaled(of("distance"), *distance_range).alias("mpd"), *[of(mode).alias(f"fvo_{mode}") for mode in FVO_MODES]
@@ -64,13 +64,13 @@ def pair_metrics(
 
 def mean_pairwise_distance(drawn: DataFrame, group: str, distance_range: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
     totals = pairwise.pair_statistics(stage(collapse(drawn, group)), group, ("distance",))
-    return totals.select(group, scaled(F.try_divide("total", "n"), *distance_range).alias("mpd"))
+    return totals.select(group, scaled(F.col("mean"), *distance_range).alias("mpd"))
 
 
 def feature_value_overlap(drawn: DataFrame, group: str) -> DataFrame:
     """``(group, mode, fvo)`` for every way of averaging the running overlap."""
     totals = pairwise.pair_statistics(stage(collapse(drawn, group)), group, ("overlap",))
-    return totals.select(group, F.col("stat").alias("mode"), F.try_divide("total", "n").alias("fvo"))
+    return totals.select(group, F.col("stat").alias("mode"), F.col("mean").alias("fvo"))
 
 
 def relation_mpd(samples: DataFrame, dist: DataFrame, group: str) -> DataFrame:
@@ -82,7 +82,7 @@ def relation_mpd(samples: DataFrame, dist: DataFrame, group: str) -> DataFrame:
     ends = samples.select(group, F.col("id").alias("a")), samples.select(group, F.col("id").alias("b"))
     assert_known(samples, dist.select(F.col("a").alias("id")).distinct(), "the distance relation")
     inside = dist.where("a < b").join(ends[0], "a").join(ends[1], [group, "b"])
-    return inside.groupBy(group).agg(F.avg("d").alias("mpd"))
+    return inside.groupBy(group).agg(exact_mean("d").alias("mpd"))
 
 
 def evaluate(

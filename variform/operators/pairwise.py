@@ -7,7 +7,9 @@ more than two blocks, and a group key (a sample, say) of any size is spread over
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from decimal import Decimal
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from variform.functions import kernels
+from variform.functions.columns import exact_sum
 from variform.session import stage
 
 TILE_ROWS = 1024
@@ -121,12 +124,14 @@ def _tile_pairs(table: pa.Table, one_table: bool):
 def _per_pair(placed: DataFrame, schema: T.StructType, body: Callable, one_table: bool = True) -> DataFrame:
     """Run ``body(g, left, right, diagonal) -> dict of columns`` on every pair of tiles.
 
-    Tiles bound the memory of a kernel whatever the block size.
+    Tiles bound the memory of a kernel whatever the block size. Rows come to them in the order of their ids, so that
+    sums over a tile do not depend on how the table was partitioned.
     """
     arrow_schema = to_arrow_schema(schema)
 
     def run(table: pa.Table) -> pa.Table:
         g = table.column("_g")[0]
+        table = table.take(pc.sort_indices(table.column("id")))
         parts = [pa.table(body(g, *tiles)).select(arrow_schema.names).cast(arrow_schema) for tiles in _tile_pairs(table, one_table)]
         return pa.concat_tables(parts) if parts else arrow_schema.empty_table()
 
@@ -135,7 +140,7 @@ def _per_pair(placed: DataFrame, schema: T.StructType, body: Callable, one_table
 
 def _schema(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
     """Fields are (name, type); the type ``id`` or ``_g`` means that column's own type."""
-    types = {"double": T.DoubleType(), "long": T.LongType(), "string": T.StringType()}
+    types = {"double": T.DoubleType(), "long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "whole": T.DecimalType(38, 0)}
     types |= {c: df.schema[c].dataType for c in ("id", "_g")}
     return T.StructType([T.StructField(name, types[kind]) for name, kind in fields])
 
@@ -163,33 +168,58 @@ def pair_statistics(
     metric: str = "euclidean",
     block_rows: int | None = None,
 ) -> DataFrame:
-    """``(group, stat, total, n)`` over all unordered pairs of items within each group.
+    """``(group, stat, total, n, mean)`` over all unordered pairs of items within each group.
 
-    ``distance`` sums distances over pairs; ``overlap`` gives one row per way of averaging the
-    running value overlap, with the sum and the number of ratios.
+    ``distance`` sums distances over pairs; ``overlap`` gives one row per way of averaging the running value overlap,
+    with the sum and the number of ratios. Counts are added as whole numbers and distances as decimals, so results are
+    equal bit for bit however the table is partitioned; a mean overlap is the double next to the exact value.
     """
     block = kernels.BLOCK_METRICS[metric]
     placed = pair_blocks(profiles, group, block_rows)
 
     def body(g, left, right, diagonal):
-        weights = _pair_weights(left, right, diagonal)
-        found = {}
+        found = []
+        parts = kernels.weight_parts(left.w, right.w, diagonal)
         if "distance" in stats:
-            found["distance"] = ((weights * _distances(left, right, diagonal, block)).sum(), weights.sum())
+            weights = _pair_weights(left, right, diagonal)
+            n = sum(int(part.sum()) << shift for shift, part in parts)
+            found.append(("distance", 0, (weights * _distances(left, right, diagonal, block)).sum(), 0, n))
         if "overlap" in stats:
-            found |= kernels.overlap_block(left.x, right.x, weights)
+            found += [(mode, shared, 0.0, equal, n) for mode, shared, equal, n in kernels.overlap_counts(left.x, right.x, parts)]
+        stat, shared, d, equal, n = zip(*found) if found else [()] * 5
         return {
             "_g": pa.array([g.as_py()] * len(found), g.type),
-            "stat": list(found),
-            "s": [float(s) for s, _ in found.values()],
-            "n": [float(n) for _, n in found.values()],
+            "stat": pa.array(stat, pa.string()),
+            "shared": pa.array(shared, pa.int32()),
+            "d": pa.array(d, pa.float64()),
+            "equal": pa.array(map(Decimal, equal), pa.decimal128(38, 0)),
+            "n": pa.array(map(Decimal, n), pa.decimal128(38, 0)),
         }
 
-    parts = _per_pair(placed, _schema(placed, ("_g", "_g"), ("stat", "string"), ("s", "double"), ("n", "double")), body)
-    totals = parts.groupBy("_g", "stat").agg(F.sum("s").alias("total"), F.sum("n").alias("n"))
+    fields = (("_g", "_g"), ("stat", "string"), ("shared", "int"), ("d", "double"), ("equal", "whole"), ("n", "whole"))
+    parts = _per_pair(placed, _schema(placed, *fields), body)
+    sums = parts.groupBy("_g", "stat", "shared").agg(exact_sum("d").alias("d"), F.sum("equal").alias("equal"), F.sum("n").alias("n"))
+    # at most as many terms as there are features
+    terms = sums.groupBy("_g", "stat").agg(F.max("d").alias("d"), F.collect_list(F.struct("shared", "equal", "n")).alias("terms"))
+    out = _schema(placed, ("_g", "_g"), ("stat", "string"), ("total", "double"), ("n", "double"), ("mean", "double"))
+    totals = terms.mapInArrow(_means, out)
     return totals.withColumnRenamed("_g", group) if group else totals.drop("_g")
 
 
+def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum, number and mean of ratios, given as whole numerators by denominator; a distance has its sum already."""
+    for batch in batches:
+        total, count, mean = [], [], []
+        for stat, d, terms in zip(*(batch.column(c).to_pylist() for c in ("stat", "d", "terms"))):
+            n = sum(int(t["n"]) for t in terms)
+            whole = Fraction(d) if stat == "distance" else sum((Fraction(int(t["equal"]), t["shared"]) for t in terms), Fraction(0))
+            total.append(float(whole))
+            count.append(float(n))
+            mean.append(float(whole / n) if n else None)
+        columns = [batch.column("_g"), batch.column("stat"), *(pa.array(c, pa.float64()) for c in (total, count, mean))]
+        yield pa.RecordBatch.from_arrays(columns, names=["_g", "stat", "total", "n", "mean"])
+
+
 def pair_extremes(profiles: DataFrame, metric: str = "euclidean", block_rows: int | None = None) -> DataFrame:
     """One row ``(min_d, max_d)`` over the full matrix of all items, diagonal included."""
     block = kernels.BLOCK_METRICS[metric]
@@ -219,7 +249,7 @@ def row_sums(
         return {"id": ids, "s": sums}
 
     parts = _per_pair(placed, _schema(placed, ("id", "id"), ("s", "double")), body)
-    return parts.groupBy("id").agg(F.sum("s").alias("sum_d"))
+    return parts.groupBy("id").agg(exact_sum("s").alias("sum_d"))
 
 
 def pair_relation(profiles: DataFrame, metric: str = "euclidean", block_rows: int | None = None) -> DataFrame:
@@ -310,5 +340,5 @@ def score_against(
         return {"id": left.ids, "score": d.sum(axis=1) if how == "sum" else d.min(axis=1)}
 
     parts = _per_pair(placed, _schema(placed, ("id", "id"), ("score", "double")), body, one_table=False)
-    scores = parts.groupBy("id").agg((F.sum if how == "sum" else F.min)("score").alias("score"))
+    scores = parts.groupBy("id").agg((exact_sum if how == "sum" else F.min)("score").alias("score"))
     return items.join(scores, "id").select(*items.columns, "score")

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from variform.functions.columns import exact_mean
 from variform.operators.metrics import METRICS
 from variform.session import stage
 
@@ -55,7 +56,7 @@ def summarize_runs(results: DataFrame, by: Sequence[str] = ("method", "k"), metr
     random = ~F.col("method").isin(*DETERMINISTIC)
     out = [F.count(F.lit(1)).alias("runs")]
     for m in metrics:
-        out += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(F.when(random, F.col(m))).alias(f"{m}_std")]
+        out += [exact_mean(m).alias(f"{m}_mean"), F.stddev_samp(F.when(random, F.col(m))).alias(f"{m}_std")]
     return results.groupBy(*by).agg(*out)
 
 

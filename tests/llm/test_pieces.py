@@ -52,17 +52,34 @@ def test_table(spark, model, library):
     rows = [(None if k % 50 == 7 else k // 2, t, "x", 1) for k, t in enumerate(given)]  # lacking and repeated ids
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, ids string, block int").repartition(3)
     want = sorted(((i, library.encode(t or ""), library.decode(library.encode(t or ""))) for i, t, *_ in rows), key=str)
-    for block_bytes in (200, P.BLOCK_BYTES):  # many blocks and few
-        encoded = P.encode(docs, model, block_bytes)
+    for run_chars in (200, P.RUN_CHARS):  # many runs and few
+        encoded = P.encode(docs, model, run_chars)
         assert sorted(((r["doc_id"], r["ids"], r["decoded"]) for r in encoded.collect()), key=str) == want
-        back = P.decode(encoded, model, block_bytes)
+        back = P.decode(encoded, model, run_chars)
         assert sorted(((r["doc_id"], r["decoded"]) for r in back.collect()), key=str) == sorted(((i, d) for i, _, d in want), key=str)
 
 
-def test_numbers_beyond_two_bytes(spark, model, library):
+def test_each_chunk_is_converted_once_until_the_table_starts_over(library, monkeypatch):
+    asked = []
+
+    def convert(chunks):
+        asked.extend(chunks)
+        return [P.pa.array(P.segment(library, chunks), P._IDS)]
+
+    table = P.Table(convert, [P._IDS])
+    for text in ("a b a", "b c", "a b c"):
+        codes = [table.code(P.chunks_of(text))]
+        assert P._joined_ids(table.settle()[0], codes).to_pylist() == [library.encode(text)]
+    assert asked == ["▁a", "▁b", "▁c"] and not table.full()
+    monkeypatch.setattr(P, "TABLE_CHUNKS", 3)
+    assert table.full()
+
+
+def test_many_chunks(spark, model, library, monkeypatch):
     text = " ".join(f"w{k:x}" for k in range(70_000))
-    row = P.encode(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), model).first()
-    assert row["ids"] == library.encode(text) and row["decoded"] == text
+    monkeypatch.setattr(P, "TABLE_CHARS", 1000)
+    rows = P.encode(spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string").coalesce(1), model, 10).collect()
+    assert [(r["ids"], r["decoded"]) for r in rows] == [(library.encode(text), text)] * 2
 
 
 def test_empty_table_and_nulls(spark, model):

@@ -5,37 +5,38 @@ the start of a run of markers: a text falls into chunks, each a run of markers a
 its ids are those of its chunks one after the other. The same holds for decoding, where a chunk begins at a piece that
 begins with a marker.
 
-Texts are read in blocks of about ``BLOCK_BYTES``. A block keeps its distinct chunks, numbered, and each of its
-documents as the numbers of its chunks by position; both are written to the shared folder. The chunks of all blocks
-make the table of distinct chunks, each is segmented (or decoded) once, and a join brings the results back to the
-blocks, where the documents take them by position. A chunk is at most one row per block, however often it occurs, so no
-key of the join is hot, and a document is never taken apart.
+A task keeps a table of the distinct chunks it has met, numbered. Of a run of documents it writes down each text as the
+numbers of its chunks by position, segments (or decodes) the chunks that are new to the table, each once and all in one
+call, and joins the results back to the documents by position. A table that holds ``TABLE_CHUNKS`` chunks or
+``TABLE_CHARS`` characters starts over, so memory stays bounded whatever the corpus; nothing is shuffled, and a lost
+task costs its own documents. One table for the whole corpus would save little more and cost a shuffle of three times
+the input (README).
 
 The model is read where the query starts and travels with the tasks.
 
 Defined cases: null counts as empty and has no ids, and no ids decode to the empty text; repeated rows and ids are
-encoded alike, one row for each; null ids stay null; very long texts are one row of a block of their own size, and
+encoded alike, one row for each; null ids stay null; very long texts are whole, and
 texts without any white space are one chunk; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from variform.llm.common import stage
-
 MARK = "▁"
-#: Bytes of values after which a block ends, and distinct chunks after which it does. A document stays whole.
-BLOCK_BYTES = 4 << 20
-BLOCK_CHUNKS = 50_000
+#: Distinct chunks, and characters of them, after which a task's table starts over.
+TABLE_CHUNKS = 400_000
+TABLE_CHARS = 16 << 20
+#: Characters (or ids) of the documents that are joined at once. A document stays whole.
+RUN_CHARS = 4 << 20
 
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -96,104 +97,95 @@ class _Numbers(dict):
         return n
 
 
-def _cut(rows: DataFrame, split: Callable[[], tuple[Callable, Callable]], chunk_type: str, block_bytes: int) -> DataFrame:
-    """Blocks of ``rows(doc_id, value)``: a row per document with its chunk numbers, and one with the chunks."""
-    arrow_chunk = pa.string() if chunk_type == "string" else pa.binary()
-    names = ["block", "doc_id", "codes", "wide", "chunks"]
+class Table:
+    """Distinct chunks by number, and what ``convert`` makes of each: columns of results, one entry per chunk."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, size_of = split()
-        block = TaskContext.get().partitionId() << 32
-        numbers, ids, codes, wide, size = _Numbers(), [], [], [], 0
-
-        def close() -> pa.RecordBatch:
-            n = len(ids)
-            columns = [
-                pa.array([block] * (n + 1), pa.int64()),
-                pa.array([*ids, None], pa.int64()),
-                pa.array([*codes, None], pa.binary()),
-                pa.array([*wide, None], pa.bool_()),
-                pa.array([None] * n + [list(numbers)], pa.list_(arrow_chunk)),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=names)
+    def __init__(self, convert: Callable[[list], list[pa.Array]], kinds: list[pa.DataType]):
+        self.convert, self.kinds = convert, kinds
+        self.clear()
 
-        for batch in batches:
-            for doc_id, value in zip(batch.column(0), batch.column(1)):
-                value = value.as_py()
-                parts = cut(value)
-                code = np.fromiter(map(numbers.__getitem__, parts), "<u4", len(parts))
-                wide.append(len(numbers) > 1 << 16)
-                codes.append(code.tobytes() if wide[-1] else code.astype("<u2").tobytes())
-                ids.append(doc_id.as_py())
-                size += size_of(value) + 16
-                if size >= block_bytes or len(numbers) >= BLOCK_CHUNKS:
-                    yield close()
-                    block += 1
-                    numbers, ids, codes, wide, size = _Numbers(), [], [], [], 0
-        if ids:
-            yield close()
+    def clear(self) -> None:
+        self.numbers = _Numbers()
+        self.chars = 0
+        self.results = [pa.array([], kind) for kind in self.kinds]
+
+    def code(self, chunks: list) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, chunks), np.int64, len(chunks))
 
-    return stage(rows.mapInArrow(work, f"block bigint, doc_id bigint, codes binary, wide boolean, chunks array<{chunk_type}>"))
+    def settle(self) -> list[pa.Array]:
+        """Results of all chunks, the new ones converted."""
+        known = len(self.results[0])
+        new = list(islice(self.numbers, known, None))
+        if new:
+            self.chars += sum(map(len, new))
+            self.results = [pa.concat_arrays([old, made.cast(old.type)]) for old, made in zip(self.results, self.convert(new))]
+        return self.results
+
+    def full(self) -> bool:
+        return len(self.numbers) >= TABLE_CHUNKS or self.chars >= TABLE_CHARS
 
 
 def _through(
     rows: DataFrame,
-    split: Callable[[], tuple[Callable, Callable]],
-    chunk_type: str,
+    split: Callable[[], Callable],
     convert: Callable[[], Callable[[list], list[pa.Array]]],
     results: dict[str, tuple[str, pa.DataType]],
     joined: dict[str, Callable[[pa.Array, list[np.ndarray]], pa.Array]],
-    block_bytes: int,
+    run_chars: int,
 ) -> DataFrame:
-    """``(doc_id, results..)``: each chunk converted once, and the results of a document's chunks joined by position."""
-    blocks = _cut(rows, split, chunk_type, block_bytes)
-    places = blocks.where("chunks IS NOT NULL").select("block", F.posexplode("chunks").alias("no", "chunk"))
-
-    def convert_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = convert()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *of(batch.column(0).to_pylist())], names=["chunk", *results])
-
-    made = ", ".join(f"{name} {kind}" for name, (kind, _) in results.items())
-    table = places.select("chunk").distinct().mapInArrow(convert_all, f"chunk {chunk_type}, {made}")
-    back = places.join(table, "chunk").select(F.col("block").alias("into"), "no", *results)
+    """``(doc_id, results..)`` of ``rows(doc_id, value)``, results of a value's chunks joined by position."""
 
-    def assemble(docs: pa.Table, found: pa.Table) -> pa.Table:
-        found = found.take(np.argsort(found["no"].to_numpy())).combine_chunks()
-        codes = [np.frombuffer(c, "<u4" if w else "<u2") for c, w in zip(docs["codes"].to_pylist(), docs["wide"].to_pylist())]
-        columns = [joined[name](_whole(found[name], kind), codes) for name, (_, kind) in results.items()]
-        return pa.Table.from_arrays([docs["doc_id"], *columns], names=["doc_id", *results])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, table = split(), Table(convert(), [kind for _, kind in results.values()])
 
-    docs = blocks.where("chunks IS NULL").select("block", "doc_id", "codes", "wide")
-    return docs.groupBy("block").cogroup(back.groupBy("into")).applyInArrow(assemble, f"doc_id bigint, {made}")
+        def join(ids: list, codes: list[np.ndarray]) -> pa.RecordBatch:
+            found = table.settle()
+            columns = [joined[name](of, codes) for name, of in zip(results, found)]
+            if table.full():
+                table.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], names=["doc_id", *results])
 
+        for batch in batches:
+            ids, codes, size = [], [], 0
+            for doc_id, value in zip(batch.column(0), batch.column(1)):
+                value = value.as_py()
+                ids.append(doc_id.as_py())
+                codes.append(table.code(cut(value)))
+                size += len(value or ())
+                if size >= run_chars:
+                    yield join(ids, codes)
+                    ids, codes, size = [], [], 0
+            if ids:
+                yield join(ids, codes)
 
-def _whole(column: pa.ChunkedArray, kind: pa.DataType) -> pa.Array:
-    return pa.concat_arrays([c.cast(kind) for c in column.chunks]) if column.num_chunks else pa.array([], kind)
+    made = ", ".join(f"{name} {kind}" for name, (kind, _) in results.items())
+    return rows.mapInArrow(work, f"doc_id bigint, {made}")
 
 
-def _joined_ids(of: pa.Array, codes: list[np.ndarray]) -> pa.Array:
+def _joined_ids(of: pa.ListArray, codes: list[np.ndarray]) -> pa.Array:
     lengths = np.diff(of.offsets.to_numpy())
     ends = np.cumsum([0, *(int(lengths[c].sum()) for c in codes)])
-    flat = of.take(pa.array(np.concatenate([*codes, np.empty(0, "<u2")]).astype("<i8"))).flatten()
+    flat = of.take(pa.array(np.concatenate(codes))).flatten()
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
 
 def _joined_text(of: pa.Array, codes: list[np.ndarray]) -> pa.Array:
     """What one chunk's text lost is the marker it begins with; the first one's is the marker put in front of the whole."""
-    texts = of.to_pylist()
-    return pa.array([" ".join(map(texts.__getitem__, c.tolist())) for c in codes], pa.string())
+    used, place = np.unique(np.concatenate(codes), return_inverse=True)
+    texts = of.take(pa.array(used)).to_pylist()
+    ends = np.cumsum([len(c) for c in codes])
+    return pa.array([" ".join(map(texts.__getitem__, c.tolist())) for c in np.split(place, ends[:-1])], pa.string())
 
 
 _IDS, _TEXT = pa.list_(pa.int32()), pa.string()
 
 
-def encode(docs: DataFrame, model: bytes, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, run_chars: int = RUN_CHARS) -> DataFrame:
     """``(doc_id, ids, decoded)`` per row of ``docs(doc_id, text)``: the ids of the text, and the text that they decode to."""
     load(model)
 
     def split():
-        return chunks_of, lambda text: len(text or "")
+        return chunks_of
 
     def convert():
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -206,22 +198,22 @@ def encode(docs: DataFrame, model: bytes, block_bytes: int = BLOCK_BYTES) -> Dat
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     results = {"ids": ("array<int>", _IDS), "decoded": ("string", _TEXT)}
-    return _through(rows, split, "string", convert, results, {"ids": _joined_ids, "decoded": _joined_text}, block_bytes)
+    return _through(rows, split, convert, results, {"ids": _joined_ids, "decoded": _joined_text}, run_chars)
 
 
-def decode(rows: DataFrame, model: bytes, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decode(rows: DataFrame, model: bytes, run_chars: int = RUN_CHARS) -> DataFrame:
     """``(doc_id, decoded)`` per row of ``rows(doc_id, ids)``, whatever made the ids; null elements are left out."""
     load(model)
 
     def split():
-        return _id_chunks(sentencepiece.SentencePieceProcessor(model_proto=model)), lambda ids: 4 * len(ids or ())
+        return _id_chunks(sentencepiece.SentencePieceProcessor(model_proto=model))
 
     def convert():
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         return lambda chunks: [pa.array(sp.decode([np.frombuffer(c, "<i4").tolist() for c in chunks], num_threads=1), _TEXT)]
 
     ids = rows.select(F.col("doc_id").cast("bigint"), F.array_compact(F.col("ids").cast("array<int>")).alias("ids"))
-    return _through(ids, split, "binary", convert, {"decoded": ("string", _TEXT)}, {"decoded": _joined_text}, block_bytes)
+    return _through(ids, split, convert, {"decoded": ("string", _TEXT)}, {"decoded": _joined_text}, run_chars)
 
 
 def report(docs: DataFrame, model: bytes) -> DataFrame:

@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variform.llm.common import spread_join, stage, without
@@ -310,14 +310,12 @@ def near_links(fps: DataFrame, limit: int = LIMIT, bucket: int = BUCKET) -> Data
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT, bucket: int = BUCKET) -> DataFrame:
     """``(doc_id, fp, component_id)``: the smallest id that a chain of near fingerprints reaches, itself included."""
-    return _named(stage(fingerprints(docs, shingle)), limit, bucket).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+    return _named(stage(fingerprints(docs, shingle)), F.col("doc_id"), limit, bucket).select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
-def _named(rows: DataFrame, limit: int, bucket: int = BUCKET) -> DataFrame:
-    """Staged ``rows(doc_id, .., fp)`` with ``first``, the ids of the component's row that comes first; null ids come last."""
-    ids = [c for c in rows.columns if c != "fp"]
-    order = F.struct(F.col("doc_id").isNull().alias("none"), *ids)
-    distinct = stage(rows.groupBy("fp").agg(F.min(order).alias("rep"), F.count(F.lit(1)).alias("n")))
+def _named(rows: DataFrame, name: Column, limit: int, bucket: int = BUCKET) -> DataFrame:
+    """Staged ``rows(doc_id, .., fp)`` with ``first``, the least ``name`` of the component."""
+    distinct = stage(rows.groupBy("fp").agg(F.min(name).alias("rep"), F.count(F.lit(1)).alias("n")))
     roots = components(near_links(distinct.select("fp"), limit, bucket)).withColumnRenamed("a", "fp")
     # the least fingerprint of a component is no row of ``roots``
     tied = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
@@ -334,7 +332,9 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT) ->
     component without any id, the one with the least hash stays.
     """
     prints = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("print"), "text")
-    named = _named(stage(_fingerprints(prints, shingle)), limit)
+    # null ids come last
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
+    named = _named(stage(_fingerprints(prints, shingle)), name, limit)
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("print") == F.col("first.print"))
     return without(docs, named.where(~stays).select("doc_id", "print").distinct())
 

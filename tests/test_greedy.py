@@ -31,9 +31,7 @@ def test_copies_may_be_picked_again_when_nothing_else_is_left(spark, objective):
     assert picked(pick(items_table(spark, vectors), 7, copies=True)) == expected
 
 
-@pytest.mark.parametrize("direct_rows", [0, 4096])
-def test_many_partitions_and_long_chains_settle_the_same_picks(spark, monkeypatch, direct_rows):
-    monkeypatch.setattr(greedy, "DIRECT_ROWS", direct_rows)
+def test_many_partitions_and_long_chains_settle_the_same_picks(spark):
     rng = np.random.default_rng(5)
     vectors = {int(i): [float(v) for v in row] for i, row in enumerate(rng.normal(size=(300, 6)))}
     expected = greedy_picks(distance_matrix(vectors), 40, "maxmin")
@@ -42,27 +40,69 @@ def test_many_partitions_and_long_chains_settle_the_same_picks(spark, monkeypatc
     assert picked(diverse.sample_maxmin(items.coalesce(1), 40))[:15] == expected[:15]
 
 
-@pytest.mark.parametrize("bands", [(4, 32), (2,)])
+@pytest.mark.parametrize("objective", ["maxsum", "maxmin"])
+@pytest.mark.parametrize("missing", [0.0, 0.4])
+def test_running_scores_settle_the_same_picks(spark, monkeypatch, objective, missing):
+    """Scores are written every few picks, and items that cannot win are left out."""
+    monkeypatch.setattr(greedy, "RESTAGE", 6)
+    monkeypatch.setattr(greedy, "KEEP", 5)
+    monkeypatch.setattr(greedy, "POOL", 24)
+    left_out, possible = [], greedy._possible
+
+    def watched(items, *args):
+        out = possible(items, *args)
+        left_out.append(items.count() - out.count())
+        return out
+
+    monkeypatch.setattr(greedy, "_possible", watched)
+    vectors = random_vectors(150, 5, 4, missing, 21)
+    if not missing:  # an outlier group, so that sums part early
+        vectors |= {200 + i: [v + (40.0 if i % 2 else 0.0) for v in vectors[i]] for i in range(20)}
+    ids = list(vectors)
+    expected = [ids[i] for i in greedy_picks(distance_matrix(vectors), 30, objective)]
+    pick = diverse.sample_maxsum if objective == "maxsum" else diverse.sample_maxmin
+    assert picked(pick(items_table(spark, vectors).repartition(4), 30)) == expected
+    assert objective == "maxsum" or max(left_out) > 0
+
+
+@pytest.mark.parametrize("band", [2, 16])
 @pytest.mark.parametrize("missing", [0.0, 0.3])
-def test_first_pick_by_bound_or_by_all_sums(spark, monkeypatch, bands, missing):
+def test_first_pick_by_bands_of_the_highest_bounds(spark, monkeypatch, band, missing):
     vectors = random_vectors(200, 6, 5, missing, 8)
     expected = greedy_picks(distance_matrix(vectors), 1, "maxsum")[0]
-    monkeypatch.setattr(greedy, "SUM_ALL", 0)
-    monkeypatch.setattr(greedy, "BANDS", bands)
+    monkeypatch.setattr(greedy, "FIRST_BAND", band)
+    monkeypatch.setattr(greedy, "LARGEST_BAND", 4 * band)
     items = items_table(spark, vectors).withColumn("pos", F.col("id")).withColumn("w", F.lit(1))
     assert greedy.first_pick(items.repartition(3)).id == expected
-    monkeypatch.setattr(greedy, "PATTERN_LIMIT", 1)
-    assert (greedy._pattern_moments(items) is None) == (missing > 0)
+    monkeypatch.setattr(greedy, "SECOND_ORDER", 0)
     assert greedy.first_pick(items).id == expected
 
 
-def test_bound_is_above_the_mean_distance(spark):
-    vectors = random_vectors(80, 5, 4, 0.4, 11)
+@pytest.mark.parametrize("missing", [0.0, 0.4, 0.8])
+def test_bound_is_above_the_mean_distance(spark, monkeypatch, missing):
+    vectors = random_vectors(80, 5, 4, missing, 11)
     items = items_table(spark, vectors).withColumn("w", F.lit(1))
-    moments = greedy._pattern_moments(items)
     x = np.array([[np.nan if v is None else v for v in row] for row in vectors.values()])
-    bound = greedy._mean_bound(x, moments)
-    assert (bound >= distance_matrix(vectors).mean(axis=1) - 1e-12).all()
+    mean = distance_matrix(vectors).mean(axis=1)
+    both = greedy._mean_bound(greedy._moments(items.repartition(3)), x)
+    monkeypatch.setattr(greedy, "SECOND_ORDER", 0)
+    one = greedy._mean_bound(greedy._moments(items), x)
+    assert (both >= mean).all() and (one >= mean).all() and both.mean() <= one.mean() + 1e-12
+
+
+def test_first_pick_of_gappy_features_settles_early(spark, monkeypatch):
+    """As many missing-value patterns as items: the bound needs no table of them."""
+    rng = np.random.default_rng(9)
+    rate = rng.uniform(0.1, 0.5, 60)
+    x = (rng.random((6000, 60)) < rate).astype(float)
+    x[rng.random(x.shape) < 0.15] = np.nan
+    rows = [(i, i, [None if np.isnan(v) else float(v) for v in row], 1) for i, row in enumerate(x)]
+    items = spark.createDataFrame(rows, "id bigint, pos bigint, x array<double>, w int").repartition(4).cache()
+    summed, means = [], greedy._mean_distances
+    monkeypatch.setattr(greedy, "_mean_distances", lambda v, band, m: summed.append(len(band)) or means(v, band, m))
+    found = greedy.first_pick(items)
+    sums = pairwise.row_sums(items).orderBy(F.desc("sum_d"), "id").first()
+    assert found.id == sums["id"] and sum(summed) < 3000
 
 
 def test_frame_order_decides_ties(spark):

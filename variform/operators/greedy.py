@@ -2,7 +2,13 @@
 
 Each pass over the items scores them against the picks so far and returns the best one. A pass
 also checks a short chain of guessed further picks: where the guess was right, one pass settles
-several picks. Guesses only save passes; every pick is verified against all items.
+several picks. Guesses only save passes; every pick is verified against all items that could win.
+
+Scores run: after every ``RESTAGE`` picks the items are written with their score so far, so a pass
+computes distances to the picks since then only, and the cost of k picks grows with k. The written
+scores also say who cannot win. By max-min a score never grows, by max-sum it grows by at most the
+longest possible distance a pick; the guesses are items like any other, so the best scores are at
+least theirs, and what cannot reach that is left out of the pass.
 """
 
 from __future__ import annotations
@@ -26,11 +32,16 @@ SCORE_DIGITS = 9
 TIE = 1e-12
 POOL = 512
 MIN_CHAIN, MAX_CHAIN = 4, 32
-# so many task results come to the driver as they are; more are ranked by Spark first
-DIRECT_ROWS = 4096
-PATTERN_LIMIT = 256
-BANDS = (256, 4096)
-SUM_ALL = 8 * pairwise.TILE_ROWS
+# picks after which the items are written anew with their running scores
+RESTAGE = 64
+# candidates that a pass keeps at least, to guess from
+KEEP = 64
+# items of the first band of the first pick, and of the largest
+FIRST_BAND, LARGEST_BAND = 256, 4096
+# widest vectors whose moments of second order are kept, three numbers for each two positions
+SECOND_ORDER = 512
+# classes of items by how many features they have, each with moments of its own
+CLASSES = 8
 
 
 @dataclass
@@ -38,8 +49,9 @@ class Pick:
     id: object
     pos: object
     x: np.ndarray
-    base: float = 0.0
+    base: float = 0.0  # score against the picks before ``since``
     score: float | None = None
+    since: int = 0
 
 
 @dataclass
@@ -114,14 +126,16 @@ def _result_schema(items: DataFrame) -> T.StructType:
     )
 
 
-def _pass(items: DataFrame, objective: str, metric: str, picks: list[Pick], chain: list[Pick], pool: int):
-    """One scan: the best item after ``picks + chain[:j]`` for each ``j``, and a pool after the last."""
+def _pass(items: DataFrame, objective: str, metric: str, fresh: list[Pick], chain: list[Pick], pool: int, since: int):
+    """One scan: the best item after ``fresh + chain[:j]`` for each ``j``, and a pool after the last.
+
+    ``items`` holds scores against the picks before ``since``; the picks ``fresh`` came after.
+    """
     schema = _result_schema(items)
     arrow_schema = pairwise.to_arrow_schema(schema)
     # guesses come from the best few of every task; the winners are exact whatever the pool
-    tasks = items.rdd.getNumPartitions()
-    keep = max(8, pool // tasks)
-    settled = [(p.id, p.x) for p in picks]
+    keep = max(8, pool // items.rdd.getNumPartitions())
+    settled = [(p.id, p.x) for p in fresh]
     guessed = [(p.id, p.x) for p in chain]
 
     def scan(batches):
@@ -147,35 +161,86 @@ def _pass(items: DataFrame, objective: str, metric: str, picks: list[Pick], chai
         yield merge.batch(arrow_schema)
 
     found = items.select("id", "pos", "x", "base").mapInArrow(scan, schema)
-    if tasks * (len(chain) + keep) > DIRECT_ROWS:
-        best = Window.partitionBy("step").orderBy(F.desc("score"), F.asc("pos"))
-        wanted = F.when(F.col("step") == len(chain), pool).otherwise(1)
-        found = found.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= pool) & (F.col("rank") <= wanted))
+    best = Window.partitionBy("step").orderBy(F.desc("score"), F.asc("pos"))
+    wanted = F.when(F.col("step") == len(chain), pool).otherwise(1)
+    found = found.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= pool) & (F.col("rank") <= wanted))
     steps: list[list[Pick]] = [[] for _ in range(len(chain) + 1)]
-    for row in sorted(found.collect(), key=lambda r: (r["step"], -r["score"], r["pos"])):
+    for row in sorted(found.collect(), key=lambda r: (r["step"], r["rank"])):
         vector = np.array(row["x"], dtype=float)
-        steps[row["step"]].append(Pick(row["id"], row["pos"], vector, row["base"], row["score"]))
+        steps[row["step"]].append(Pick(row["id"], row["pos"], vector, row["base"], row["score"], since))
     return steps
 
 
-def _guess(pool: dict, picks: list[Pick], objective: str, metric: str, length: int) -> list[Pick]:
-    """The next picks if only the pool existed."""
+def _guess(pool: dict, picks: list[Pick], objective: str, metric: str, length: int) -> tuple[list[Pick], list[float]]:
+    """The next picks if only the pool existed, and what the best score is at least before each of them and after all."""
     taken = {p.id for p in picks}
     rest = [p for i, p in pool.items() if i not in taken]
     if not rest or length < 1:
-        return []
-    scorer = _Scorer(objective, metric, np.stack([p.x for p in rest]), np.array([p.base for p in rest]))
-    pos = np.array([p.pos for p in rest])
+        return [], []
+    x, pos = np.stack([p.x for p in rest]), np.array([p.pos for p in rest])
+    scorer = _Scorer(objective, metric, x, _running(rest, picks, objective, metric))
     alive = np.ones(len(rest), dtype=bool)
-    for p in picks:
-        scorer.add(p.x)
-    chain = []
+    chain, least = [], []
     for _ in range(min(length, len(rest))):
-        best = _best_first(np.where(alive, scorer.ranked(), -np.inf), pos, 1)[0]
+        score = np.where(alive, scorer.ranked(), -np.inf)
+        best = _best_first(score, pos, 1)[0]
         alive[best] = False
         chain.append(rest[best])
+        least.append(score[best])
         scorer.add(rest[best].x)
-    return chain
+    left = np.sort(scorer.ranked()[alive])[::-1]
+    # room for a pool to guess from next time
+    least.append(left[KEEP - 1] if len(left) >= KEEP else -np.inf)
+    return chain, least
+
+
+def _running(pool: list[Pick], picks: list[Pick], objective: str, metric: str) -> np.ndarray:
+    """Scores of the pool against all picks, those before an item's ``since`` being in its base."""
+    total = np.array([p.base for p in pool])
+    since = np.array([p.since for p in pool])
+    for start in sorted(set(since)):
+        at = since == start
+        scorer = _Scorer(objective, metric, np.stack([p.x for p, here in zip(pool, at) if here]), total[at])
+        for p in picks[start:]:
+            scorer.add(p.x)
+        total[at] = scorer.total
+    return total
+
+
+def _longest(items: DataFrame) -> float:
+    """No distance is longer: the mean squared difference is at most the square of the widest range of a feature."""
+
+    def scan(batches):
+        low = high = None
+        for batch in batches:
+            if batch.num_rows:
+                x = kernels.matrix(batch.column("x"))
+                ends = np.where(np.isnan(x), np.inf, x).min(axis=0), np.where(np.isnan(x), -np.inf, x).max(axis=0)
+                low, high = ends if low is None else (np.minimum(low, ends[0]), np.maximum(high, ends[1]))
+        if low is not None:
+            yield pa.record_batch({"i": np.arange(len(low)), "low": low, "high": high})
+
+    ranges = items.select("x").mapInArrow(scan, "i long, low double, high double").groupBy("i").agg((F.max("high") - F.min("low")).alias("r"))
+    row = ranges.agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n")).first()
+    return float(np.sqrt(row["n"]) * max(row["r"] or 0.0, 0.0))
+
+
+def _restaged(items: DataFrame, fresh: list[Pick], objective: str, metric: str) -> DataFrame:
+    """``items`` without the picks ``fresh``, scored against them too."""
+    id_type = pairwise.to_arrow_schema(T.StructType([items.schema["id"]]))[0].type
+    points, ids = [p.x for p in fresh], [p.id for p in fresh]
+
+    def score(batches):
+        for batch in batches:
+            batch = batch.filter(pc.invert(pc.is_in(batch.column("id"), pa.array(ids, id_type))))
+            if batch.num_rows:
+                scorer = _Scorer(objective, metric, kernels.matrix(batch.column("x")), batch.column("base").to_numpy(zero_copy_only=False))
+                for x in points:
+                    scorer.add(x)
+                yield batch.set_column(batch.schema.get_field_index("base"), "base", pa.array(scorer.total))
+
+    columns = items.select("id", "pos", "x", "base")
+    return stage(columns.mapInArrow(score, columns.schema))
 
 
 def greedy(items: DataFrame, k: int, objective: str, metric: str = "euclidean", first: Pick | None = None) -> list[Pick]:
@@ -192,9 +257,18 @@ def greedy(items: DataFrame, k: int, objective: str, metric: str = "euclidean",
     picks = [] if first is None else [first]
     pool: dict = {}
     length = 2 * MIN_CHAIN
+    since, longest = 0, None
     while len(picks) < k:
-        chain = _guess(pool, picks, objective, metric, min(length, k - len(picks) - 1))
-        steps = _pass(items, objective, metric, picks, chain, POOL)
+        if len(picks) - since >= RESTAGE:
+            if objective == MAXSUM and metric == "euclidean" and longest is None:
+                longest = _longest(items)
+            items = _restaged(items, picks[since:], objective, metric)
+            since = len(picks)
+            for p, total in zip(pool.values(), _running(list(pool.values()), picks, objective, metric)):
+                p.base, p.since = total, since
+        fresh = picks[since:]
+        chain, least = _guess(pool, picks, objective, metric, min(length, k - len(picks) - 1))
+        steps = _pass(_possible(items, least, objective, len(fresh), longest), objective, metric, fresh, chain, POOL, since)
         if not steps[0]:
             raise ValueError(f"Invalid value {k=}, there are only {len(picks)} items to sample from")
         right = 0
@@ -208,11 +282,22 @@ def greedy(items: DataFrame, k: int, objective: str, metric: str = "euclidean",
                 right += 1
         length = min(MAX_CHAIN, 2 * length) if right == len(chain) else max(MIN_CHAIN, 2 * right)
         # the pool only feeds guesses; keep the recent candidates
-        fresh = {p.id: p for found in steps for p in found}
-        pool = dict(list({**pool, **fresh}.items())[-4 * POOL :])
+        seen = {p.id: p for found in steps for p in found}
+        pool = dict(list({**pool, **seen}.items())[-4 * POOL :])
     return picks
 
 
+def _possible(items: DataFrame, least: list[float], objective: str, fresh: int, longest: float | None) -> DataFrame:
+    """Items whose written score lets them be best in some step, by what the best scores are at least."""
+    if objective == MAXMIN:
+        bars = least
+    else:
+        bars = [score - (fresh + j) * longest for j, score in enumerate(least)] if longest is not None else []
+    bar = min(bars, default=-np.inf)
+    # scores are compared with nine digits
+    return items.where(F.col("base") >= float(bar) - 2e-9 * max(1.0, abs(bar))) if bar > -np.inf else items
+
+
 def first_of_ties(scored: DataFrame, score: str, pos: str):
     """The row of the largest score, the smallest ``pos`` among equal ones; one rule for vectors and relations."""
     largest = scored.agg(F.max(score)).first()[0]
@@ -222,84 +307,100 @@ def first_of_ties(scored: DataFrame, score: str, pos: str):
 # --- first pick -------------------------------------------------------------------------------
 
 
-def _pattern_moments(vectors: DataFrame):
-    """Per missing-value pattern: item weight and weighted first and second moments per position.
+@dataclass
+class _Moments:
+    """Sums over a class of items, by weight: per position, and per two positions ``j, k`` over items that have ``k``."""
+
+    weight: float
+    fewest: int  # features of an item
+    most: int
+    ones: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+
+    def bound(self, x: np.ndarray) -> np.ndarray:
+        """Upper bound of each row's mean distance to the items, whatever is missing where.
+
+        The mean of roots is at most the root of the mean, so it is enough to bound the sum of q / m over the items,
+        with q the sum of squared differences over the m shared positions. Of an item with a features m lies between
+        low = a + fewest - width, one at least, and high = min(a, most), where 1 / m is at most the chord
+        (low + high - m) / (low * high). So the sum is at most ((low + high) * sum of q - sum of q * m) / (low * high),
+        and both sums follow from the moments. Of wide vectors, which have no moments of two positions, 1 / low is taken.
+        """
+        width = x.shape[1]
+        present = ~np.isnan(x)
+        p, x0 = present.astype(float), np.where(present, x, 0.0)
+        held = p.sum(axis=1)
+        low = np.maximum(held + self.fewest - width, 1.0)
+        high = np.maximum(np.minimum(held, self.most), low)
+        if self.ones.ndim == 1:
+            q = (x0 * x0) @ self.ones - 2.0 * x0 @ self.first + p @ self.second
+            parts = q / low
+        else:
+            q = (x0 * x0) @ np.diag(self.ones) - 2.0 * x0 @ np.diag(self.first) + p @ np.diag(self.second)
+            shared = (((x0 * x0) @ self.ones - 2.0 * x0 @ self.first + p @ self.second) * p).sum(axis=1)
+            parts = ((low + high) * q - shared) / (low * high)
+        # a little more than the rounding of the sums
+        return np.sqrt(np.maximum(parts, 0.0) * width / self.weight) * (1 + 1e-9) + 1e-9
+
+
+def _moments(vectors: DataFrame) -> list[_Moments]:
+    """Moments of each class, in one scan; a task sends numbers per position, or per two positions, whatever its rows."""
+    fields = "c int, j int, ones array<double>, first array<double>, second array<double>, weight double, fewest long, most long"
+    names = ["c", "j", "ones", "first", "second", "weight", "fewest", "most"]
 
-    At most ``PATTERN_LIMIT`` patterns come back (a bounded number of rows); None if there are more.
-    """
-    def moments(batches):
-        found: dict[bytes, np.ndarray] = {}
+    def scan(batches):
+        found: dict[int, list] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, w = kernels.matrix(batch.column("x")), batch.column("w").to_numpy(zero_copy_only=False).astype(float)
             present = ~np.isnan(x)
-            x = np.where(present, x, 0.0)
-            packed = np.packbits(present, axis=1)
-            patterns, member = np.unique(packed, axis=0, return_inverse=True)
-            for p, pattern in enumerate(patterns[: PATTERN_LIMIT + 1]):
-                rows = member.ravel() == p
-                sums = np.stack([np.full(x.shape[1], w[rows].sum()), w[rows] @ x[rows], w[rows] @ (x[rows] * x[rows])])
-                found[pattern.tobytes()] = found.get(pattern.tobytes(), 0.0) + sums
-            if len(found) > PATTERN_LIMIT:
-                break  # more patterns than the bound is made for, which is all there is to know
-        flat = [(mask, i, *cell) for mask, sums in found.items() for i, cell in enumerate(sums.T)]
-        columns = list(zip(*flat)) if flat else [()] * 5
-        types = (pa.binary(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["mask", "p", "w", "s1", "s2"])
-
-    rows = (
-        vectors.select("x", "w")
-        .mapInArrow(moments, "mask binary, p int, w double, s1 double, s2 double")
-        .groupBy("mask", "p")
-        .agg(F.sum("w").alias("w"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
-        .groupBy("mask")
-        .agg(F.array_sort(F.collect_list(F.struct("p", "w", "s1", "s2"))).alias("moments"))
-        .limit(PATTERN_LIMIT + 1)
-        .collect()
-    )
-    if not rows or len(rows) > PATTERN_LIMIT:
-        return None
-    w = np.array([r["moments"][0]["w"] for r in rows])
-    s1, s2 = (np.array([[m[c] for m in r["moments"]] for r in rows]) for c in ("s1", "s2"))
-    bits = np.array([np.frombuffer(r["mask"], dtype=np.uint8) for r in rows])
-    present = np.unpackbits(bits, axis=1, count=s1.shape[1]).astype(float)
-    return w, present, s1, s2
-
-
-def _mean_bound(x: np.ndarray, moments) -> np.ndarray:
-    """Upper bound of each item's mean distance to all items, from moments alone.
-
-    Within a pattern the sum of distances is at most sqrt(weight * sum of squared distances), and
-    the latter follows from the moments.
-    """
-    w, present, s1, s2 = moments
-    mask = ~np.isnan(x)
-    x0, m = np.where(mask, x, 0.0), mask.astype(float)
-    squares = (x0 * x0) @ (w[:, None] * present).T - 2.0 * x0 @ s1.T + m @ s2.T
-    shared = m @ present.T
-    squares = np.divide(squares * x.shape[1], shared, out=np.zeros_like(squares), where=shared > 0)
-    return np.sqrt(np.maximum(squares, 0.0) * w).sum(axis=1) / w.sum()
-
-
-def _band(vectors: DataFrame, moments, size: int) -> tuple[list[Pick], float]:
-    """The ``size`` items of highest bound, and the bound no other item exceeds."""
-    items = vectors.select("id", "pos", "x", F.lit(0.0).alias("base"))
-    schema = _result_schema(items)
-    arrow_schema = pairwise.to_arrow_schema(schema)
+            p, x0, held = present.astype(float), np.where(present, x, 0.0), present.sum(axis=1)
+            wide, kind = x.shape[1] > SECOND_ORDER, held * CLASSES // (x.shape[1] + 1)
+            for c in np.unique(kind).tolist():
+                at = kind == c
+                sides = [w[at, None] * v[at] for v in (p, x0, x0 * x0)]
+                part = np.stack([side.sum(axis=0)[:, None] if wide else side.T @ p[at] for side in sides])
+                old = found.get(c, [0.0, 0.0, held.max(), 0])
+                found[c] = [old[0] + part, old[1] + w[at].sum(), min(old[2], held[at].min()), max(old[3], held[at].max())]
+        for c, (sums, weight, fewest, most) in found.items():
+            n = sums.shape[1]
+            ends = [pa.array([weight] * n), pa.array([int(fewest)] * n), pa.array([int(most)] * n)]
+            yield pa.record_batch([pa.array([c] * n, pa.int32()), pa.array(np.arange(n), pa.int32()), *(pa.array(list(s)) for s in sums), *ends], names=names)
+
+    def add(table: pa.Table) -> pa.Table:
+        columns = {c: table.column(c).slice(0, 1) for c in ("c", "j")}
+        columns |= {c: [np.stack(table.column(c).to_pylist()).sum(axis=0)] for c in ("ones", "first", "second")}
+        weight, fewest, most = pc.sum(table.column("weight")), pc.min(table.column("fewest")), pc.max(table.column("most"))
+        return pa.table({**columns, "weight": [weight.as_py()], "fewest": [fewest.as_py()], "most": [most.as_py()]})
+
+    rows = vectors.select("x", "w").mapInArrow(scan, fields).groupBy("c", "j").applyInArrow(add, fields).collect()
+    out = []
+    for c in sorted({r["c"] for r in rows}):
+        own = sorted((r for r in rows if r["c"] == c), key=lambda r: r["j"])
+        ones, first, second = (np.array([r[m] for r in own], dtype=float) for m in ("ones", "first", "second"))
+        if len(own) > SECOND_ORDER:
+            ones, first, second = ones[:, 0], first[:, 0], second[:, 0]
+        out.append(_Moments(own[0]["weight"], own[0]["fewest"], own[0]["most"], ones, first, second))
+    return out
+
+
+def _mean_bound(moments: list[_Moments], x: np.ndarray) -> np.ndarray:
+    """Upper bound of each row's mean distance to all items."""
+    return sum(m.weight * m.bound(x) for m in moments) / sum(m.weight for m in moments)
+
+
+def _bounded(vectors: DataFrame, moments: list[_Moments]) -> DataFrame:
+    """``vectors`` with the bound of each item's mean distance, staged."""
+    schema = T.StructType([*vectors.schema.fields, T.StructField("bound", T.DoubleType())])
 
     def scan(batches):
-        merge = _Merge()
         for batch in batches:
             if batch.num_rows:
-                bound = _mean_bound(kernels.matrix(batch.column("x")), moments)
-                base = batch.column("base").to_numpy(zero_copy_only=False)
-                merge.add(0, bound, _sortable(batch.column("pos")), batch, base, size + 1)
-        yield merge.batch(arrow_schema)
+                yield batch.append_column("bound", pa.array(_mean_bound(moments, kernels.matrix(batch.column("x")))))
 
-    rows = items.mapInArrow(scan, schema).orderBy(F.desc("score"), "pos").limit(size + 1).collect()
-    band = [Pick(r["id"], r["pos"], np.array(r["x"], dtype=float), r["base"], r["score"]) for r in rows[:size]]
-    return band, rows[size]["score"] if len(rows) > size else -np.inf
+    return stage(vectors.mapInArrow(scan, schema))
 
 
 def _mean_distances(vectors: DataFrame, band: list[Pick], metric: str) -> np.ndarray:
@@ -334,22 +435,31 @@ def _mean_distances(vectors: DataFrame, band: list[Pick], metric: str) -> np.nda
 def first_pick(vectors: DataFrame, metric: str = "euclidean") -> Pick:
     """The item of largest summed distance to all items, ties to the smallest ``pos``.
 
-    ``vectors(id, pos, x, w)`` holds the distinct vectors and how many items stand behind each. Few
-    vectors are summed in block pairs. With many, a bound that costs one scan ranks them and exact
-    sums are computed for a band of the highest; the pick stands once it beats the bound of all
-    others. If even the widest band cannot settle it, every sum is computed in block pairs.
+    ``vectors(id, pos, x, w)`` holds the distinct vectors and how many items stand behind each. A bound that costs two
+    scans ranks them, and exact sums are computed for the items of highest bound, twice as many each time, until no
+    other bound reaches the largest sum. Kilometres have no such bound; they are summed in block pairs.
     """
-    n = vectors.count()
-    if n == 0:
+    if metric != "euclidean":
+        sums = stage(vectors.join(pairwise.row_sums(vectors, metric), "id"))
+        row = first_of_ties(sums, "sum_d", "pos")
+        if row is None:
+            raise ValueError("Invalid value, there are no items to sample from")
+        return Pick(row["id"], row["pos"], np.array(row["x"], dtype=float))
+    moments = _moments(vectors)
+    if not moments:
         raise ValueError("Invalid value, there are no items to sample from")
-    moments = _pattern_moments(vectors) if metric == "euclidean" and n > SUM_ALL else None
-    for size in BANDS if moments else ():
-        band, beyond = _band(vectors, moments, size)
+    ranked = _bounded(vectors.select("id", "pos", "x", "w"), moments)
+    best: list[tuple[float, Pick]] = []  # the largest means so far, all that may be equal
+    rest, size = ranked, FIRST_BAND
+    while True:
+        rows = rest.orderBy(F.desc("bound"), "pos").limit(size + 1).collect()
+        band = [Pick(r["id"], r["pos"], np.array(r["x"], dtype=float)) for r in rows[:size]]
         means = _mean_distances(vectors, band, metric)
-        level = np.where(means >= means.max() * (1 - TIE), 1.0, 0.0)
-        best = _best_first(level, np.array([p.pos for p in band]), 1)[0]
-        if means[best] > beyond * (1 + 1e-9) + 1e-9:
-            return band[best]
-    sums = stage(vectors.join(pairwise.row_sums(vectors, metric, rows=n), "id"))
-    row = first_of_ties(sums, "sum_d", "pos")
-    return Pick(row["id"], row["pos"], np.array(row["x"], dtype=float))
+        best += zip(means.tolist(), band)
+        top = max(mean for mean, _ in best)
+        best = [(mean, p) for mean, p in best if mean >= top * (1 - TIE)]
+        if len(rows) <= size or rows[size]["bound"] < top * (1 - 2 * TIE):
+            return min((p for _, p in best), key=lambda p: p.pos)
+        last = rows[size - 1]
+        rest = ranked.where((F.col("bound") < last["bound"]) | ((F.col("bound") == last["bound"]) & (F.col("pos") > F.lit(last["pos"]))))
+        size = min(2 * size, LARGEST_BAND)

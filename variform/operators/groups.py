@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variform.operators import pairwise
+from variform.operators import neighbours
 from variform.operators.profiles import collapse
 from variform.session import small_table, stage
 
@@ -55,11 +55,11 @@ def nearest_with_ties(items: DataFrame, metric: str = "euclidean") -> DataFrame:
     """``(id, profile, nearest_d, n_nearest)``: distance to the nearest different item and how many lie there.
 
     Items that share a vector share the answer. The tied neighbours themselves are
-    ``pairwise.nearest_edges`` joined to the items behind each profile.
+    ``neighbours.nearest_edges`` joined to the items behind each profile.
     """
     items = stage(items)
     profiles = stage(collapse(items))
-    edges = pairwise.nearest_edges(profiles, metric)
+    edges = neighbours.nearest_edges(profiles, metric)
     sizes = profiles.select(F.col("id").alias("b"), "w")
     per_profile = edges.join(sizes, "b").groupBy("a").agg(F.min("d").alias("nearest_d"), F.sum("w").alias("n_nearest"))
     keyed = profiles.join(per_profile, profiles["id"] == per_profile["a"]).select(
@@ -77,7 +77,7 @@ def neighbour_group_purity(items: DataFrame, group: str, metric: str = "euclidea
     counted = items.groupBy("x", F.col(group).alias("g")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     counted = stage(counted)
     profiles = stage(counted.groupBy("x").agg(F.min("id").alias("id"), F.sum("n").alias("w")))
-    edges = stage(pairwise.nearest_edges(profiles, metric).select("a", "b"))
+    edges = stage(neighbours.nearest_edges(profiles, metric).select("a", "b"))
     sizes = profiles.select("id", "w")
     left, right = (sizes.select(F.col("id").alias(c), F.col("w").alias(f"w_{c}")) for c in "ab")
     total = edges.join(left, "a").join(right, "b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("total"))

@@ -22,6 +22,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+#: Links that a written part of a round holds, so that rounds over few links are few files.
+PART_ROWS = 50_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -35,7 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(edges)
     while before[0]:
-        edges = stage(_small_star(_large_star(edges)))
+        # a round has no more links than the one before
+        edges = stage(_small_star(_large_star(edges)).coalesce(-(-before[0] // PART_ROWS)))
         if (now := _state(edges)) == before:
             break
         before = now

@@ -80,10 +80,11 @@ def test_distance_to_a_set_sent_along_or_met_in_blocks(items, how):
             assert r["score"] == pytest.approx(expected[IDS.index(r["id"])], abs=1e-9)
 
 
-def test_larger_tables_get_larger_blocks(spark):
-    rows = spark.createDataFrame([(1,), (1024,), (60_000,), (1_000_000,)], "n long")
-    found = [r[0] for r in rows.select(pairwise.n_blocks(F.col("n"), None)).collect()]
-    assert found == [1, 1, 59, 123]
+def test_larger_tables_get_larger_blocks_within_their_memory(spark):
+    cases = [(1, 64), (1024, 64), (60_000, 64), (1_000_000, 64), (100_000_000, 64), (100_000_000, 201), (10_000, 100_000)]
+    rows = spark.createDataFrame(cases, "n long, width int")
+    found = [r[0] for r in rows.select(pairwise.n_blocks(F.col("n"), F.col("width"), None)).collect()]
+    assert found == [1, 1, 59, 62, 1526, 4883, 10]
 
 
 def test_members_lead_back_to_all_items(items, profiles):

@@ -7,12 +7,14 @@ from variform.functions import kernels
 from variform.operators import codes, corpus, geo, groups, reports, sets
 
 
-@pytest.mark.parametrize("bins", [1, 8, 256])
-def test_quartiles_are_exact_for_skewed_groups(spark, bins):
+@pytest.mark.parametrize("range_rows,ranges", [(65_536, 256), (100, 8), (3, 4)])
+def test_quartiles_are_exact_for_skewed_groups(spark, monkeypatch, range_rows, ranges):
+    monkeypatch.setattr(reports, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(reports, "RANGES", ranges)
     rng = np.random.default_rng(3)
     values = {"hot": np.round(rng.lognormal(size=3000), 2), "one": np.array([4.0]), "flat": np.full(50, 2.5), "two": np.array([-1.0, 1e6])}
     rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("hot", None)]
-    found = reports.distribution_summary(spark.createDataFrame(rows, "g string, score double"), "g", bins=bins).collect()
+    found = reports.distribution_summary(spark.createDataFrame(rows, "g string, score double"), "g").collect()
     assert {r["g"] for r in found} == set(values)
     for r in found:
         expected = np.quantile(values[r["g"]], reports.QUARTILES)

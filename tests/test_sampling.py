@@ -72,14 +72,34 @@ def test_random_draws_follow_the_seed_only(families):
     assert set(found[0, 10]) < set(found[2, 20])
 
 
-def test_bar_finds_the_same_lowest_keys(spark):
-    items = spark.range(5000)
-    plain = sampling.lowest_keys(items, [1, 2], 7, 5000).select("seed", "id", "rn")
-    barred = sampling.lowest_keys(items, [1, 2], 7, 5000, rank_all=0).select("seed", "id", "rn")
-    assert plain.count() == 14 and plain.exceptAll(barred).isEmpty()
-    # a wrong size puts the bar too low: the counts notice
-    short = sampling.lowest_keys(items, [1, 2], 7, 10**12, rank_all=0).select("seed", "id", "rn")
-    assert short.exceptAll(plain).isEmpty() and short.count() == 14
+@pytest.mark.parametrize("rows", [4096, 3, 0.01])  # whole keys ranked, one level of ranges, three levels
+def test_lowest_keys_by_counted_ranges(spark, monkeypatch, rows):
+    monkeypatch.setattr(ranks, "RANGE_ROWS", rows)
+    keyed = spark.range(3000).withColumns({"g": F.col("id") % 7, "s": F.lit(1)})
+    keyed = keyed.withColumn("h", F.md5(F.concat_ws("|", "s", F.col("id").cast("string")))).withColumn("need", F.col("g") * 100)
+    found = {}
+    for r in ranks.lowest(keyed.drop("s"), ["g"], 700).collect():
+        found.setdefault(r["g"], set()).add(r["id"])
+    want = {}
+    for r in sorted(keyed.collect(), key=lambda r: (r["h"], r["id"])):
+        own = want.setdefault(r["g"], set())
+        if len(own) < r["need"]:
+            own.add(r["id"])
+    assert found == {g: ids for g, ids in want.items() if ids}
+
+
+@pytest.mark.parametrize("rows", [1, 0.05])
+def test_draws_are_the_same_by_any_number_of_ranges(spark, families, monkeypatch, rows):
+    draws = [Draw(run, k, run + k) for k in (3, 35, 60, 90) for run in range(2)]
+    counts = families.select("id", (F.crc32("id") % 4).alias("n"))
+    makers = (
+        lambda: sampling.random_draws(families, draws),
+        lambda: sampling.stratified_draws(families, "group", draws),
+        lambda: sampling.convenience_draws(families, counts, draws),
+    )
+    plain = [{k: sorted(v) for k, v in drawn(make()).items()} for make in makers]
+    monkeypatch.setattr(ranks, "RANGE_ROWS", rows)
+    assert plain == [{k: sorted(v) for k, v in drawn(make()).items()} for make in makers]
 
 
 def test_convenience_takes_most_used_first_and_shuffles_ties(spark, families):
@@ -107,13 +127,12 @@ def test_seed_of_a_run():
     assert sampling.draws_for([4, 8], 2) == [Draw(0, 4, 4), Draw(1, 4, 5), Draw(0, 8, 8), Draw(1, 8, 9)]
 
 
-def test_large_samples_cut_hot_keys_in_salted_parts(spark, families):
-    draws = [Draw(0, 80, 1), Draw(1, 30, 2)]
-    plain = drawn(sampling.stratified_draws(families, "group", draws))
+def test_large_limits_cut_hot_keys_in_salted_parts(spark):
+    rows = spark.range(500).withColumn("key", F.col("id") % 2)
+    plain = sorted(map(tuple, ranks.first_per_key(rows, ["key"], [F.col("id")], 80).collect()))
     spark.conf.set(ranks.GROUP_LIMIT, "1")
     try:
-        salted = drawn(sampling.stratified_draws(families, "group", draws))
-        assert {k: sorted(v) for k, v in plain.items()} == {k: sorted(v) for k, v in salted.items()}
+        assert sorted(map(tuple, ranks.first_per_key(rows, ["key"], [F.col("id")], 80).collect())) == plain
     finally:
         spark.conf.unset(ranks.GROUP_LIMIT)
 

@@ -24,14 +24,21 @@ from variform.functions.columns import exact_sum
 from variform.session import stage
 
 TILE_ROWS = 1024
-MAX_TILES = 8
+#: Memory of a block's vectors; a task holds two blocks, as they came and as numbers.
+BLOCK_BYTES = 32 << 20
+#: Blocks that a table is cut in before blocks grow, for enough pairs of them to keep a cluster busy.
+LEAST_BLOCKS = 64
 ROUND = 9
 
 
-def n_blocks(rows: Column, block_rows: int | None) -> Column:
-    """Blocks for so many rows. Larger tables get larger blocks, as each row travels once per block."""
+def n_blocks(rows: Column, width: Column, block_rows: int | None) -> Column:
+    """Blocks for so many rows of vectors of this width.
+
+    Each row travels once per block, so larger tables get larger blocks, up to the memory for one.
+    """
     if block_rows is None:
-        tiles = F.least(F.lit(MAX_TILES), F.ceil(rows / (64 * TILE_ROWS)))
+        most = F.floor(F.lit(BLOCK_BYTES) / (8 * TILE_ROWS * F.greatest(width, F.lit(1))))
+        tiles = F.least(most, F.ceil(rows / (LEAST_BLOCKS * TILE_ROWS)))
         per_block = F.greatest(tiles, F.lit(1)) * TILE_ROWS
     else:
         per_block = F.lit(block_rows)
@@ -42,17 +49,20 @@ def _block_of(n: Column) -> Column:
     return F.pmod(F.xxhash64("id"), n).cast("int")
 
 
-def pair_blocks(items: DataFrame, group: str | None, block_rows: int | None, rows: int | None = None) -> DataFrame:
+def _block_count(items: DataFrame, block_rows: int | None) -> Column:
+    shape = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width")).first()
+    return n_blocks(F.lit(shape["n"]), F.lit(shape["width"] or 1), block_rows)
+
+
+def pair_blocks(items: DataFrame, group: str | None, block_rows: int | None) -> DataFrame:
     """Place each item in every unordered pair of blocks that holds its own block.
 
-    Adds ``_g, _lo, _hi, _right``; an item lands in as many pairs as its group has blocks. Without
-    a group the number of ``rows`` is counted unless it is given.
+    Adds ``_g, _lo, _hi, _right``; an item lands in as many pairs as its group has blocks.
     """
     if group is None:
-        blocks = n_blocks(F.lit(items.count() if rows is None else rows), block_rows)
-        placed = items.withColumn("_g", F.lit(0)).withColumn("_n", blocks)
+        placed = items.withColumn("_g", F.lit(0)).withColumn("_n", _block_count(items, block_rows))
     else:
-        sizes = items.groupBy(group).agg(n_blocks(F.count(F.lit(1)), block_rows).alias("_n"))
+        sizes = items.groupBy(group).agg(n_blocks(F.count(F.lit(1)), F.max(F.size("x")), block_rows).alias("_n"))
         placed = items.join(sizes, group).withColumn("_g", F.col(group))
     placed = placed.withColumn("_b", _block_of(F.col("_n")))
     placed = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
@@ -69,7 +79,7 @@ def pair_blocks(items: DataFrame, group: str | None, block_rows: int | None, row
 
 def cross_blocks(items: DataFrame, others: DataFrame, block_rows: int | None) -> DataFrame:
     """As :func:`pair_blocks` for two different tables: every block of one against every block of the other."""
-    n_left, n_right = (n_blocks(F.lit(df.count()), block_rows) for df in (items, others))
+    n_left, n_right = (_block_count(df, block_rows) for df in (items, others))
 
     def place(df: DataFrame, own: str, n_own: Column, other: str, n_other: Column, right: bool) -> DataFrame:
         return df.select(
@@ -233,12 +243,10 @@ def pair_extremes(profiles: DataFrame, metric: str = "euclidean", block_rows: in
     return parts.agg(F.min("lo").alias("min_d"), F.max("hi").alias("max_d"))
 
 
-def row_sums(
-    profiles: DataFrame, metric: str = "euclidean", block_rows: int | None = None, rows: int | None = None
-) -> DataFrame:
+def row_sums(profiles: DataFrame, metric: str = "euclidean", block_rows: int | None = None) -> DataFrame:
     """``(id, sum_d)``: summed distance of each profile to every item."""
     block = kernels.BLOCK_METRICS[metric]
-    placed = pair_blocks(profiles, None, block_rows, rows)
+    placed = pair_blocks(profiles, None, block_rows)
 
     def body(g, left, right, diagonal):
         d = _distances(left, right, diagonal, block)

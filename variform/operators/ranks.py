@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,3 +24,40 @@ def first_per_key(rows: DataFrame, by: list[str], order: list[Column], k: int, i
         rows = salted.withColumn("_part_rn", part).where(F.col("_part_rn") <= k).drop("_salt", "_part_rn")
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return rows.withColumn("rn", rank).where(F.col("rn") <= k)
+
+
+#: Rows of a key that the last range is expected to hold.
+RANGE_ROWS = 4096
+#: Digits of a hash that part a range in the next ones: 256 of them.
+DIGITS = 2
+
+
+def lowest(keyed: DataFrame, by: list[str], rows: int) -> DataFrame:
+    """``(by.., id)``: the ``need`` lowest rows by (h, id) of every key of ``keyed(by.., id, h, need)``.
+
+    ``h`` is text of evenly spread hex digits, ``need`` the same in all rows of a key, and ``rows`` what a key may hold.
+    Keys are not ranked whole. Rows are counted by the first digits of ``h``, and the counts tell in which range the
+    last wanted row lies; that range is counted by the next digits, until ranges are small. All rows below the last
+    range are in, and only the rows inside it are ranked. So no task holds a key, whatever it has or needs.
+    """
+    levels = max(0, math.ceil(math.log(max(rows, 1) / RANGE_ROWS, 16**DIGITS)))
+    cut = None
+    for level in range(levels):
+        length = DIGITS * level
+        inside = keyed.withColumns({"_prefix": F.lit(""), "_left": F.col("need")}) if cut is None else keyed.join(cut, by).where(F.substring("h", 1, length) == F.col("_prefix"))
+        digits = F.substring("h", length + 1, DIGITS)
+        counts = inside.groupBy(*by, "_prefix", "_left", digits.alias("_digits")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_digits"))
+        reached = counts.withColumn("_upto", upto).where(F.col("_upto") >= F.col("_left"))
+        last = F.min(F.struct("_digits", "_prefix", (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_left"))).alias("_last")
+        cut = reached.groupBy(*by).agg(last).select(*by, F.concat("_last._prefix", "_last._digits").alias("_prefix"), F.col("_last._left").alias("_left"))
+    if cut is None:
+        edge, below = keyed.withColumn("_left", F.col("need")), None
+    else:
+        # a key that has no more than it needs was never cut
+        placed = keyed.join(cut, by, "left").withColumn("_head", F.substring("h", 1, DIGITS * levels))
+        below = placed.where(F.col("_prefix").isNull() | (F.col("_head") < F.col("_prefix"))).select(*by, "id")
+        edge = placed.where(F.col("_head") == F.col("_prefix"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))
+    found = edge.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_left")).select(*by, "id")
+    return found if below is None else below.unionByName(found)

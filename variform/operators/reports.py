@@ -60,30 +60,41 @@ def summarize_runs(results: DataFrame, by: Sequence[str] = ("method", "k"), metr
     return results.groupBy(*by).agg(*out)
 
 
-def distribution_summary(scores: DataFrame, by: str, value: str = "score", bins: int = 256) -> DataFrame:
+#: Different scores that a task orders, and ranges that a larger one is cut in.
+RANGE_ROWS = 65_536
+RANGES = 256
+
+
+def distribution_summary(scores: DataFrame, by: str, value: str = "score") -> DataFrame:
     """``(by, n, q0, q25, q50, q75, q100)``: exact interpolated quartiles per group of any size.
 
-    Equal scores are merged first. Approximate quantiles of the distinct scores split each group in
-    ranges of about equal size; counts per range tell in which range each wanted rank lies, and
-    only those ranges are then ordered, one small task each, instead of whole groups.
+    Equal scores are merged first. As long as a range holds many different scores, approximate quantiles cut it in
+    ranges of about equal size, counts tell in which of them the wanted ranks lie, and only those are kept. What is left
+    is small and ordered; groups and ranges are never ordered whole.
     """
     score = F.col(value).cast("double")
-    counts = stage(scores.groupBy(by, score.alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    counts = stage(scores.groupBy(F.col(by).alias("_by"), score.alias("v")).agg(F.count(F.lit(1)).alias("c")))
     # filtered only here: before the aggregate it would compute every score twice
     counts = counts.where(F.col("v").isNotNull())
-    edges = F.percentile_approx("v", [i / bins for i in range(1, bins)] or [0.5])
-    spans = counts.groupBy(by).agg(edges.alias("edges"), F.sum("c").alias("n"))
-    in_bin = F.size(F.filter("edges", lambda e: e < F.col("v")))
-    binned = counts.join(spans, by).withColumn("bin", in_bin).drop("edges")
-    ranges = binned.groupBy(by, "n", "bin").agg(F.sum("c").alias("bin_c"))
-    before = F.sum("bin_c").over(Window.partitionBy(by).orderBy("bin")) - F.col("bin_c")
-    ranges = ranges.withColumn("before", before)
+    sizes = counts.groupBy("_by").agg(F.sum("c").alias("n"))
+    cells = counts.join(sizes.withColumnRenamed("_by", "_of"), F.col("_by").eqNullSafe(F.col("_of"))).drop("_of")
+    cells = cells.withColumns({"part": F.lit(0).cast("bigint"), "before": F.lit(0).cast("bigint")})
     # the two neighbouring ranks of every quartile
     ranks = F.array(*[r for q in QUARTILES for r in (F.floor(F.lit(q) * (F.col("n") - 1)), F.ceil(F.lit(q) * (F.col("n") - 1)))])
-    wanted = F.exists(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("bin_c")))
-    needed = ranges.where(wanted).select(by, "bin", "before")
-    cells = binned.join(needed, [by, "bin"])
-    upto = F.col("before") + F.sum("c").over(Window.partitionBy(by, "bin").orderBy("v"))
+    key = ["_by", "n", "part", "before"]
+    while (cells.groupBy(*key).count().agg(F.max("count")).first()[0] or 0) > RANGE_ROWS:
+        edges = F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)]).alias("edges")
+        cut = cells.groupBy(*key).agg(edges).select(F.col("_by").alias("_of"), F.col("part").alias("_part"), "edges")
+        same = F.col("_by").eqNullSafe(F.col("_of")) & (F.col("part") == F.col("_part"))
+        binned = stage(cells.join(cut, same).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("_of", "_part", "edges"))
+        ranges = binned.groupBy(*key, "bin").agg(F.sum("c").alias("bin_c"))
+        upto = F.sum("bin_c").over(Window.partitionBy(*key).orderBy("bin"))
+        ranges = ranges.withColumn("_before", F.col("before") + upto - F.col("bin_c"))
+        wanted = F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("bin_c")))
+        kept = ranges.where(wanted).select(F.col("_by").alias("_of"), F.col("part").alias("_part"), F.col("bin").alias("_bin"), "_before")
+        found = binned.join(kept, same & (F.col("bin") == F.col("_bin")))
+        cells = stage(found.select("_by", "v", "c", "n", (F.col("part") * RANGES + F.col("bin")).alias("part"), F.col("_before").alias("before")))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*key).orderBy("v"))
     cells = cells.withColumn("last", upto - 1).withColumn("first", F.col("last") - F.col("c") + 1)
 
     def at(rank: Column) -> Column:
@@ -93,7 +104,7 @@ def distribution_summary(scores: DataFrame, by: str, value: str = "score", bins:
     for q in QUARTILES:
         place = F.lit(q) * (F.col("n") - 1)
         aggregates += [at(F.floor(place)).alias(f"_lo{q}"), at(F.ceil(place)).alias(f"_hi{q}")]
-    found = cells.groupBy(by, "n").agg(*aggregates)
+    found = cells.groupBy(F.col("_by").alias(by), "n").agg(*aggregates)
 
     def quantile(q: float) -> Column:
         place = F.lit(q) * (F.col("n") - 1)

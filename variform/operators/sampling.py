@@ -6,23 +6,19 @@ sweep over sizes and seeds is one job. The order of items under a seed is an MD5
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from variform.functions.columns import shuffle_key
-from variform.operators.ranks import first_per_key
+from variform.operators.ranks import lowest
 from variform.session import small_table, stage
 
 
-# keys that are ranked outright, without a bar
-RANK_ALL = 20_000_000
-
-
 class Draw(NamedTuple):
     run: int
     k: int
@@ -45,29 +41,11 @@ def _check(draws: list[Draw], available: int) -> None:
             raise ValueError(f"Invalid value k={draw.k}, make sure k > 0 and k <= {available}")
 
 
-def _per_seed(df: DataFrame, seeds: Iterable[int]) -> DataFrame:
-    return df.withColumn("seed", F.explode(F.array(*[F.lit(s).cast("int") for s in sorted(set(seeds))])))
-
-
-def lowest_keys(
-    items: DataFrame, seeds: Iterable[int], k: int, n: int, salt: str | None = None, rank_all: int = RANK_ALL
-) -> DataFrame:
-    """``(seed, id, h, rn)``: the ``k`` items of lowest shuffle key under each seed.
-
-    Beyond ``rank_all`` keys only those under a bar that some ``k`` items almost surely pass are
-    ranked, so a task sorts few rows. The staged counts prove each seed complete; if one is short,
-    everything is ranked.
-    """
-    seeds = sorted(set(seeds))
-    keyed = _per_seed(items.select("id"), seeds).withColumn("h", shuffle_key(F.col("seed"), "id", salt))
-    order = [F.col("h"), F.col("id")]
-    share = (k + 10 * math.sqrt(k) + 50) / max(n, 1)
-    if n * len(seeds) > rank_all and share < 0.25:
-        bar = f"{int(share * 16**12):012x}"
-        low = stage(first_per_key(keyed.where(F.col("h") < bar), ["seed"], order, k))
-        if low.groupBy("seed").count().where(F.col("count") == k).count() == len(seeds):
-            return low
-    return first_per_key(keyed, ["seed"], order, k)
+def _per_draw(df: DataFrame, draws: list[Draw], need: Column | None = None) -> DataFrame:
+    """Every row once per draw, with ``run, k, seed`` and how many rows the draw ``need``s."""
+    each = F.array(*[F.struct(*[F.lit(v).cast("int").alias(c) for c, v in zip(Draw._fields, d)]) for d in draws])
+    rows = df.withColumn("_draw", F.explode(each)).select(*df.columns, "_draw.*")
+    return rows.withColumn("need", F.col("k") if need is None else need)
 
 
 def _label(samples: DataFrame, method: str) -> DataFrame:
@@ -78,8 +56,8 @@ def random_draws(frame: DataFrame, draws: list[Draw]) -> DataFrame:
     """Each draw: ``k`` items of the frame, without replacement."""
     n = frame.count()
     _check(draws, n)
-    low = lowest_keys(frame, [d.seed for d in draws], max(d.k for d in draws), n)
-    return _label(low.join(_draw_table(frame, draws), "seed").where(F.col("rn") <= F.col("k")), "random")
+    keyed = _per_draw(frame.select("id"), draws).withColumn("h", shuffle_key(F.col("seed"), "id"))
+    return _label(lowest(keyed, ["run", "k"], n), "random")
 
 
 def stratified_draws(items: DataFrame, key: str, draws: list[Draw], method: str = "stratified") -> DataFrame:
@@ -98,39 +76,54 @@ def stratified_draws(items: DataFrame, key: str, draws: list[Draw], method: str
     n, groups = shape["n"], shape["groups"]
     _check(draws, n)
     n_groups = groups + (1 if shape["ungrouped"] else 0)
-    most = max(d.k // n_groups if d.k > groups else 1 for d in draws)
-    # only draws larger than the number of groups take more than one per group and fill up
-    share = F.when(F.col("k") > groups, F.floor(F.col("k") / n_groups)).otherwise(1)
-    table = _draw_table(items, draws).withColumn("s", share.cast("int")).withColumn("fills", F.col("k") > groups)
-    seeds = [d.seed for d in draws]
-    k_max = max(d.k for d in draws)
-
-    grouped = _per_seed(items.where(F.col(key).isNotNull()).select("id", key), seeds)
-    grouped = grouped.withColumn("h", shuffle_key(F.col("seed"), "id"))
-    ranked = first_per_key(grouped, ["seed", key], [F.col("h"), F.col("id")], most).drop("h")
-    representative = ranked.join(table, "seed").where(F.col("rn") <= F.col("s"))
-    picks = representative.select(
-        "run", "k", "id", F.lit(0).alias("tier"), shuffle_key(F.col("seed"), "id", "group").alias("h")
-    )
+    share = {d: d.k // n_groups if d.k > groups else 1 for d in draws}
+    grouped = items.where(F.col(key).isNotNull()).select("id", F.col(key).alias("_group"))
+    parts = []
+    singles, several = ([d for d in draws if keep(share[d])] for keep in (lambda s: s == 1, lambda s: s > 1))
+    if singles:  # the lowest of a group is a minimum, which combines before the shuffle
+        keyed = _per_draw(grouped, singles).withColumn("h", shuffle_key(F.col("seed"), "id"))
+        first = keyed.groupBy("run", "k", "seed", "_group").agg(F.min(F.struct("h", "id")).alias("_first"))
+        parts.append(first.select("run", "k", "seed", F.col("_first.id").alias("id")))
+    if several:
+        keyed = _per_draw(grouped, several, F.floor(F.col("k") / n_groups)).withColumn("h", shuffle_key(F.col("seed"), "id"))
+        parts.append(lowest(keyed, ["run", "k", "seed", "_group"], n).drop("_group"))
+    table = reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+    picks = table.select("run", "k", "id", F.concat(F.lit("0"), shuffle_key(F.col("seed"), "id", "group")).alias("h"))
     filling = [d for d in draws if d.k > groups]
     if filling:
         # of the k lowest no more are picked already than the picks that need no filling
-        low = lowest_keys(items, {d.seed for d in filling}, k_max, n, "fill")
-        fill = low.join(table.where("fills"), "seed").select("run", "k", "id", F.lit(1).alias("tier"), "h")
+        keyed = _per_draw(items.select("id"), filling).withColumn("h", shuffle_key(F.col("seed"), "id", "fill"))
+        low = lowest(keyed.drop("seed"), ["run", "k"], n)
+        seeds = _draw_table(items, filling).select("run", "k", "seed")
+        fill = low.join(seeds, ["run", "k"]).select("run", "k", "id", F.concat(F.lit("1"), shuffle_key(F.col("seed"), "id", "fill")).alias("h"))
         # an item that is picked and also drawn for filling counts as picked
-        place = F.min(F.struct("tier", "h")).alias("p")
-        picks = picks.unionByName(fill).groupBy("run", "k", "id").agg(place).select("run", "k", "id", "p.tier", "p.h")
-    order = [F.col("tier"), F.col("h"), F.col("id")]
-    return _label(first_per_key(picks, ["run", "k"], order, k_max).where(F.col("rn") <= F.col("k")), method)
+        picks = picks.unionByName(fill).groupBy("run", "k", "id").agg(F.min("h").alias("h"))
+    most = max(max(d.k, groups) for d in draws) + max(d.k for d in draws)
+    return _label(lowest(picks.withColumn("need", F.col("k")), ["run", "k"], most), method)
 
 
 def convenience_draws(frame: DataFrame, counts: DataFrame, draws: list[Draw]) -> DataFrame:
-    """Each draw: the ``k`` most-used items of the frame by ``counts(id, n)``, equal counts in random order."""
+    """Each draw: the ``k`` most-used items of the frame by ``counts(id, n)``, equal counts in random order.
+
+    How many items have each count tells the count of the last item, which no seed changes; only the items that have
+    just that count are drawn.
+    """
     used = counts.select("id", "n").join(frame.select("id"), "id", "left_semi")
-    _check(draws, used.count())
-    keyed = _per_seed(used, [d.seed for d in draws]).withColumn("h", shuffle_key(F.col("seed"), "id"))
-    low = first_per_key(keyed, ["seed"], [F.desc("n"), F.col("h"), F.col("id")], max(d.k for d in draws))
-    return _label(low.join(_draw_table(frame, draws), "seed").where(F.col("rn") <= F.col("k")), "convenience")
+    by_count = stage(used.groupBy("n").agg(F.count(F.lit(1)).alias("_items")))
+    total = by_count.agg(F.coalesce(F.sum("_items"), F.lit(0)).alias("n")).first()["n"]
+    _check(draws, total)
+    # a row per different count, of which there are at most about the root of twice the uses
+    upto = by_count.withColumn("_upto", F.sum("_items").over(Window.orderBy(F.desc("n"))))
+    ks = F.filter(F.array(*[F.lit(k) for k in sorted({d.k for d in draws})]), lambda k: k <= F.col("_upto"))
+    before = F.col("_upto") - F.col("_items")
+    last = upto.withColumn("k", F.explode(ks)).groupBy("k").agg(F.max(F.struct("n", before.alias("before"))).alias("_last"))
+    met = {r["k"]: (r["_last"]["n"], r["k"] - r["_last"]["before"]) for r in last.collect()}  # a row per size
+    bars = F.array(*[F.struct(*[F.lit(v).cast("int").alias(c) for c, v in zip(Draw._fields, d)], F.lit(met[d.k][0]).alias("_last_n"), F.lit(met[d.k][1]).alias("need")) for d in draws])
+    lowest_bar = min(bar for bar, _ in met.values())
+    each = used.where(F.col("n") >= lowest_bar).withColumn("_draw", F.explode(bars)).select("id", "n", "_draw.*")
+    above = each.where(F.col("n") > F.col("_last_n")).select("run", "k", "id")
+    ties = each.where(F.col("n") == F.col("_last_n")).withColumn("h", shuffle_key(F.col("seed"), "id"))
+    return _label(above.unionByName(lowest(ties.select("run", "k", "id", "h", "need"), ["run", "k"], total)), "convenience")
 
 
 def random_split(ids: DataFrame, k: int, seed: int = 0) -> DataFrame:

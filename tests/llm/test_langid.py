@@ -65,3 +65,13 @@ def test_equal_texts_of_the_sample_count_once(spark):
     once = L.fit(spark.createDataFrame(sorted(set(rows)), "text string, lang string"))
     many = L.fit(spark.createDataFrame(rows + 200 * [rows[0]], "text string, lang string"))
     assert once.tables == many.tables and list(once.prior) != list(many.prior)
+
+
+def test_languages_of_any_name(spark):
+    names = ["en", "EN", "term", "kind", "total", "n", "a`b", "x.y", ""]
+    rows = [(f"{chr(97 + k) * 5} {chr(97 + k) * 4} w{chr(97 + k)}", name) for k, name in enumerate(names) for _ in range(2)]
+    model = L.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.langs == sorted(names)
+    docs = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in L.predict(docs, model).collect()}
+    assert [got[k] for k in range(len(rows))] == [r[1] for r in rows]

@@ -87,3 +87,18 @@ def test_nulls_empties_and_columns(spark):
     got = Counter((r["doc_id"], r["source"]) for r in df.collect())
     assert got[3, "b"] == 2 and got[None, "a"] == 1 and (2, None) not in got
     assert M.mix(spark.createDataFrame([], SCHEMA), max_repeats=2).collect() == []
+
+
+def test_rows_without_ids_go_by_their_texts(spark):
+    rows = [(None, f"w{k} " * 4, "a", 5, "x") for k in range(400)] + [(k, "w w w w", "b", 5, "x") for k in range(100)]
+    got = [r for r in draws(spark, rows, budget=1000, max_repeats=5.0) if r["source"] == "a"]
+    taken = sum(len(r["text"].split()) for r in got)
+    assert taken < 1600 and len({r["text"] for r in got}) == len(got) > 100  # less than one document beyond the budget
+
+
+def test_working_names_in_the_input(spark):
+    rows = [(k, "w w", "a", 7, "b7", 8) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _mix_key int, _MIX_block string, _mix_cut int")
+    got = M.mix(docs, max_repeats=1.0)
+    assert got.columns == [*docs.columns, "epoch", "mix_at", "mix_tie"]
+    assert sorted(tuple(r)[:6] for r in got.collect()) == rows

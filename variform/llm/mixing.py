@@ -11,9 +11,9 @@ with a third of all rows is spread over as many blocks as it needs and no text i
 the driver is one row per source.
 
 Defined cases: a null source is a source of its own; null and empty texts have no tokens and are taken with their block;
-sources without tokens have weight zero; rows that repeat an id within a source are drawn together; an empty table gives
-no rows; the result has the columns of the input (extra ones too) and ``epoch``, ``mix_at``, ``mix_tie``, which replace
-columns of those names. Ordering by (mix_at, mix_tie) gives the mixture.
+sources without tokens have weight zero; rows that repeat an id within a source are drawn together, rows without an id
+go by their text; an empty table gives no rows; the result has the columns of the input (extra ones too, whatever their
+names) and ``epoch``, ``mix_at``, ``mix_tie``, which replace columns of those names. Ordering by (mix_at, mix_tie) gives the mixture.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variform.llm.common import stage
+from variform.llm.common import spare, stage
 from variform.session import small_table
 
 BLOCK = 1_000
 STEPS = 60
+_WORKING = ("_mix_key", "_mix_block", "_mix_blocks", "_mix_cut")
 
 
 def tokens(text: Column) -> Column:
@@ -86,10 +87,15 @@ def _order(seed: int, *what: Column) -> Column:
     return F.xxhash64(F.lit(seed), *what)
 
 
+def _name() -> tuple[Column, Column]:
+    """What a document is hashed by: its id, or its text if it has none (a null changes no hash)."""
+    return F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+
+
 def _keyed(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Documents with the key of their source and their block, under names that no input column has."""
+    """Documents with the key of their source and their block."""
     wide = docs.withColumn("_mix_key", _key(F.col("source"))).join(blocks.withColumnRenamed("key", "_mix_key"), "_mix_key")
-    return wide.withColumn("_mix_block", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.col("_mix_blocks"))).drop("_mix_blocks")
+    return wide.withColumn("_mix_block", F.pmod(F.xxhash64(F.lit("block"), *_name()), F.col("_mix_blocks"))).drop("_mix_blocks")
 
 
 _PLAN = T.StructType(
@@ -107,6 +113,9 @@ def mix(
 ) -> DataFrame:
     """The draws of the mixture: the rows of ``docs`` once for each epoch that takes them. ``budget`` is in tokens."""
     docs = docs.select([c for c in docs.columns if c not in ("epoch", "mix_at", "mix_tie")])
+    # columns under the working names travel under others
+    given = {c: spare([*docs.columns, *_WORKING], c)[0] if c.lower() in _WORKING else c for c in docs.columns}
+    docs = docs.withColumnsRenamed(given)
     # two small stages: blocks per source, then tokens per block
     blocks = stage(
         docs.groupBy(_key(F.col("source")).alias("key")).count().select("key", F.ceil(F.col("count") / block).cast("long").alias("_mix_blocks"))
@@ -131,7 +140,7 @@ def mix(
     # where a budget ends inside a block: the last document taken, by the order of the block's documents
     ends = taken.where("part").select(F.col("key").alias("_mix_key"), F.col("block").alias("_mix_block"), "epoch", "rest")
     inside = _keyed(docs.select("doc_id", "source", "text"), blocks).join(ends, ["_mix_key", "_mix_block"])
-    inside = inside.select("_mix_key", "_mix_block", "epoch", "rest", _order(seed, F.col("doc_id"), F.col("epoch")).alias("tie"), tokens(F.col("text")).alias("n"))
+    inside = inside.select("_mix_key", "_mix_block", "epoch", "rest", _order(seed, *_name(), F.col("epoch")).alias("tie"), tokens(F.col("text")).alias("n"))
     run = Window.partitionBy("_mix_key", "_mix_block", "epoch").orderBy("tie").rangeBetween(Window.unboundedPreceding, -1)
     cuts = inside.withColumn("sofar", F.coalesce(F.sum("n").over(run), F.lit(0))).where("sofar < rest")
     cuts = cuts.groupBy(F.col("_mix_key").alias("key"), F.col("_mix_block").alias("block"), "epoch").agg(F.max("tie").alias("cut"))
@@ -141,9 +150,9 @@ def mix(
     )
     # staged, so that Spark knows its size: while it is small it is broadcast and no text is shuffled
     plan = stage(plan)
-    drawn = _keyed(docs, blocks).join(plan, ["_mix_key", "_mix_block"]).withColumn("mix_tie", _order(seed, F.col("doc_id"), F.col("epoch")))
+    drawn = _keyed(docs, blocks).join(plan, ["_mix_key", "_mix_block"]).withColumn("mix_tie", _order(seed, *_name(), F.col("epoch")))
     drawn = drawn.where(F.col("_mix_cut").isNull() | (F.col("mix_tie") <= F.col("_mix_cut")))
-    return drawn.select(*docs.columns, "epoch", "mix_at", "mix_tie")
+    return drawn.select(*(F.col(name).alias(c) for c, name in given.items()), "epoch", "mix_at", "mix_tie")
 
 
 def report(docs: DataFrame, max_repeats: float) -> DataFrame:

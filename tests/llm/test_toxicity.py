@@ -114,3 +114,15 @@ def test_held_out_accuracy(spark):
     assert r[0] > 0.97 and r[1] > 0.85
     some = got.select("doc_id", "held_out").limit(50).collect()
     assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0) for x in some)
+
+
+def test_apostrophes_and_stray_marks_quote_nothing():
+    def words(text):
+        tokens, inside = T._quoted(T._TOKENS.findall(text))
+        return [t for t, quoted in zip(tokens, inside) if quoted and t not in T.QUOTES]
+
+    assert words("i don’t care you are a scumbag and can’t hide") == []
+    assert words("he said “you are a scumbag” and left") == "you are a scumbag".split()
+    assert words('one " stray mark. then "quoted words" and more') == ["quoted", "words"]
+    assert words("she called him ‘a fool’, didn’t she") == ["a", "fool"]
+    assert words("«ab» cd \"ef\n gh\" ij") == ["ab"]

@@ -3,7 +3,8 @@
 The lexicon holds words that mark toxic documents among the labelled ones, with their log odds. A word of a text meets
 it through Levenshtein automata intersected with the lexicon's trie, so misspelled terms count too, with less weight per
 edit; words that the labels show to be harmless are exempt. Each match is weighed by its window: the log odds of the
-words around terms, and whether it stands in quotation marks. A logistic regression over a document's match features
+words around terms, and whether it stands between two quotation marks of one sentence; marks between letters are
+apostrophes. A logistic regression over a document's match features
 gives the score.
 
 Learning reads at most about ``sample`` labelled documents (a documented bound), chosen by the hash of their text, equal
@@ -46,10 +47,29 @@ QUOTES = "\"“”„«»‘’"
 REPORTING = frozenset("said says wrote quoted called quote dit écrit sagte schrieb dijo escribió".split())
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_TOKENS = re.compile(rf"[^\W\d_]+|[{QUOTES}]")
+# a mark with a letter to either side is an apostrophe
+_TOKENS = re.compile(rf"[^\W\d_]+|(?<![^\W\d_])[{QUOTES}]|[{QUOTES}](?![^\W\d_])|[.!?\n]")
 FEATURES = 6
 
 
+def _quoted(found: list[str]) -> tuple[list[str], list[bool]]:
+    """Words and marks without the ends of sentences, and which of them stand between two marks of one sentence."""
+    tokens: list[str] = []
+    inside: list[bool] = []
+    marks: list[int] = []
+    for t in (*found, "."):
+        if t in ".!?\n":
+            for first, last in zip(marks[::2], marks[1::2]):
+                inside[first:last] = [True] * (last - first)
+            marks.clear()
+            continue
+        if t in QUOTES:
+            marks.append(len(tokens))
+        tokens.append(t)
+        inside.append(False)
+    return tokens, inside
+
+
 class Model:
     def __init__(self, terms: dict[str, float], harmless: set[str], context: dict[str, float], weights: np.ndarray):
         self.terms, self.harmless, self.context, self.weights = terms, harmless, context, weights
@@ -80,11 +100,7 @@ class Model:
         found = self.hits(set(words))
         if not found:
             return [0.0] * FEATURES
-        tokens = _TOKENS.findall(lowered)
-        marks, inside = 0, []
-        for t in tokens:
-            marks += t in QUOTES
-            inside.append(marks % 2 == 1)
+        tokens, inside = _quoted(_TOKENS.findall(lowered))
         plain = quoted = strongest = around = 0.0
         n = 0
         for i, t in enumerate(tokens):
@@ -96,7 +112,7 @@ class Model:
             context = sum(self.context.get(w, 0.0) for w in window)
             n += 1
             around += context
-            if (inside[i] and marks > 1) or any(w in REPORTING for w in window):
+            if inside[i] or any(w in REPORTING for w in window):
                 quoted += weight
             else:
                 plain += weight

@@ -65,6 +65,26 @@ def test_frames_counts_metadata(spark, tmp_path):
     counts.write_text(json.dumps({"b": 1, "a": 3, "c": 1}, indent=1))
     rows = readers.read_counts(spark, str(counts)).orderBy(F.desc("n"), "pos").collect()
     assert [(r["id"], r["n"]) for r in rows] == [("a", 3), ("b", 1), ("c", 1)]
+    odd = {'a"b': 1, "é\\\\": -2, "c d": 3}
+    counts.write_text(json.dumps(odd))
+    assert {r["id"]: r["n"] for r in readers.read_counts(spark, str(counts)).collect()} == odd
+    counts.write_text(json.dumps({"a,b": 1, "c": 2}))
+    assert {r["id"]: r["n"] for r in readers.read_counts(spark, str(counts), whole=True).collect()} == {"a,b": 1, "c": 2}
+    with pytest.raises(Exception, match="whole=True"):
+        readers.read_counts(spark, str(counts)).collect()
+    counts.write_text("{}")
+    assert readers.read_counts(spark, str(counts)).collect() == []
+    many = spark.createDataFrame([(f'k"{i}', i) for i in range(300)], "id string, n int")
+    path = writers.write_counts(many, str(tmp_path / "made"), "counts")
+    assert json.loads(open(path).read()) == {f'k"{i}': i for i in range(300)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+    try:
+        again = readers.read_counts(spark, path)
+        assert again.rdd.getNumPartitions() > 3
+        assert [r["n"] for r in again.orderBy("pos").collect()] == [n for _, n in sorted((f'k"{i}', i) for i in range(300))]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     meta = tmp_path / "meta.csv"
     meta.write_text(readers.ITEM_SCHEMA.replace(" STRING", "").replace(" DOUBLE", "").replace(" ", "") + "\n"
                     "x,Name,Africa,1.5,,x,,,Fam,fam1,x,language,a/b\n")
@@ -129,7 +149,7 @@ def test_parallel_corpus_however_it_is_split(spark, tmp_path, split_bytes):
 def test_samples_results_costs_and_texts(spark, tmp_path):
     ids = spark.createDataFrame([("b",), ("a",)], "id string")
     path = writers.write_sample(ids, str(tmp_path), "maxsum", "frame", 2, "dists", 123)
-    assert path.endswith("maxsum-frame-2-dists-123.txt") and lines(tmp_path / "maxsum-frame-2-dists-123.txt") == ["a", "b"]
+    assert path.endswith("maxsum-frame-2-dists-123.txt") and (tmp_path / "maxsum-frame-2-dists-123.txt").read_text() == "a\nb\n"
     samples = spark.createDataFrame([("random", 0, 2, "a"), ("random", 1, 2, "b")], "method string, run int, k int, id string")
     writers.write_samples(samples, str(tmp_path / "samples"))
     assert spark.read.parquet(str(tmp_path / "samples")).where("run = 1").first()["id"] == "b"
@@ -142,7 +162,9 @@ def test_samples_results_costs_and_texts(spark, tmp_path):
     again = readers.read_semicolon_csv(spark, str(tmp_path / "costs"))
     assert again.count() == 2 and again.columns == ["verses", "avg_subwords", "glottocode"]
     writers.write_language_texts(spark.createDataFrame([("eng", "v2", "there"), ("eng", "v1", "hello"), ("deu", "v1", "hallo")], "lang string, verse_id string, text string"), str(tmp_path / "texts"))
-    assert lines(tmp_path / "texts" / "lang=eng") == ["hello", "there"]
+    assert {f.name: f.read_text() for f in (tmp_path / "texts").glob("*.txt")} == {"eng.txt": "hello\nthere\n", "deu.txt": "hallo\n"}
+    writers.write_sample_files(samples, str(tmp_path / "each"), "frame", "d")
+    assert {f.name: f.read_text() for f in (tmp_path / "each").glob("*.txt")} == {"random-frame-2-d-2.txt": "a\n", "random-frame-2-d-3.txt": "b\n"}
     (tmp_path / "verses").mkdir()
     (tmp_path / "verses" / "eng.txt").write_text("hello there  \n\nyou\n")
     units = readers.read_text_units(spark, str(tmp_path / "verses"))

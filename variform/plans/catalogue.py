@@ -592,3 +592,6 @@ def results_by_label(t):
     """Sweep results under display names, one row per member of the samples of size 4 and run 0."""
     results = reports.slice_results(sweep(inputs(t), **SWEEP), ks=[4], methods=["maxsum", "maxmin"], run=0)
     return reports.explode_sample(reports.relabel(results)).select("Method", "run", "k", "id")
+
+
+from variform.plans import files  # noqa: E402, F401  registers the queries that write files and read them

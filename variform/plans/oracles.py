@@ -312,6 +312,43 @@ def _quartiles() -> str:
 
 
 def oracles() -> dict[str, str]:
+    plain = _plain()
+    return {**plain, **_files(plain)}
+
+
+def _files(plain: dict[str, str]) -> dict[str, str]:
+    """What comes back from a file is what the table holds."""
+    language, week = "'l' || lpad(CAST(user_id % 40 AS VARCHAR), 2, '0')", "CAST(floor((day(ts) - 1) / 7) AS INTEGER)"
+    edition = f"{language} || '-week' || {week} || '.txt'"
+    spaced = "regexp_replace(concat_ws(' ', event_type, props), '\\s+', ' ', 'g')"
+    code = "'cust' || c_custkey"
+    nation = "'nation' || c_nationkey"
+    return {
+        "file_features": plain["binarize_features"],
+        "file_distances": plain["dist_wide_roundtrip"],
+        "file_default_frame": f"SELECT DISTINCT a AS id FROM ({plain['geo_symmetrized']})",
+        "file_frame": f"WITH {TAXED} SELECT id, id AS pos FROM taxed",
+        "file_item_metadata": f"WITH {PLACES} SELECT CAST(c_custkey AS VARCHAR) AS ID, c_name AS Name, c_mktsegment AS Macroarea, round(lat, 6) + 0 AS Latitude, "
+        f"round(lon, 6) + 0 AS Longitude, {code} AS Glottocode, CAST(NULL AS VARCHAR) AS ISO639P3code, 'orders, and \"quoted\"' AS provenance, "
+        f"CASE WHEN c_nationkey <> 7 THEN {nation} END AS Family_name, {nation} AS Family_level_ID, {code} AS Language_level_ID, 'language' AS level, "
+        f"{nation} || '/' || {code} AS lineage FROM customer JOIN place ON place.id = c_custkey",
+        "file_groups": 'SELECT p_partkey AS id, CASE WHEN p_size <> 7 THEN p_brand END AS "group" FROM part',
+        "file_counts": "SELECT l_partkey AS id, count(*) AS n FROM lineitem GROUP BY 1",
+        "file_taxonomy": f"WITH {TAXONOMY} SELECT id, CAST(children AS INTEGER) AS child_language_count FROM taxonomy",
+        "file_token_costs": f"SELECT 'verses/' || lang AS verses, avg_subwords, lang AS glottocode FROM ({plain['avg_tokens']}) "
+        f"UNION ALL SELECT 'verses/' || role, avg_subwords, role FROM ({plain['avg_tokens_conversations']})",
+        "file_corpus": f"SELECT {language} AS lang, {edition} AS edition, CAST(event_id AS VARCHAR) AS verse_id, {spaced} AS text FROM events",
+        "file_corpus_headers": f"SELECT DISTINCT {edition} AS edition, 'c' || lpad(CAST(user_id % 40 AS VARCHAR), 2, '0') AS code, "
+        "list_extract(['Latn', 'Cyrl', 'Arab'], CAST(user_id % 40 % 3 + 1 AS INTEGER)) AS script FROM events",
+        "file_language_texts": f"SELECT {language} AS code, concat_ws(' ', event_type, props) AS text FROM events",
+        "file_points": f"WITH {POINTS} SELECT id, len(x)::INTEGER AS width, round(x[1], 6) + 0 AS first, round(list_sum(x), 6) + 0 AS total FROM pt",
+        "file_samples": plain["sample_random"],
+        "file_sample_lists": f"SELECT method || '-parts-' || k || '-dists-' || (run + k) AS name, id FROM ({plain['sample_random']})",
+        "file_results": plain["evaluate_samples"],
+    }
+
+
+def _plain() -> dict[str, str]:
     frames = f"{TAXED}, {FAMILY}, {GENUS}, f1 AS (SELECT id FROM family WHERE grp IS NOT NULL), f2 AS (SELECT id FROM genus WHERE grp IS NOT NULL)"
     codes = "code AS (SELECT 'c' || CASE WHEN n_nationkey IN (20, 21) THEN n_nationkey - 10 ELSE n_nationkey END AS code, CAST(n_nationkey AS VARCHAR) AS id, n_nationkey AS rw FROM nation)"
     first = "first AS (SELECT code, min_by(id, rw) AS first_id, max_by(id, rw) AS last_id FROM code GROUP BY 1)"

@@ -59,12 +59,17 @@ def staging_root(spark: SparkSession) -> str:
     return _local_root()
 
 
+def new_folder(spark: SparkSession, kind: str = "files") -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{staging_root(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to shared storage once and read it back.
 
     Cuts the lineage, survives the loss of executors, and lets every later reader prune columns.
     """
-    path = f"{staging_root(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "staged")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -22,6 +22,9 @@ HEADER_LINES = 11
 # how columns without a header text come out of common tools (fixed values)
 UNNAMED = re.compile(r"Unnamed: [0-9]+|_c[0-9]+")
 
+# one entry of a JSON object of counts, with what may stand around the first and the last
+_COUNT = r'^\s*\{?\s*"((?:[^"\\]|\\.)*)"\s*:\s*(-?[0-9]+)\s*\}?\s*$'
+
 
 def _found(path: str, read) -> DataFrame:
     try:
@@ -33,7 +36,8 @@ def _found(path: str, read) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", schema: str | None = None) -> DataFrame:
-    reader = spark.read.option("header", True).option("sep", sep)
+    # a quote inside a value is doubled, as common tools write it
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"')
     reader = reader.schema(schema) if schema else reader
     return _found(path, reader.csv)
 
@@ -66,11 +70,25 @@ def read_group_metadata(spark: SparkSession, path: str, id_col: str = "Glottocod
     return read_csv(spark, path).select(F.col(id_col).alias("id"), F.col(group_col).alias("group"))
 
 
-def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, n, pos)`` of a JSON object id -> count; ``pos`` keeps the file's order."""
-    text = _found(path, lambda p: spark.read.text(p, wholetext=True))
-    entries = F.from_json("value", "map<string,bigint>")
-    return text.select(F.posexplode(entries).alias("pos", "id", "n")).select("id", "n", "pos")
+def read_counts(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """``(id, n, pos)`` of a JSON object id -> count; ``pos`` keeps the file's order.
+
+    The file is split at commas, so an object of any size is read by many tasks. An id that holds a comma is an error;
+    ``whole`` reads such a file as one text.
+    """
+    if whole:
+        text = _found(path, lambda p: spark.read.text(p, wholetext=True))
+        return text.select(F.posexplode(F.from_json("value", "map<string,bigint>")).alias("pos", "id", "n")).select("id", "n", "pos")
+    pieces = _found(path, spark.read.option("lineSep", ",").text).select("value", F.monotonically_increasing_id().alias("pos"))
+    pieces = pieces.where(~F.col("value").rlike(r"^[\s{}]*$"))
+    name, number = (F.regexp_extract("value", _COUNT, k) for k in (1, 2))
+    wrong = F.raise_error(F.concat(F.lit("no count of a JSON object, or an id with a comma (whole=True reads it): "), "value"))
+    return pieces.select(
+        # escapes in a name are those of JSON
+        F.when(F.col("value").rlike(_COUNT), F.from_json(F.concat(F.lit('["'), name, F.lit('"]')), "array<string>")[0]).otherwise(wrong.cast("string")).alias("id"),
+        number.cast("bigint").alias("n"),
+        "pos",
+    )
 
 
 def read_frame(spark: SparkSession, path: str, sort: bool = False) -> DataFrame:

@@ -71,6 +71,14 @@ def test_whole_chain_and_its_report(raw, taxonomy, spark):
     ]
 
 
+def test_report_names_the_steps_that_were_asked_for(raw, taxonomy):
+    report = cleaning.cleaning_report(raw, multi_value=["GB024"], min_coverage=0.5)
+    kept = cleaning.prepare_features(raw, multi_value=["GB024"], min_coverage=0.5).count()
+    assert [tuple(r) for r in report.orderBy("step").collect()] == [("3 binarize", 5, 3, 5, 4), ("5 crop", 5, 4, kept, 4)]
+    assert [tuple(r) for r in cleaning.cleaning_report(raw, taxonomy=taxonomy).collect()] == [("4 macro", 5, 3, 3, 3)]
+    assert cleaning.cleaning_report(raw).collect() == []
+
+
 def test_whole_number_columns_become_integers(spark):
     df = spark.createDataFrame([(1, 1.0, 0.5, None), (2, None, 1.0, None)], "id int, f double, g double, h double")
     types = dict(cleaning.integral_columns(df, ["f", "g", "h"]).dtypes)

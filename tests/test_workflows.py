@@ -31,6 +31,18 @@ def test_from_raw_file_to_samples_on_disk(spark, tmp_path):
         assert ",".join(ids) == next(r[-1] for r in EXAMPLE_RESULTS if r[0] == method)
 
 
+def test_doubled_ids_are_an_error(spark, tmp_path):
+    raw = tmp_path / "raw.csv"
+    raw.write_text("Lang_ID,f1\naaaa1234,1\nbbbb1234,0\naaaa1234,1\n")
+    with pytest.raises(ValueError, match="aaaa1234"):
+        workflows.prepare(spark, str(raw), str(tmp_path / "out"))
+    items = spark.createDataFrame([("a", [1.0]), ("b", [0.0]), ("c", [2.0])], "id string, x array<double>")
+    twice = spark.createDataFrame([("a", 0), ("b", 1), ("b", 2)], "id string, pos int")
+    for inputs in (Inputs(items.union(items)), Inputs(items, twice)):
+        with pytest.raises(ValueError, match="duplicate ids"):
+            sweep.sweep_samples(inputs, [2], 1, ["random"])
+
+
 def test_square_file_of_a_small_frame(spark, tmp_path):
     vectors = example()
     ids, expected = list(vectors), distance_matrix(example())

@@ -118,51 +118,61 @@ def prepare_features(
 
 def cleaning_report(
     df: DataFrame,
-    features: Sequence[str],
-    items: DataFrame,
-    multi_value: Sequence[str],
-    taxonomy: DataFrame,
-    min_coverage: float,
+    features: Sequence[str] | None = None,
+    items: DataFrame | None = None,
+    multi_value: Sequence[str] | None = None,
+    taxonomy: DataFrame | None = None,
+    min_coverage: float | None = None,
+    inclusive: bool = False,
     id_col: str = "id",
 ) -> DataFrame:
-    """``(step, rows_before, cols_before, rows_after, cols_after)`` of the whole chain, in one pass."""
-    wide = clean_missing(select_features(df, features, id_col), features)
-    split = binarize(wide, multi_value)
-    final = feature_columns(split, id_col)
-    listed = items.select(F.col(items.columns[0]).alias(id_col)).distinct().withColumn("_listed", F.lit(True))
-    leaf = taxonomy.where("child_language_count = 0").select(F.col("id").alias(id_col)).distinct()
-    flagged = (
-        split.join(listed, id_col, "left")
-        .join(leaf.withColumn("_leaf", F.lit(True)), id_col, "left")
-        .select(
-            F.col("_listed").isNotNull().alias("listed"),
-            F.col("_leaf").isNotNull().alias("leaf"),
-            enough_coverage(final, min_coverage).alias("covered"),
-        )
-    )
-    listed_c, leaf_c = F.col("listed"), F.col("listed") & F.col("leaf")
-    counts = flagged.agg(
-        F.count(F.lit(1)).alias("n0"),
-        F.count_if(listed_c).alias("n1"),
-        F.count_if(leaf_c).alias("n2"),
-        F.count_if(leaf_c & F.col("covered")).alias("n3"),
-    )
-    n_raw, n_in, n_out = len(feature_columns(df, id_col)), len(features), len(final)
-    steps = (
-        ("1 features", "n0", n_raw, "n0", n_in),
-        ("2 items", "n0", n_in, "n1", n_in),
-        ("3 binarize", "n1", n_in, "n1", n_out),
-        ("4 macro", "n1", n_out, "n2", n_out),
-        ("5 crop", "n2", n_out, "n3", n_out),
-    )
+    """``(step, rows_before, cols_before, rows_after, cols_after)`` of :func:`prepare_features`, in one pass.
+
+    Steps without an argument are skipped there and have no row here.
+    """
+    chosen = list(features or feature_columns(df, id_col))
+    flagged = clean_missing(select_features(df, chosen, id_col), chosen)
+    if multi_value:
+        flagged = binarize(flagged, multi_value)
+    final = feature_columns(flagged, id_col)
+    n_raw, n_in, n_out = len(feature_columns(df, id_col)), len(chosen), len(final)
+    stays = F.lit(True)
+    counts, steps, last, width = [F.count(F.lit(1)).alias("n0")], [], "n0", n_in
+
+    def step(name: str, cols_after: int, keeps: Column | None = None) -> None:
+        nonlocal stays, last, width
+        before = last
+        if keeps is not None:
+            stays, last = stays & keeps, f"n{len(counts)}"
+            counts.append(F.count_if(stays).alias(last))
+        steps.append((name, before, n_raw if name == "1 features" else width, last, cols_after))
+        width = cols_after
+
+    if features:
+        step("1 features", n_in)
+    if items is not None:
+        listed = items.select(F.col(items.columns[0]).alias(id_col)).distinct().withColumn("_listed", F.lit(True))
+        flagged = flagged.join(listed, id_col, "left")
+        step("2 items", n_in, F.col("_listed").isNotNull())
+    if multi_value:
+        step("3 binarize", n_out)
+    if taxonomy is not None:
+        leaf = taxonomy.where("child_language_count = 0").select(F.col("id").alias(id_col)).distinct().withColumn("_leaf", F.lit(True))
+        flagged = flagged.join(leaf, id_col, "left")
+        step("4 macro", width, F.col("_leaf").isNotNull())
+    if min_coverage:
+        step("5 crop", width, enough_coverage(final, min_coverage, inclusive))
+    whole = flagged.agg(*counts)
     rows = [
         F.struct(
-            F.lit(step).alias("step"),
+            F.lit(name).alias("step"),
             F.col(before).alias("rows_before"),
             F.lit(cols_before).cast("bigint").alias("cols_before"),
             F.col(after).alias("rows_after"),
             F.lit(cols_after).cast("bigint").alias("cols_after"),
         )
-        for step, before, cols_before, after, cols_after in steps
+        for name, before, cols_before, after, cols_after in steps
     ]
-    return counts.select(F.inline(F.array(*rows)))
+    if not rows:
+        return df.sparkSession.createDataFrame([], "step string, rows_before bigint, cols_before bigint, rows_after bigint, cols_after bigint")
+    return whole.select(F.inline(F.array(*rows)))

@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from variform.operators import distance, diverse, pairwise, sampling
+from variform.operators import distance, diverse, pairwise, sampling, sets
 from variform.operators.greedy import MAXMIN, MAXSUM
 from variform.operators.sampling import Draw
 
@@ -27,6 +27,15 @@ class Inputs:
     counts: DataFrame | None = None  # (id, n)
     copies: bool = False
     _candidates: diverse.Candidates | None = field(default=None, repr=False)
+    _unique: bool = field(default=False, repr=False)
+
+    def assert_unique(self) -> None:
+        """An id that the items or the frame hold twice is an error, as its members would count twice; checked once."""
+        if not self._unique:
+            for table in (self.items, self.frame):
+                if table is not None:
+                    sets.assert_unique(table)
+            self._unique = True
 
     def candidates(self, k: int) -> diverse.Candidates:
         """Prepared once and shared by the greedy methods."""
@@ -92,6 +101,7 @@ def register(name: str, method: SamplingMethod) -> None:
 
 def draw(inputs: Inputs, methods: Iterable[str], draws: list[Draw]) -> DataFrame:
     """``samples(method, run, k, id)`` of all named methods; unknown names are skipped with a message."""
+    inputs.assert_unique()
     parts = []
     for name in methods:
         if name not in METHODS:

@@ -31,13 +31,13 @@ def prepare(
 ) -> DataFrame:
     """Clean a raw feature file and write the features and the distances between distinct vectors.
 
-    Writes ``features`` (CSV), ``members(id, profile)`` and ``distances(a, b, d, n_a, n_b)`` under
+    An id that the file holds twice is an error. Writes ``features`` (CSV), ``members(id, profile)`` and ``distances(a, b, d, n_a, n_b)`` under
     ``out`` and returns ``(id, x)`` of the items.
     """
     wide = cleaning.prepare_features(
         readers.read_features(spark, features_path), features, items, multi_value, taxonomy, min_coverage, inclusive
     )
-    kept = stage(wide)
+    kept = sets.assert_unique(stage(wide))
     writers.write_features(kept, f"{out}/features")
     vectors = cleaning.to_vector(kept, cleaning.feature_columns(kept))
     profiles = stage(collapse(vectors))

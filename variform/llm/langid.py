@@ -124,9 +124,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Model:
     chosen = known.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
     # equal texts of a language count once, so a text of many rows does not outweigh the sample
     counts = chosen.select("lang", "text").distinct().repartition(TASKS).mapInPandas(_count, "lang string, kind int, term string, n bigint")
-    # languages stay values: any text is a name, and names that differ in case are different
+    # languages stay values until their counts are numbered, so any text is a name
     each = counts.groupBy("kind", "term", "lang").agg(F.sum("n").alias("n"))
-    terms = stage(each.groupBy("kind", "term").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang")))
+    found = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
+    per_term = each.groupBy("kind", "term").agg(F.sum("n").alias("total"), found.alias("of"))
+    numbered = F.transform(F.array(*map(F.lit, langs)), lambda lang: F.coalesce(F.element_at("of", lang), F.lit(0)))
+    terms = stage(per_term.select("kind", "term", "total", numbered.alias("counts")))
     strong = terms.where("total > 1")
     # the most frequent entries of each kind; counts are thresholds, so one count goes in whole or not at all
     per_count = strong.groupBy("kind", "total").count().collect()  # bounded: distinct counts of a bounded sample
@@ -142,20 +145,13 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Model:
     for kind, least in floors.items():
         floor = floor.when(F.col("kind") == kind, least)
     rows = strong.where(F.col("total") >= floor).drop("total").collect()
-    place = {lang: k for k, lang in enumerate(langs)}
-
-    def spread(found: list) -> list[int]:
-        out = [0] * len(langs)
-        for lang, n in found:
-            out[place[lang]] = n
-        return out
-
-    per_lang = terms.select("kind", F.explode("by_lang").alias("l")).groupBy("kind", "l.lang").agg(F.sum("l.n").alias("n")).collect()
-    masses = {kind: spread([(r["lang"], r["n"]) for r in per_lang if r["kind"] == kind]) for kind in {r["kind"] for r in per_lang}}
+    masses: dict[int, list[int]] = {n: [0] * len(langs) for n in (0, *LENGTHS)}
+    for r in terms.select("kind", F.posexplode("counts").alias("at", "n")).groupBy("kind", "at").agg(F.sum("n").alias("n")).collect():
+        masses[r["kind"]][r["at"]] = r["n"]
     tables: dict[int, dict[str, tuple[float, ...]]] = {n: {} for n in (0, *LENGTHS)}
     for r in rows:
         mass = masses[r["kind"]]
-        tables[r["kind"]][r["term"]] = tuple(math.log((n + 0.5) / (m + 1.0)) for n, m in zip(spread(r["by_lang"]), mass))
+        tables[r["kind"]][r["term"]] = tuple(math.log((n + 0.5) / (m + 1.0)) for n, m in zip(r["counts"], mass))
     # only differences between languages matter, so the mean of each entry goes
     for entries in tables.values():
         for term, logs in entries.items():

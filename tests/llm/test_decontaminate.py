@@ -96,3 +96,25 @@ def test_clashing_names(spark):
     assert [tuple(r) for r in D.decontaminate(docs, items).collect()] == [(2, "c", 5, 6, 7)]
     cut = D.decontaminate(docs, items, remove="spans")
     assert cut.columns == docs.columns and sorted(tuple(r) for r in cut.collect()) == [(1, " ", 5, 6, 7), (2, "c", 5, 6, 7)]
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 12])
+def test_windows_over_the_ends_of_stretches(spark, monkeypatch, stretch):
+    monkeypatch.setattr(D, "STRETCH", stretch)
+    for seed in (11, 12):
+        docs, items = random_case(seed)
+        assert scanned(spark, docs, items) == brute(docs, items)
+
+
+def test_time_grows_with_the_length_of_a_text(spark):
+    import time
+
+    words = [f"w{k % 5000}" for k in range(160_000)]
+    items = [(1, " ".join(words[100:112]))]
+    seconds = []
+    for n in (2_000, 160_000, 2_000, 160_000):
+        texts = [(k, " ".join(words[k : k + n]), "x", 1) for k in range(0, len(words), n)]
+        begin = time.perf_counter()
+        scanned(spark, texts, items)
+        seconds.append(time.perf_counter() - begin)
+    assert seconds[3] < 4 * seconds[2] + 2  # one task instead of several, but no square

@@ -1,8 +1,8 @@
 """Benchmark decontamination: a broadcast hash set of normalised benchmark word windows meets every document's windows.
 
 Texts are lower-cased (A-Z) and cut into words. A benchmark item gives its windows of ``size`` consecutive words, or
-one window of all its words if it has fewer. Each document hashes its own windows in one pass; the hashes probe a
-broadcast table of the benchmark windows and the words themselves are compared inside the join, so a clash of hashes
+one window of all its words if it has fewer. Each document hashes its own windows in one pass, in stretches of
+``STRETCH`` words, so the work grows with the length of a text and not with its square; the hashes probe a broadcast table of the benchmark windows and the words themselves are compared inside the join, so a clash of hashes
 never counts. The benchmark goes out in blocks of at most ``block`` windows, however large it is.
 
 Defined cases: a null or empty text has no words and no hits; items without words have no windows; an item without an
@@ -21,6 +21,8 @@ from variform.llm.common import BETWEEN_WORDS, ascii_lower, spare, without, word
 WINDOW = 10
 #: Windows in one broadcast: about 300 bytes each with their words, so some 60 MB at most.
 BLOCK = 200_000
+#: Words of a text that are probed together.
+STRETCH = 128
 
 
 def _window_hash(hashes: Column, at: Column, size: int) -> Column:
@@ -43,16 +45,23 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def _probe(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """Rows of hits ``(key, at, length, items)`` and one row for each document, without ``at``, to count its words."""
-    source = docs.select("doc_id", F.xxhash64("text").alias("print"), words(F.col("text")).alias("words"))
+    """Rows of hits ``(key, at, length, items)`` and one row for each document, without ``at``, to count its words.
+
+    A text is first cut in stretches that overlap by a window less a word, so what a probe carries to be compared is a
+    stretch and not the text, however long that is.
+    """
+    source = docs.select("doc_id", F.xxhash64("text").alias("print"), words(F.col("text")).alias("all"))
+    n = F.size("all")
+    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(STRETCH))
+    cut = F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice("all", s + 1, F.lit(STRETCH + max(lengths) - 1)).alias("words")))
+    source = source.select("doc_id", "print", n.alias("n"), F.explode(cut).alias("cut")).select("doc_id", "print", "n", "cut.start", "cut.words")
     source = source.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    runs = [_runs(n) for n in lengths]
-    # windows of every length one after the other, and an entry at the end that stands for the document
-    probes = source.select(
-        "doc_id", "print", "words", F.size("words").alias("n"), F.posexplode(F.array_append(F.concat(*runs), F.lit(None))).alias("pos", "h")
-    )
-    which = F.floor(F.col("pos") / F.greatest("n", F.lit(1))) + 1
-    at = F.col("pos") % F.greatest("n", F.lit(1)) + 1
+    runs = F.concat(*[_runs(n) for n in lengths])
+    # windows of every length one after the other, and in the first stretch an entry at the end that stands for the document
+    probed = F.when(F.col("start") == 0, F.array_append(runs, F.lit(None))).otherwise(runs)
+    probes = source.select("doc_id", "print", "words", "n", "start", F.size("words").alias("here"), F.posexplode(probed).alias("pos", "h"))
+    which = F.floor(F.col("pos") / F.greatest("here", F.lit(1))) + 1
+    at = F.col("pos") % F.greatest("here", F.lit(1)) + 1
     keyed = reduce(
         lambda a, b: a.unionByName(b),
         [
@@ -68,9 +77,9 @@ def _probe(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame
         & (F.slice("words", at.cast("int"), F.col("length")) == F.col("w"))
     )
     found = probes.join(F.broadcast(keyed), same, "left")
-    whole = F.col("pos") == F.col("n") * len(lengths)
+    whole = F.col("pos") == F.col("here") * len(lengths)
     return found.where(whole | F.col("wh").isNotNull()).select(
-        "doc_id", "print", "n", whole.alias("whole"), F.when(~whole, at.cast("int")).alias("at"), F.when(~whole, F.col("length")).alias("length"), "items"
+        "doc_id", "print", "n", whole.alias("whole"), F.when(~whole, (F.col("start") + at).cast("int")).alias("at"), F.when(~whole, F.col("length")).alias("length"), "items"
     )
 
 

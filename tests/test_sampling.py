@@ -141,3 +141,17 @@ def test_rank_filter_reaches_below_the_shuffle(spark):
     rows = spark.range(100).withColumn("key", F.col("id") % 3)
     plan = ranks.first_per_key(rows, ["key"], [F.col("id")], 5)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_rows_of_draws_are_never_broadcast(spark, monkeypatch):
+    """Only the cuts of the draws may go to every task, or nothing where there are too many."""
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 0.05)
+    items = spark.range(400).select("id", F.concat(F.lit("g"), (F.col("id") % 5).cast("string")).alias("group"))
+    draws = [Draw(run, k, run + k) for k in (3, 35) for run in range(2)]
+    makers = (lambda: sampling.random_draws(items, draws), lambda: sampling.stratified_draws(items, "group", draws))
+    plain = [{k: sorted(v) for k, v in drawn(make()).items()} for make in makers]
+    plan = makers[0]()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan
+    monkeypatch.setattr(ranks, "FEW_KEYS", 0)
+    assert "BroadcastHashJoin" not in makers[0]()._jdf.queryExecution().executedPlan().toString()
+    assert plain == [{k: sorted(v) for k, v in drawn(make()).items()} for make in makers]

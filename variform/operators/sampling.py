@@ -57,7 +57,7 @@ def random_draws(frame: DataFrame, draws: list[Draw]) -> DataFrame:
     n = frame.count()
     _check(draws, n)
     keyed = _per_draw(frame.select("id"), draws).withColumn("h", shuffle_key(F.col("seed"), "id"))
-    return _label(lowest(keyed, ["run", "k"], n), "random")
+    return _label(lowest(keyed, ["run", "k"], n, len(draws)), "random")
 
 
 def stratified_draws(items: DataFrame, key: str, draws: list[Draw], method: str = "stratified") -> DataFrame:
@@ -86,20 +86,20 @@ def stratified_draws(items: DataFrame, key: str, draws: list[Draw], method: str
         parts.append(first.select("run", "k", "seed", F.col("_first.id").alias("id")))
     if several:
         keyed = _per_draw(grouped, several, F.floor(F.col("k") / n_groups)).withColumn("h", shuffle_key(F.col("seed"), "id"))
-        parts.append(lowest(keyed, ["run", "k", "seed", "_group"], n).drop("_group"))
+        parts.append(lowest(keyed, ["run", "k", "seed", "_group"], n, len(several) * groups).drop("_group"))
     table = reduce(lambda a, b: a.unionByName(b), parts) if parts else None
     picks = table.select("run", "k", "id", F.concat(F.lit("0"), shuffle_key(F.col("seed"), "id", "group")).alias("h"))
     filling = [d for d in draws if d.k > groups]
     if filling:
         # of the k lowest no more are picked already than the picks that need no filling
         keyed = _per_draw(items.select("id"), filling).withColumn("h", shuffle_key(F.col("seed"), "id", "fill"))
-        low = lowest(keyed.drop("seed"), ["run", "k"], n)
+        low = lowest(keyed.drop("seed"), ["run", "k"], n, len(filling))
         seeds = _draw_table(items, filling).select("run", "k", "seed")
         fill = low.join(seeds, ["run", "k"]).select("run", "k", "id", F.concat(F.lit("1"), shuffle_key(F.col("seed"), "id", "fill")).alias("h"))
         # an item that is picked and also drawn for filling counts as picked
         picks = picks.unionByName(fill).groupBy("run", "k", "id").agg(F.min("h").alias("h"))
     most = max(max(d.k, groups) for d in draws) + max(d.k for d in draws)
-    return _label(lowest(picks.withColumn("need", F.col("k")), ["run", "k"], most), method)
+    return _label(lowest(picks.withColumn("need", F.col("k")), ["run", "k"], most, len(draws)), method)
 
 
 def convenience_draws(frame: DataFrame, counts: DataFrame, draws: list[Draw]) -> DataFrame:
@@ -123,7 +123,7 @@ def convenience_draws(frame: DataFrame, counts: DataFrame, draws: list[Draw]) ->
     each = used.where(F.col("n") >= lowest_bar).withColumn("_draw", F.explode(bars)).select("id", "n", "_draw.*")
     above = each.where(F.col("n") > F.col("_last_n")).select("run", "k", "id")
     ties = each.where(F.col("n") == F.col("_last_n")).withColumn("h", shuffle_key(F.col("seed"), "id"))
-    return _label(above.unionByName(lowest(ties.select("run", "k", "id", "h", "need"), ["run", "k"], total)), "convenience")
+    return _label(above.unionByName(lowest(ties.select("run", "k", "id", "h", "need"), ["run", "k"], total, len(draws))), "convenience")
 
 
 def random_split(ids: DataFrame, k: int, seed: int = 0) -> DataFrame:

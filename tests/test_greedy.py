@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +152,26 @@ def test_impossible_sizes(spark, k):
     relation = pairwise.pair_relation(items.withColumn("w", F.lit(1)))
     with pytest.raises(ValueError, match="Invalid value"):
         diverse.sample_from_distances(relation.select("a", "b", "d").union(relation.select("b", "a", "d")), k, "maxmin")
+
+
+def test_bands_bring_no_vectors_of_every_task_to_the_driver(spark, monkeypatch):
+    vectors = random_vectors(120, 6, 5, 0.2, 13)
+    items = items_table(spark, vectors).withColumn("pos", F.col("id")).withColumn("w", F.lit(1)).repartition(6)
+    plans, collect = [], type(items).collect
+    monkeypatch.setattr(type(items), "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+    monkeypatch.setattr(greedy, "FIRST_BAND", 2)
+    monkeypatch.setattr(greedy, "LARGEST_BAND", 8)
+    assert greedy.first_pick(items).id == greedy_picks(distance_matrix(vectors), 1, "maxsum")[0]
+    tops = [line for plan in plans for line in plan.splitlines() if "TakeOrderedAndProject" in line]
+    assert tops and not any(re.search(r"\bx#", line) for line in tops)
+
+
+def test_equal_bounds_are_dealt_by_place(spark, monkeypatch):
+    """The corners of a square have one bound; each is in one band, and the first of them wins."""
+    corners = [(i, 9 - i, [float(i % 2), float(i // 2)], 1) for i in range(4)]
+    items = spark.createDataFrame(corners, "id bigint, pos bigint, x array<double>, w int")
+    seen, means = [], greedy._mean_distances
+    monkeypatch.setattr(greedy, "_mean_distances", lambda v, band, m: seen.extend(p.id for p in band) or means(v, band, m))
+    monkeypatch.setattr(greedy, "FIRST_BAND", 1)
+    monkeypatch.setattr(greedy, "LARGEST_BAND", 1)
+    assert greedy.first_pick(items).id == 3 and seen == [3, 2, 1, 0]

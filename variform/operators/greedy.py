@@ -432,6 +432,17 @@ def _mean_distances(vectors: DataFrame, band: list[Pick], metric: str) -> np.nda
     return means
 
 
+def _band_end(rest: DataFrame, size: int):
+    """``(n, last)``: how many rows the band of the ``size`` highest bounds has, and bound and place of its last one.
+
+    Tasks find the end of the band without the vectors and among themselves, so the driver gets a row whatever their
+    number.
+    """
+    head = rest.select("bound", "pos").orderBy(F.desc("bound"), "pos").limit(size)
+    falling = F.struct((-F.col("bound")).alias("falling"), "pos")
+    return head.agg(F.count(F.lit(1)).alias("n"), F.max(falling).alias("last")).first()
+
+
 def first_pick(vectors: DataFrame, metric: str = "euclidean") -> Pick:
     """The item of largest summed distance to all items, ties to the smallest ``pos``.
 
@@ -451,15 +462,18 @@ def first_pick(vectors: DataFrame, metric: str = "euclidean") -> Pick:
     ranked = _bounded(vectors.select("id", "pos", "x", "w"), moments)
     best: list[tuple[float, Pick]] = []  # the largest means so far, all that may be equal
     rest, size = ranked, FIRST_BAND
-    while True:
-        rows = rest.orderBy(F.desc("bound"), "pos").limit(size + 1).collect()
-        band = [Pick(r["id"], r["pos"], np.array(r["x"], dtype=float)) for r in rows[:size]]
+    while (end := _band_end(rest, size))["n"]:
+        bound, last = -end["last"]["falling"], F.lit(end["last"]["pos"])
+        placed = F.coalesce(F.col("pos") <= last, F.col("pos").isNull())
+        inside = (F.col("bound") > bound) | ((F.col("bound") == bound) & placed)
+        rows = sorted((rest.where(inside) if end["n"] == size else rest).collect(), key=lambda r: -r["bound"])
+        band = [Pick(r["id"], r["pos"], np.array(r["x"], dtype=float)) for r in rows]
         means = _mean_distances(vectors, band, metric)
         best += zip(means.tolist(), band)
         top = max(mean for mean, _ in best)
         best = [(mean, p) for mean, p in best if mean >= top * (1 - TIE)]
-        if len(rows) <= size or rows[size]["bound"] < top * (1 - 2 * TIE):
-            return min((p for _, p in best), key=lambda p: p.pos)
-        last = rows[size - 1]
-        rest = ranked.where((F.col("bound") < last["bound"]) | ((F.col("bound") == last["bound"]) & (F.col("pos") > F.lit(last["pos"]))))
+        if end["n"] < size:
+            break
+        rest = ranked.where(~inside & (F.col("bound") >= top * (1 - 2 * TIE)))
         size = min(2 * size, LARGEST_BAND)
+    return min((p for _, p in best), key=lambda p: p.pos)

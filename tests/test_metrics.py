@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from data import distance_matrix, entropy, items_table, overlap, random_vectors
 from variform.functions import kernels
-from variform.operators import distance, metrics, reports
+from variform.operators import distance, metrics, reports, sampling
+from variform.plans.methods import Inputs
+from variform.session import stage
 
 
 def test_against_direct_loops(spark):
@@ -135,3 +137,25 @@ def test_weights_of_any_size_are_counted_exactly(diagonal):
             if total:
                 want = (want[0] + Fraction(cells[i][j] * int(same), int(total)), want[1] + cells[i][j])
     assert found["every_position"] == want
+
+
+def test_items_are_merged_by_id_and_never_broadcast(spark, monkeypatch):
+    """The estimate of a table says little of its size, so a small one must be merged too."""
+    plans = []
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df)
+
+    monkeypatch.setattr(metrics, "stage", watched)
+    monkeypatch.setattr(sampling, "stage", watched)
+    items = spark.range(9).select("id", F.array((F.col("id") % 3).cast("double"), F.col("id").cast("double")).alias("x"))
+    groups = spark.range(20).select("id", F.concat(F.lit("g"), (F.col("id") % 4).cast("string")).alias("group"))
+    drawn = sampling.random_draws(items.select("id"), [sampling.Draw(0, 3, 1)])
+    assert metrics.evaluate(drawn, items).count() == 1
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+    counts = groups.groupBy("id").count().withColumnRenamed("count", "n")
+    assert sampling.convenience_draws(items.select("id"), counts, [sampling.Draw(0, 3, 1)]).count() == 3
+    assert "SortMergeJoin" in plans[-1] and "BroadcastHashJoin" not in plans[-1]
+    framed = Inputs(items, families=groups).framed(groups)
+    assert framed.count() == 9 and "SortMergeJoin" in framed._jdf.queryExecution().executedPlan().toString()

@@ -102,7 +102,8 @@ def evaluate(
         raise ValueError(f"Invalid value {fvo_mode=}, choose from {FVO_MODES}")
     keys = ("method", "run", "k")
     sample_id = F.to_json(F.struct(*keys))
-    featured = items.select("id", "x", F.lit(True).alias("_known"))
+    # vectors are many times their estimate, so items are merged by id and never broadcast
+    featured = items.select("id", "x", F.lit(True).alias("_known")).hint("merge")
     drawn = stage(samples.withColumn("sample_id", sample_id).join(featured, "id", "left"))
     unknown = drawn.where("_known IS NULL").select("id").distinct().take(5)
     if unknown:

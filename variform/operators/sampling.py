@@ -108,7 +108,7 @@ def convenience_draws(frame: DataFrame, counts: DataFrame, draws: list[Draw]) ->
     How many items have each count tells the count of the last item, which no seed changes; only the items that have
     just that count are drawn.
     """
-    used = counts.select("id", "n").join(frame.select("id"), "id", "left_semi")
+    used = counts.select("id", "n").join(frame.select("id").hint("merge"), "id", "left_semi")
     by_count = stage(used.groupBy("n").agg(F.count(F.lit(1)).alias("_items")))
     total = by_count.agg(F.coalesce(F.sum("_items"), F.lit(0)).alias("n")).first()["n"]
     _check(draws, total)

@@ -53,7 +53,7 @@ class Inputs:
     def framed(self, table: DataFrame) -> DataFrame:
         """Rows of the frame; without one, of the items, as an item without features cannot be scored."""
         known = self.items if self.frame is None else self.frame
-        return table if table is self.items and self.frame is None else table.join(known.select("id"), "id", "left_semi")
+        return table if table is self.items and self.frame is None else table.join(known.select("id").hint("merge"), "id", "left_semi")
 
 
 SamplingMethod = Callable[[Inputs, list[Draw]], DataFrame]

@@ -107,6 +107,48 @@ def test_first_pick_of_gappy_features_settles_early(spark, monkeypatch):
     assert found.id == sums["id"] and sum(summed) < 3000
 
 
+def weighed(spark, x, w):
+    rows = [(i, i, [None if np.isnan(v) else float(v) for v in row], int(n)) for i, (row, n) in enumerate(zip(x, w))]
+    return spark.createDataFrame(rows, "id bigint, pos bigint, x array<double>, w int")
+
+
+def test_first_pick_of_complete_features_settles_early(spark, monkeypatch):
+    """Directions without structure are almost equally far from all others: squares alone leave every item in the race."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(6000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    items = weighed(spark, x, rng.integers(1, 4, len(x))).repartition(4).cache()
+    summed, means = [], greedy._mean_distances
+    monkeypatch.setattr(greedy, "_mean_distances", lambda v, band, m: summed.append(len(band)) or means(v, band, m))
+    found = greedy.first_pick(items)
+    sums = pairwise.row_sums(items).orderBy(F.desc("sum_d"), "id").first()
+    assert found.id == sums["id"] and sum(summed) < 1000
+
+
+@pytest.mark.parametrize("data", ["spread", "shifted", "outliers", "values", "gaps", "copies"])
+def test_cubic_bound_is_above_the_mean_distance(spark, data):
+    rng = np.random.default_rng(23)
+    x, w = rng.normal(size=(150, 6)), rng.integers(1, 5, 150)
+    if data == "shifted":
+        x += 1e4
+    elif data == "outliers":
+        x[:3] *= 1e4
+    elif data == "values":
+        x = np.round(x)
+    elif data == "gaps":
+        x[rng.random(x.shape) < 0.1] = np.nan
+    elif data == "copies":
+        x[5:] = x[0]
+    items = weighed(spark, x, w).repartition(3)
+    moments = greedy._moments(items)
+    plain = greedy._mean_bound(moments, x)
+    cubic = greedy._mean_bound(moments, x, greedy._cubic(items, moments[-1]))
+    d = distance_matrix({i: [None if np.isnan(v) else v for v in row] for i, row in enumerate(x)})
+    mean = d @ w / w.sum()
+    assert (cubic >= mean).all() and (cubic <= plain).all()
+    assert data not in ("spread", "gaps") or (cubic - mean).sum() < 0.9 * (plain - mean).sum()
+
+
 def test_frame_order_decides_ties(spark):
     vectors = {"a": [0.0], "b": [1.0], "c": [0.0], "d": [1.0]}
     items = items_table(spark, vectors)

@@ -40,8 +40,16 @@ KEEP = 64
 FIRST_BAND, LARGEST_BAND = 256, 4096
 # widest vectors whose moments of second order are kept, three numbers for each two positions
 SECOND_ORDER = 512
-# classes of items by how many features they have, each with moments of its own
+# classes of items by how many features they have, each with moments of its own; those with all of them are one more
 CLASSES = 8
+# widest vectors whose moments of third order are kept, a third of the cube of the width
+THIRD_ORDER = 128
+# rows that moments of third order are added up over at a time
+THIRD_ROWS = 2048
+# points of cubic bounds, as shares of the mean square
+TOUCHING = (0.7, 0.8, 0.9, 0.95, 1.0, 1.05, 1.1, 1.2, 1.4)
+# rounding of sums over any number of rows, as a share of their largest term
+ROUNDING = 1e-10
 
 
 @dataclass
@@ -325,7 +333,8 @@ class _Moments:
         with q the sum of squared differences over the m shared positions. Of an item with a features m lies between
         low = a + fewest - width, one at least, and high = min(a, most), where 1 / m is at most the chord
         (low + high - m) / (low * high). So the sum is at most ((low + high) * sum of q - sum of q * m) / (low * high),
-        and both sums follow from the moments. Of wide vectors, which have no moments of two positions, 1 / low is taken.
+        and both sums follow from the moments. Of items that have all features m is a, and of wide vectors, which have no
+        moments of two positions, 1 / low is taken.
         """
         width = x.shape[1]
         present = ~np.isnan(x)
@@ -357,11 +366,13 @@ def _moments(vectors: DataFrame) -> list[_Moments]:
             x, w = kernels.matrix(batch.column("x")), batch.column("w").to_numpy(zero_copy_only=False).astype(float)
             present = ~np.isnan(x)
             p, x0, held = present.astype(float), np.where(present, x, 0.0), present.sum(axis=1)
-            wide, kind = x.shape[1] > SECOND_ORDER, held * CLASSES // (x.shape[1] + 1)
+            kind = np.where(held == x.shape[1], CLASSES, held * CLASSES // (x.shape[1] + 1))
             for c in np.unique(kind).tolist():
                 at = kind == c
+                # where nothing is missing, sums over items that have k are sums over all
+                single = c == CLASSES or x.shape[1] > SECOND_ORDER
                 sides = [w[at, None] * v[at] for v in (p, x0, x0 * x0)]
-                part = np.stack([side.sum(axis=0)[:, None] if wide else side.T @ p[at] for side in sides])
+                part = np.stack([side.sum(axis=0)[:, None] if single else side.T @ p[at] for side in sides])
                 old = found.get(c, [0.0, 0.0, held.max(), 0])
                 found[c] = [old[0] + part, old[1] + w[at].sum(), min(old[2], held[at].min()), max(old[3], held[at].max())]
         for c, (sums, weight, fewest, most) in found.items():
@@ -380,25 +391,117 @@ def _moments(vectors: DataFrame) -> list[_Moments]:
     for c in sorted({r["c"] for r in rows}):
         own = sorted((r for r in rows if r["c"] == c), key=lambda r: r["j"])
         ones, first, second = (np.array([r[m] for r in own], dtype=float) for m in ("ones", "first", "second"))
-        if len(own) > SECOND_ORDER:
+        if ones.shape[1] == 1:
             ones, first, second = ones[:, 0], first[:, 0], second[:, 0]
         out.append(_Moments(own[0]["weight"], own[0]["fewest"], own[0]["most"], ones, first, second))
     return out
 
 
-def _mean_bound(moments: list[_Moments], x: np.ndarray) -> np.ndarray:
-    """Upper bound of each row's mean distance to all items."""
-    return sum(m.weight * m.bound(x) for m in moments) / sum(m.weight for m in moments)
+@dataclass
+class _Cubic:
+    """Mean products of up to three coordinates of ``z = (1, y - centre, |y - centre|^2 - spread)`` over complete items ``y``.
+
+    ``parts[j]`` is over ``z[j] * z[k] * z[l]`` for ``k, l >= j``. Any centre and spread are right; those of the items
+    keep the sums small.
+    """
 
+    centre: np.ndarray
+    spread: float
+    reach: float  # longest distance from the centre
+    parts: list[np.ndarray]
 
-def _bounded(vectors: DataFrame, moments: list[_Moments]) -> DataFrame:
-    """``vectors`` with the bound of each item's mean distance, staged."""
+    def bound(self, x: np.ndarray) -> np.ndarray:
+        """Upper bound of the mean distance of complete rows to the items.
+
+        A root has negative derivatives of fourth order, so about any point its cubic Taylor polynomial lies above it
+        everywhere. The squared distance of x and y is linear in z, so the mean of such a polynomial of it follows from
+        the products; the least over some points is taken. The gap is of fourth order in the relative spread of the
+        squares, that of the root of their mean is of second.
+        """
+        y = x - self.centre
+        far = (y * y).sum(axis=1)
+        # the squared distance is usual + b @ z[1:]
+        usual, b = far + self.spread, np.column_stack([-2.0 * y, np.ones(len(y))])
+        first = b @ self.parts[0][0, 1:]
+        second = ((b @ self.parts[0][1:, 1:]) * b).sum(axis=1)
+        third = np.zeros(len(y))
+        for j, part in enumerate(self.parts[1:]):
+            # products with j as their first position stand for all orders of their positions
+            times = np.full(part.shape, 3.0)
+            times[0], times[:, 0] = 1.5, 1.5
+            times[0, 0] = 1.0
+            v = b[:, j:]
+            third += v[:, 0] * ((v @ (part * times)) * v).sum(axis=1)
+        least = np.full(len(y), np.inf)
+        with np.errstate(all="ignore"):
+            for share in TOUCHING:
+                q, e = usual * share, usual * (1.0 - share)
+                u = (first + e) / q
+                uu = (second + 2.0 * e * first + e * e) / q**2
+                uuu = (third + 3.0 * e * second + 3.0 * e * e * first + e**3) / q**3
+                largest = ((np.sqrt(far) + self.reach) ** 2 + self.spread) / q
+                slack = ROUNDING * (1.0 + largest + largest**2 + largest**3)
+                found = np.sqrt(q) * (1.0 + u / 2.0 - uu / 8.0 + uuu / 16.0 + slack)
+                least = np.where(np.isfinite(found), np.minimum(least, found), least)
+        return least
+
+
+def _cubic(vectors: DataFrame, whole: _Moments) -> _Cubic:
+    """Products over the complete items, whose moments are ``whole``, in one scan; a task sends their sums."""
+    centre = whole.first / whole.weight
+    spread = max(float(whole.second.sum() / whole.weight - centre @ centre), 0.0)
+    size = len(centre) + 2
+
+    def scan(batches):
+        parts, reach = [np.zeros((size - j, size - j)) for j in range(size)], 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, w = kernels.matrix(batch.column("x")), batch.column("w").to_numpy(zero_copy_only=False).astype(float)
+            at = ~np.isnan(x).any(axis=1)
+            x, w = x[at] - centre, w[at]
+            for start in range(0, len(x), THIRD_ROWS):
+                y, v = x[start : start + THIRD_ROWS], w[start : start + THIRD_ROWS]
+                far = (y * y).sum(axis=1)
+                reach = max(reach, float(np.sqrt(far.max())))
+                # positions as rows, so that each starts a run of memory
+                z = np.ascontiguousarray(np.column_stack([np.ones(len(y)), y, far - spread]).T)
+                for j in range(size):
+                    parts[j] += (z[j:] * (v * z[j])) @ z[j:].T
+        names = ["j", "sums", "reach"]
+        yield pa.record_batch([pa.array(np.arange(size), pa.int32()), pa.array([p.ravel() for p in parts]), pa.array([reach] * size)], names=names)
+
+    def add(table: pa.Table) -> pa.Table:
+        sums = np.zeros(len(table.column("sums")[0]))
+        for part in table.column("sums"):
+            sums += part.values.to_numpy()
+        return pa.table({"j": table.column("j").slice(0, 1), "sums": [sums], "reach": [pc.max(table.column("reach")).as_py()]})
+
+    fields = "j int, sums array<double>, reach double"
+    rows = sorted(vectors.select("x", "w").mapInArrow(scan, fields).groupBy("j").applyInArrow(add, fields).collect(), key=lambda r: r["j"])
+    parts = [np.array(r["sums"]).reshape(size - r["j"], -1) / whole.weight for r in rows]
+    return _Cubic(centre, spread, rows[0]["reach"], parts)
+
+
+def _mean_bound(moments: list[_Moments], x: np.ndarray, cubic: _Cubic | None = None) -> np.ndarray:
+    """Upper bound of each row's mean distance to all items; ``cubic`` is of the last class, that of complete items."""
+    bounds = [m.bound(x) for m in moments]
+    if cubic is not None:
+        at = ~np.isnan(x).any(axis=1)
+        bounds[-1][at] = np.minimum(bounds[-1][at], cubic.bound(x[at]))
+    return sum(m.weight * bound for m, bound in zip(moments, bounds)) / sum(m.weight for m in moments)
+
+
+def _bounded(vectors: DataFrame, moments: list[_Moments], cubic: _Cubic | None = None, least: float = -np.inf) -> DataFrame:
+    """``vectors(id, pos, x, w)`` with the bound of each item's mean distance, those of ``least`` or more, staged."""
+    vectors = vectors.select("id", "pos", "x", "w")
     schema = T.StructType([*vectors.schema.fields, T.StructField("bound", T.DoubleType())])
 
     def scan(batches):
         for batch in batches:
             if batch.num_rows:
-                yield batch.append_column("bound", pa.array(_mean_bound(moments, kernels.matrix(batch.column("x")))))
+                bound = _mean_bound(moments, kernels.matrix(batch.column("x")), cubic)
+                yield batch.append_column("bound", pa.array(bound)).filter(pa.array(~(bound < least)))
 
     return stage(vectors.mapInArrow(scan, schema))
 
@@ -414,8 +517,11 @@ def _mean_distances(vectors: DataFrame, band: list[Pick], metric: str) -> np.nda
             if batch.num_rows:
                 w = batch.column("w").to_numpy(zero_copy_only=False).astype(float)
                 x = kernels.matrix(batch.column("x"))
-                for start in range(0, len(x), 1024):
-                    sums += w[start : start + 1024] @ block(x[start : start + 1024], points)
+                # tiles of two megabytes
+                for start in range(0, len(x), 512):
+                    for first in range(0, len(points), 512):
+                        d = block(x[start : start + 512], points[first : first + 512])
+                        sums[first : first + 512] += w[start : start + 512] @ d
                 mass += w.sum()
         yield pa.record_batch({"i": np.arange(len(points)), "s": sums, "w": np.full(len(points), mass)})
 
@@ -443,12 +549,22 @@ def _band_end(rest: DataFrame, size: int):
     return head.agg(F.count(F.lit(1)).alias("n"), F.max(falling).alias("last")).first()
 
 
+def _costs_more(rest: DataFrame, moments: list[_Moments]) -> bool:
+    """Whether exact sums of ``rest`` cost more than the scan for its cubic bounds, which some items must have."""
+    width = len(moments[-1].ones)
+    least = max(LARGEST_BAND, width * width)
+    if moments[-1].fewest < width or width > THIRD_ORDER or sum(m.weight for m in moments) <= least:
+        return False
+    return rest.count() > least
+
+
 def first_pick(vectors: DataFrame, metric: str = "euclidean") -> Pick:
     """The item of largest summed distance to all items, ties to the smallest ``pos``.
 
     ``vectors(id, pos, x, w)`` holds the distinct vectors and how many items stand behind each. A bound that costs two
     scans ranks them, and exact sums are computed for the items of highest bound, twice as many each time, until no
-    other bound reaches the largest sum. Kilometres have no such bound; they are summed in block pairs.
+    other bound reaches the largest sum. Where the first band leaves so many items that their sums would cost more, a
+    sharper bound, two scans again, ranks those anew. Kilometres have no such bounds; they are summed in block pairs.
     """
     if metric != "euclidean":
         sums = stage(vectors.join(pairwise.row_sums(vectors, metric), "id"))
@@ -459,9 +575,9 @@ def first_pick(vectors: DataFrame, metric: str = "euclidean") -> Pick:
     moments = _moments(vectors)
     if not moments:
         raise ValueError("Invalid value, there are no items to sample from")
-    ranked = _bounded(vectors.select("id", "pos", "x", "w"), moments)
+    ranked = _bounded(vectors, moments)
     best: list[tuple[float, Pick]] = []  # the largest means so far, all that may be equal
-    rest, size = ranked, FIRST_BAND
+    rest, size, sharp = ranked, FIRST_BAND, False
     while (end := _band_end(rest, size))["n"]:
         bound, last = -end["last"]["falling"], F.lit(end["last"]["pos"])
         placed = F.coalesce(F.col("pos") <= last, F.col("pos").isNull())
@@ -474,6 +590,10 @@ def first_pick(vectors: DataFrame, metric: str = "euclidean") -> Pick:
         best = [(mean, p) for mean, p in best if mean >= top * (1 - TIE)]
         if end["n"] < size:
             break
-        rest = ranked.where(~inside & (F.col("bound") >= top * (1 - 2 * TIE)))
+        least = top * (1 - 2 * TIE)
+        rest = ranked.where(~inside & (F.col("bound") >= least))
         size = min(2 * size, LARGEST_BAND)
+        if not sharp and _costs_more(rest, moments):
+            ranked = rest = _bounded(rest, moments, _cubic(vectors, moments[-1]), least)
+            size, sharp = FIRST_BAND, True
     return min((p for _, p in best), key=lambda p: p.pos)

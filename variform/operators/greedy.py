@@ -44,7 +44,7 @@ SECOND_ORDER = 512
 CLASSES = 8
 # widest vectors whose moments of third order are kept, a third of the cube of the width
 THIRD_ORDER = 128
-# rows that moments of third order are added up over at a time
+# rows that moments of third order are added up over, and applied to, at a time
 THIRD_ROWS = 2048
 # points of cubic bounds, as shares of the mean square
 TOUCHING = (0.7, 0.8, 0.9, 0.95, 1.0, 1.05, 1.1, 1.2, 1.4)
@@ -399,16 +399,18 @@ def _moments(vectors: DataFrame) -> list[_Moments]:
 
 @dataclass
 class _Cubic:
-    """Mean products of up to three coordinates of ``z = (1, y - centre, |y - centre|^2 - spread)`` over complete items ``y``.
+    """Mean products of up to three coordinates of ``z = (y - centre, |y - centre|^2 - spread)`` over complete items ``y``.
 
-    ``parts[j]`` is over ``z[j] * z[k] * z[l]`` for ``k, l >= j``. Any centre and spread are right; those of the items
-    keep the sums small.
+    ``third[j]`` is over ``z[j] * z[k] * z[l]`` for ``k, l >= j``, as many times as there are orders of the three, shared
+    by ``k, l`` and ``l, k``. Any centre and spread are right; those of the items keep the sums small.
     """
 
     centre: np.ndarray
     spread: float
     reach: float  # longest distance from the centre
-    parts: list[np.ndarray]
+    first: np.ndarray
+    second: np.ndarray
+    third: list[np.ndarray]
 
     def bound(self, x: np.ndarray) -> np.ndarray:
         """Upper bound of the mean distance of complete rows to the items.
@@ -418,20 +420,14 @@ class _Cubic:
         the products; the least over some points is taken. The gap is of fourth order in the relative spread of the
         squares, that of the root of their mean is of second.
         """
+        if len(x) > THIRD_ROWS:
+            return np.concatenate([self.bound(x[start : start + THIRD_ROWS]) for start in range(0, len(x), THIRD_ROWS)])
         y = x - self.centre
         far = (y * y).sum(axis=1)
-        # the squared distance is usual + b @ z[1:]
-        usual, b = far + self.spread, np.column_stack([-2.0 * y, np.ones(len(y))])
-        first = b @ self.parts[0][0, 1:]
-        second = ((b @ self.parts[0][1:, 1:]) * b).sum(axis=1)
-        third = np.zeros(len(y))
-        for j, part in enumerate(self.parts[1:]):
-            # products with j as their first position stand for all orders of their positions
-            times = np.full(part.shape, 3.0)
-            times[0], times[:, 0] = 1.5, 1.5
-            times[0, 0] = 1.0
-            v = b[:, j:]
-            third += v[:, 0] * ((v @ (part * times)) * v).sum(axis=1)
+        # the squared distance is usual + b @ z; positions are rows, so that each starts a run of memory
+        usual, b = far + self.spread, np.vstack([-2.0 * y.T, np.ones(len(y))])
+        first, second = self.first @ b, ((self.second @ b) * b).sum(axis=0)
+        third = sum(b[j] * ((part @ b[j:]) * b[j:]).sum(axis=0) for j, part in enumerate(self.third))
         least = np.full(len(y), np.inf)
         with np.errstate(all="ignore"):
             for share in TOUCHING:
@@ -464,7 +460,6 @@ def _cubic(vectors: DataFrame, whole: _Moments) -> _Cubic:
                 y, v = x[start : start + THIRD_ROWS], w[start : start + THIRD_ROWS]
                 far = (y * y).sum(axis=1)
                 reach = max(reach, float(np.sqrt(far.max())))
-                # positions as rows, so that each starts a run of memory
                 z = np.ascontiguousarray(np.column_stack([np.ones(len(y)), y, far - spread]).T)
                 for j in range(size):
                     parts[j] += (z[j:] * (v * z[j])) @ z[j:].T
@@ -479,31 +474,40 @@ def _cubic(vectors: DataFrame, whole: _Moments) -> _Cubic:
 
     fields = "j int, sums array<double>, reach double"
     rows = sorted(vectors.select("x", "w").mapInArrow(scan, fields).groupBy("j").applyInArrow(add, fields).collect(), key=lambda r: r["j"])
-    parts = [np.array(r["sums"]).reshape(size - r["j"], -1) / whole.weight for r in rows]
-    return _Cubic(centre, spread, rows[0]["reach"], parts)
+    pairs, *third = (np.array(r["sums"]).reshape(size - r["j"], -1) / whole.weight for r in rows)
+    for part in third:
+        part[1:, 1:] *= 3.0
+        part[0, 1:] *= 1.5
+        part[1:, 0] *= 1.5
+    return _Cubic(centre, spread, rows[0]["reach"], pairs[0, 1:], pairs[1:, 1:], third)
 
 
-def _mean_bound(moments: list[_Moments], x: np.ndarray, cubic: _Cubic | None = None) -> np.ndarray:
-    """Upper bound of each row's mean distance to all items; ``cubic`` is of the last class, that of complete items."""
-    bounds = [m.bound(x) for m in moments]
+def _mean_bound(moments: list[_Moments], x: np.ndarray, cubic: _Cubic | None = None, least: float = -np.inf) -> np.ndarray:
+    """Upper bound of each row's mean distance to all items.
+
+    ``cubic`` is of the last class, that of complete items, and sharpens bounds of ``least`` or more.
+    """
+    bounds, weights = [m.bound(x) for m in moments], [m.weight for m in moments]
+    bound = sum(w * b for w, b in zip(weights, bounds)) / sum(weights)
     if cubic is not None:
-        at = ~np.isnan(x).any(axis=1)
+        at = np.flatnonzero(~np.isnan(x).any(axis=1) & (bound >= least))
         bounds[-1][at] = np.minimum(bounds[-1][at], cubic.bound(x[at]))
-    return sum(m.weight * bound for m, bound in zip(moments, bounds)) / sum(m.weight for m in moments)
+        bound[at] = sum(w * b[at] for w, b in zip(weights, bounds)) / sum(weights)
+    return bound
 
 
 def _bounded(vectors: DataFrame, moments: list[_Moments], cubic: _Cubic | None = None, least: float = -np.inf) -> DataFrame:
-    """``vectors(id, pos, x, w)`` with the bound of each item's mean distance, those of ``least`` or more, staged."""
-    vectors = vectors.select("id", "pos", "x", "w")
-    schema = T.StructType([*vectors.schema.fields, T.StructField("bound", T.DoubleType())])
+    """``(pos, h, bound)``, staged: bounds of mean distances that are ``least`` or more, ``h`` being a hash of the vector."""
+    hashed = vectors.select("pos", F.xxhash64("x").alias("h"), "x")
+    schema = T.StructType([*hashed.schema.fields[:2], T.StructField("bound", T.DoubleType())])
 
     def scan(batches):
         for batch in batches:
             if batch.num_rows:
-                bound = _mean_bound(moments, kernels.matrix(batch.column("x")), cubic)
-                yield batch.append_column("bound", pa.array(bound)).filter(pa.array(~(bound < least)))
+                bound = _mean_bound(moments, kernels.matrix(batch.column("x")), cubic, least)
+                yield batch.select(["pos", "h"]).append_column("bound", pa.array(bound)).filter(pa.array(~(bound < least)))
 
-    return stage(vectors.mapInArrow(scan, schema))
+    return stage(hashed.mapInArrow(scan, schema))
 
 
 def _mean_distances(vectors: DataFrame, band: list[Pick], metric: str) -> np.ndarray:
@@ -582,7 +586,9 @@ def first_pick(vectors: DataFrame, metric: str = "euclidean") -> Pick:
         bound, last = -end["last"]["falling"], F.lit(end["last"]["pos"])
         placed = F.coalesce(F.col("pos") <= last, F.col("pos").isNull())
         inside = (F.col("bound") > bound) | ((F.col("bound") == bound) & placed)
-        rows = sorted((rest.where(inside) if end["n"] == size else rest).collect(), key=lambda r: -r["bound"])
+        # a hash that several vectors share only makes the band longer
+        hashes = (rest.where(inside) if end["n"] == size else rest).select("h")
+        rows = vectors.select("id", "pos", "x").join(F.broadcast(hashes), F.xxhash64("x") == F.col("h"), "left_semi").collect()
         band = [Pick(r["id"], r["pos"], np.array(r["x"], dtype=float)) for r in rows]
         means = _mean_distances(vectors, band, metric)
         best += zip(means.tolist(), band)
@@ -594,6 +600,6 @@ def first_pick(vectors: DataFrame, metric: str = "euclidean") -> Pick:
         rest = ranked.where(~inside & (F.col("bound") >= least))
         size = min(2 * size, LARGEST_BAND)
         if not sharp and _costs_more(rest, moments):
-            ranked = rest = _bounded(rest, moments, _cubic(vectors, moments[-1]), least)
+            ranked = rest = _bounded(vectors, moments, _cubic(vectors, moments[-1]), least)
             size, sharp = FIRST_BAND, True
     return min((p for _, p in best), key=lambda p: p.pos)
